@@ -153,19 +153,27 @@ def texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column.cast(pa.large_string()), "").to_pylist()
 
 
-ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+ODD_SPACE = "[\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Letters and signs on which the pattern libraries of Python and of the tokenizers agree, with no composition to do.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-ſ"
+SIGNS = "\\t-\\r\\x20-\\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7‐-‧‰-⁞₠-₿"
+#: The patterns by which the two public tokenizers split a text, over these letters.
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_LEVEL = rf"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
+WORD_LEVEL = rf"{ENDINGS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 
 
 class PieceCache(dict):
     """Token ids of a text as bytes, from the ids of its pieces: each distinct piece is encoded once.
 
-    Both tokenizers split a text before white space that follows other characters, so the ids of the pieces, one after
-    the other, are those of the text. Texts with white space beyond ASCII go to the tokenizer whole. New pieces are
-    encoded many at a time, with a sign between them that has a token of its own; pieces that hold the sign, or do not
-    begin with white space and end without, are encoded alone. A worker keeps its cache from task to task, up to LIMIT pieces.
+    The tokenizer never joins what its own pattern splits, so the ids of the pieces, one after the other, are those of the
+    text. A text of common letters and signs is split by that pattern; another one before white space that follows other
+    characters, where every such pattern splits; one with white space beyond ASCII goes to the tokenizer whole. New words
+    are encoded many at a time, with a sign between them that has a token of its own. A worker keeps its cache from task
+    to task, up to LIMIT pieces.
     """
 
-    LIMIT, SIGN = 800_000, "\u00a9"
+    LIMIT, SIGN = 600_000, "©"
     _of: dict[str, "PieceCache"] = {}
 
     @classmethod
@@ -175,6 +183,7 @@ class PieceCache(dict):
         return cls._of[path]
 
     def __init__(self, path: str):
+        import json
         import os
         import re
 
@@ -183,34 +192,47 @@ class PieceCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
+        with open(path, encoding="utf8") as f:
+            parts = json.load(f)
+        before, special = parts["pre_tokenizer"] or {}, any(t["content"] for t in parts["added_tokens"])
+        self.lower = "Lowercase" in json.dumps(parts["normalizer"])
+        pattern = BYTE_LEVEL if before.get("type") == "ByteLevel" and before.get("use_regex") and not parts["normalizer"] else WORD_LEVEL if self.lower and ENDINGS in json.dumps(before) else None
+        self.fine = re.compile(pattern).findall if pattern else None
+        self.strange = re.compile(f"[^{LETTERS}{SIGNS}]" + ("|<\\|" if special else "")).search
+        self.coarse = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
         self.odd = re.compile(ODD_SPACE).search
+        self.word = re.compile(f" ?[{LETTERS}]+").fullmatch
         sign = self.alone(" " + self.SIGN)
         self.sign = int(sign[0]) if len(sign) == 1 else None
 
     def alone(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def learn(self, new: list[str]) -> None:
-        joint = [p for p in new if p[0] in " \t\n\v\f\r" and p[-1] not in " \t\n\v\f\r" and self.SIGN not in p] if self.sign is not None else []
+    def learn(self, new: set[str]) -> None:
+        joint = list(filter(self.word, new)) if self.sign is not None else []
         for i in range(0, len(joint), 2000):
             some = joint[i : i + 2000]
             ids = self.alone(f" {self.SIGN}".join(some))
             ends = np.append(np.flatnonzero(ids == self.sign), len(ids))
             if len(ends) == len(some):
-                starts = np.append(0, ends[:-1] + 1)
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                self.update(zip(some, [raw[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+                starts = np.append(0, ends[:-1] + 1) * self.dtype.itemsize
+                raw = ids.tobytes()
+                self.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), (ends * self.dtype.itemsize).tolist(), strict=True)], strict=True))
         for p in new:
             if p not in self:
                 self[p] = self.alone(p).tobytes()
 
+    def split(self, text: str) -> list[str] | None:
+        if self.fine and not self.strange(text):
+            return self.fine(text.lower() if self.lower else text)
+        return None if self.odd(text) else self.coarse(text)
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.LIMIT:  # the pieces met first tend to be frequent
             first = list(self.items())[: self.LIMIT // 2]
             self.clear()
             self.update(first)
-        split = [None if self.odd(t) else self.pieces(t) for t in texts]
-        self.learn(list({p for own in split if own for p in own if p not in self}))
+        split = [self.split(t) for t in texts]
+        self.learn(set().union(*filter(None, split)).difference(self))
         get = self.__getitem__
         return [self.alone(t).tobytes() if own is None else b"".join(map(get, own)) for t, own in zip(texts, split, strict=True)]

@@ -24,7 +24,7 @@ from .packing import offsets as partition_offsets
 
 #: How many integers of how many bits each selector packs.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-MAGIC, BLOCK, FULL = b"S8BTOK01", 4096, (1 << 60) - 1
+MAGIC, BLOCK, FULL = b"S8BTOK01", 16384, (1 << 60) - 1
 SHARDS = "part int, shard int, local long, doc_tokens long, image binary"
 
 
@@ -33,23 +33,25 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     n = len(values)
     values = values.astype(U)
     escaped = values >= U(FULL)
-    bits = np.zeros(n, np.int64)
+    bits = np.zeros(n, np.uint8)
+    left = values.copy()
     for shift in (32, 16, 8, 4, 2, 1):
-        big = (values >> (bits + shift - 1).astype(U)) > 1 if shift > 1 else (values >> bits.astype(U)) > 0
+        if shift > 1 and not (left >> U(shift)).any():
+            continue
+        big = (left >> U(shift)) > 0
         bits[big] += shift
-    while (more := (values >> np.minimum(bits, 63).astype(U) > 0) & (bits < 64)).any():
-        bits[more] += 1
-    bits[escaped] = 64
-    room, best = bits.copy(), np.full(n, 15)  # selector 15 takes one value
+        left[big] >>= U(shift)
+    bits += left > 0
+    room, best = bits, np.full(n, 15, np.uint8)  # selector 15 takes one value
     size = 1
     for selector in range(14, -1, -1):
         count, width = SELECTORS[selector]
-        while size < count and n - size > 0:  # room[i]: bits that values i .. i + size - 1 need
+        if n < count or room.min() > width:
+            break
+        while size < count:  # room[i]: bits that values i .. i + size - 1 need
             step = min(size, count - size)
-            room = np.maximum(room[: n - size - step + 1], room[step : n - size + 1]) if n - size - step + 1 > 0 else room[:0]
+            room = np.maximum(room[:-step], room[step:])
             size += step
-        if size < count or not len(room):
-            break
         best[: len(room)][room <= width] = selector
     steps, at, i = np.array([c for c, _ in SELECTORS])[best].tolist(), [], 0
     while i < n:
