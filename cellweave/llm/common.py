@@ -227,7 +227,10 @@ class PieceCache(dict):
             return self.fine(text.lower() if self.lower else text)
         return None if self.odd(text) else self.coarse(text)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
+    def encode_many(self, texts: list[str], at_once: int = 250) -> list[bytes]:
+        return [ids for i in range(0, len(texts), at_once) for ids in self._encode(texts[i : i + at_once])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.LIMIT:  # the pieces met first tend to be frequent
             first = list(self.items())[: self.LIMIT // 2]
             self.clear()

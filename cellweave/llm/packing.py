@@ -45,10 +45,10 @@ def offsets(tokens: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, with_ids: bool = True) -> DataFrame:
     """Pieces of documents, each with its sequence and place there; sequences are full but for the last.
 
-    Columns of PIECES; ids are the piece's ids as little-endian unsigned 32-bit integers. A null text is empty and gives
+    Columns of PIECES, ids only if asked for: the piece's ids as little-endian unsigned 32-bit integers. A null text is empty and gives
     its end id alone. A null doc_id, repeated rows and texts longer than many sequences are packed like others. The order
     is that of the partitions read. An empty table gives no rows.
     """
@@ -71,9 +71,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -
                         column.append(v)
                     done += take
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], names=names)
+            columns = [*(pa.array(c, pa.int64()) for c in out[:7]), *([pa.array(out[7], pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    return placed.mapInArrow(rows, PIECES)
+    return placed.mapInArrow(rows, PIECES if with_ids else PIECES.removesuffix(", ids binary"))
 
 
 def sequences(pieces: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFrame:

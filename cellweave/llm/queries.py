@@ -25,7 +25,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, length=2048).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, length=2048, with_ids=False)
 
 
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)).drop("ids")
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2), with_ids=False)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

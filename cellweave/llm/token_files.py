@@ -163,8 +163,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
     return stored(ordered.mapInArrow(rows, SHARDS), "shards")
 
 
-def read_tokens(shards: DataFrame) -> DataFrame:
-    """Read shards back: doc_id, start (ids before it in all shards), n_tokens and ids of each document."""
+def read_tokens(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Read shards back: doc_id, start (ids before it in all shards), n_tokens, ids_crc32 and, if asked for, ids of each document."""
     placed = shards.join(F.broadcast(partition_offsets(shards)), "part")  # a row for each partition
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +174,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 n = np.array([len(x) for x in ids], np.int64)
                 start = batch.column("base")[k].as_py() + batch.column("local")[k].as_py() + np.cumsum(n) - n
                 own = [x.astype("<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), *([pa.array(own, pa.binary())] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
