@@ -101,7 +101,7 @@ def covered(docs: DataFrame, symbols_of: Callable, bodies_of: Callable, resolve:
     not go to one task: its windows are grouped by their own 128-bit hashes, spread over all tasks.
     width: bytes of a symbol in a body.
     """
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, 500, 4)
     docs = keyed(docs)
     every = docs.mapInArrow(runs(symbols_of, window, gram), RUNS)
     again = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
