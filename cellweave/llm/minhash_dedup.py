@@ -174,20 +174,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 
 def in_blocks(rows: DataFrame, component: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Links between members of a bucket that are still in different components, each bucket in pairs of blocks of about BLOCK members."""
-    at = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y and x is not null").select("key")
-    at = at.join(apart, "key").filter("size > 2")  # of two members one was the centre
+    """Links between members of a bucket that are still in different components.
+
+    Members outside a bucket's largest component meet every member, in blocks of about BLOCK members: each member goes to
+    a block of its own, and only those outside the largest component go to the other blocks too.
+    """
+    at = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).filter("size > 2")  # of two members one was the centre
+    counts = at.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    at = at.join(main, "key").withColumn("outside", F.col("component") != F.col("main"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    at = at.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.select("node", "component", "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    at = at.withColumn("own", own).withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
+    at = at.select("node", "component", "key", "band", "block", "own", "outside")
     at = at.join(classes.select("node", "bands", "planes"), "node").join(sets, "node")
-    at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    at = at.repartition("key", "block").sortWithinPartitions("key", "block", "node")
 
     def flush(t: pa.Table) -> list[tuple[int, int]]:
-        node, comp, own = (t.column(c).to_numpy() for c in ("node", "component", "own"))
-        i, j, band = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("band")[0].as_py()
+        node, comp, own, outside = (t.column(c).to_numpy() for c in ("node", "component", "own", "outside"))
+        block, band = t.column("block")[0].as_py(), t.column("band")[0].as_py()
         n, w = len(node), PERMS // 64
         planes = t.column("planes").combine_chunks().flatten().to_numpy().view(U).reshape(n, 2 * w)
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
@@ -200,13 +205,12 @@ def in_blocks(rows: DataFrame, component: DataFrame, classes: DataFrame, sets: D
             return x
 
         out = []
-        for a in range(n - 1):
-            x = planes[a + 1 :] ^ planes[a]
+        for a in np.flatnonzero(outside).tolist():
+            x = planes ^ planes[a]
             differ = np.bitwise_count(x[:, :w] | x[:, w:]).sum(axis=1)
-            ok = (1 - differ / PERMS / 0.75 >= margin) & (comp[a + 1 :] != comp[a])
-            if i != j:
-                ok &= own[a + 1 :] != own[a]
-            for b in (np.flatnonzero(ok) + a + 1).tolist():
+            # two outsiders meet where the one with the larger node is at home
+            ok = (1 - differ / PERMS / 0.75 >= margin) & (comp != comp[a]) & (own == block) & (~outside | (node > node[a]))
+            for b in np.flatnonzero(ok).tolist():
                 if root(int(comp[a])) == root(int(comp[b])) or (bands[a, :band] == bands[b, :band]).any():
                     continue
                 p, q = shingles[a].values.to_numpy(), shingles[b].values.to_numpy()
@@ -227,7 +231,7 @@ def in_blocks(rows: DataFrame, component: DataFrame, classes: DataFrame, sets: D
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block")), strict=True))
             start = 0
             for r in range(len(keys) + 1):
                 if r == len(keys) or (r and keys[r] != keys[r - 1]) or (r == 0 and keys and keys[0] != last and held):
