@@ -173,7 +173,7 @@ class PieceCache(dict):
     to task, up to LIMIT pieces.
     """
 
-    LIMIT, SIGN = 600_000, "©"
+    LIMIT, SIGN = 1_000_000, "©"
     _of: dict[str, "PieceCache"] = {}
 
     @classmethod
@@ -227,7 +227,7 @@ class PieceCache(dict):
             return self.fine(text.lower() if self.lower else text)
         return None if self.odd(text) else self.coarse(text)
 
-    def encode_many(self, texts: list[str], at_once: int = 250) -> list[bytes]:
+    def encode_many(self, texts: list[str], at_once: int = 2000) -> list[bytes]:
         return [ids for i in range(0, len(texts), at_once) for ids in self._encode(texts[i : i + at_once])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:

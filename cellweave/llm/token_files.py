@@ -24,6 +24,7 @@ from .packing import offsets as partition_offsets
 
 #: How many integers of how many bits each selector packs.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
+BITS = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
 MAGIC, BLOCK, FULL = b"S8BTOK01", 16384, (1 << 60) - 1
 SHARDS = "part int, shard int, local long, doc_tokens long, image binary"
 
@@ -33,15 +34,17 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     n = len(values)
     values = values.astype(U)
     escaped = values >= U(FULL)
-    bits = np.zeros(n, np.uint8)
-    left = values.copy()
+    small = not n or int(values.max()) < len(BITS)
+    bits = BITS[values] if small else np.zeros(n, np.uint8)
+    left = values.copy() if not small else values[:0]
     for shift in (32, 16, 8, 4, 2, 1):
-        if shift > 1 and not (left >> U(shift)).any():
+        if small or shift > 1 and not (left >> U(shift)).any():
             continue
         big = (left >> U(shift)) > 0
         bits[big] += shift
         left[big] >>= U(shift)
-    bits += left > 0
+    if not small:
+        bits += left > 0
     room, best = bits, np.full(n, 15, np.uint8)  # selector 15 takes one value
     size = 1
     for selector in range(14, -1, -1):
@@ -102,7 +105,7 @@ def decode_block(words: np.ndarray) -> np.ndarray:
 
 
 def write_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    every = np.concatenate([np.zeros(0, U), *(x.astype(U) for x in ids)])
+    every = np.concatenate([np.zeros(0, np.uint16), *ids]).astype(U)
     blocks = [encode_block(every[i : i + BLOCK]) for i in range(0, len(every), BLOCK)]
     before = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     known = np.array([d is not None for d in doc_ids], "u1")
@@ -173,8 +176,10 @@ def read_tokens(shards: DataFrame, with_ids: bool = True) -> DataFrame:
                 doc_ids, ids = read_shard(batch.column("image")[k].as_py())
                 n = np.array([len(x) for x in ids], np.int64)
                 start = batch.column("base")[k].as_py() + batch.column("local")[k].as_py() + np.cumsum(n) - n
-                own = [x.astype("<u4").tobytes() for x in ids]
-                columns = [pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), *([pa.array(own, pa.binary())] if with_ids else [])]
+                wide = memoryview(np.concatenate([np.zeros(0, U), *ids]).astype("<u4").tobytes())
+                ends = (4 * np.cumsum(n)).tolist()
+                own = [wide[e - 4 * k : e] for e, k in zip(ends, n.tolist(), strict=True)]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), *([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
