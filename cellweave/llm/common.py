@@ -70,6 +70,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def fresh() -> None:
+    """At the start of a task of another operator: a reused worker gives back what the tokenizing ones kept."""
+    PieceCache._of.clear()
+
+
 class Rolling:
     """Polynomial hashes over 64-bit words: every window of a sequence costs two array operations."""
 
@@ -170,18 +175,21 @@ class PieceCache(dict):
     text. A text of common letters and signs is split by that pattern; another one before white space that follows other
     characters, where every such pattern splits; one with white space beyond ASCII goes to the tokenizer whole. New words
     are encoded many at a time, with a sign between them that has a token of its own. A worker keeps its cache from task
-    to task, up to LIMIT pieces.
+    to task, up to `limit` pieces, of about 200 bytes each.
     """
 
-    LIMIT, SIGN = 1_000_000, "©"
+    SIGN = "©"
     _of: dict[str, "PieceCache"] = {}
 
     @classmethod
-    def at(cls, path: str) -> "PieceCache":
+    def at(cls, path: str, limit: int) -> "PieceCache":
         if path not in cls._of:
             cls._of[path] = cls(path)
+        cls._of[path].limit = limit
         return cls._of[path]
 
+    limit = 1_000_000
+
     def __init__(self, path: str):
         import json
         import os
@@ -218,12 +226,12 @@ class PieceCache(dict):
                 starts = np.append(0, ends[:-1] + 1) * self.dtype.itemsize
                 raw = ids.tobytes()
                 self.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), (ends * self.dtype.itemsize).tolist(), strict=True)], strict=True))
-        for p in new:
-            if p not in self:
-                self[p] = self.alone(p).tobytes()
+        for p in new.difference(self):
+            self[p] = self.alone(p).tobytes()
 
     def split(self, text: str) -> list[str] | None:
-        if self.fine and not self.strange(text):
+        plain = text.isascii() and "<|" not in text and text.replace("\n", "").isprintable()  # what most texts are
+        if self.fine and (plain or not self.strange(text)):
             return self.fine(text.lower() if self.lower else text)
         return None if self.odd(text) else self.coarse(text)
 
@@ -231,8 +239,8 @@ class PieceCache(dict):
         return [ids for i in range(0, len(texts), at_once) for ids in self._encode(texts[i : i + at_once])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.LIMIT:  # the pieces met first tend to be frequent
-            first = list(self.items())[: self.LIMIT // 2]
+        if len(self) > self.limit:  # the pieces met first tend to be frequent
+            first = list(self.items())[: self.limit // 2]
             self.clear()
             self.update(first)
         split = [self.split(t) for t in texts]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, LOWER_BYTES, U, mix, signed, stored, tune, utf8, words
+from .common import FIRST, LOWER_BYTES, U, fresh, mix, signed, stored, tune, utf8, words
 
 PERMS, ROWS = 192, 4
 BANDS = PERMS // ROWS
@@ -53,6 +53,7 @@ def minima(own: np.ndarray) -> np.ndarray:
 
 def sketches(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             m = batch.num_rows
             n, s1, s2 = np.zeros(m, np.int64), np.zeros(m, U), np.zeros(m, U)
@@ -125,7 +126,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     nothing. Rows that share a doc_id are one document for links. A row with a null doc_id is left out of the links: its
     component_id is null and it is kept. Other columns are ignored; an empty table gives no rows.
     """
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, 500, 4)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = stored(slim.mapInArrow(sketches(k), SKETCH), "sketches")
     real = sketch.filter("n_shingles > 0 and doc_id is not null")

@@ -22,11 +22,11 @@ TOKENS = "part int, doc_id long, local long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cached: int = 400_000) -> DataFrame:
     """One row for each document: its partition, the partition's ids before it, and its ids (little-endian uint32 or uint16) with end_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, local = PieceCache.at(tokenizer), 0
+        cache, local = PieceCache.at(tokenizer, cached), 0
         end, part = np.array([end_id], cache.dtype).tobytes(), TaskContext.get().partitionId()
         for batch in batches:
             ids = [x + end for x in cache.encode_many(texts(batch.column("text")))]

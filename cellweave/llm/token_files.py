@@ -129,7 +129,7 @@ def read_shard(image: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [d if k else None for d, k in zip(doc_ids, known, strict=True)], [every[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 20, cached: int = 1_000_000) -> DataFrame:
     """Write all documents' ids, in ascending doc_id order, and return the table of shards.
 
     Null texts are empty and have their end id alone; null doc_ids come first; rows with one doc_id come in the order of
@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
     tune(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, shard, local = PieceCache.at(tokenizer), TaskContext.get().partitionId(), 0, 0
+        cache, part, shard, local = PieceCache.at(tokenizer, cached), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], cache.dtype)
         doc_ids: list = []
         ids: list = []

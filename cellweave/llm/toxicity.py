@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import fresh, tune
 
 #: Marks and verbs that frame a quotation or a mention of a word.
 QUOTES = "\"'“”„«»‘’‚‹›`"
@@ -40,7 +40,7 @@ class Lexicon(dict):
     shares no form with one letter less with any term cannot be within distance 1 and is spared the walk.
     """
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, terms: dict[str, float], known: frozenset[str] = frozenset(), fuzzy_from: int = 5):
         self.terms, self.innocent, self.fuzzy_from = terms, known, fuzzy_from
@@ -199,9 +199,11 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fresh()
         m = shared.value
         for s in parts:
-            yield pd.Series([m.score(t) if t else m.score("") for t in s], dtype="float64")
+            yield pd.Series([m.score(t or "") for t in s], dtype="float64")
+        m.lexicon.clear()  # a reused worker keeps the broadcast model
 
     own = docs.drop("held_out", "score", "predicted")
     out = own.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score(F.col("text").cast("string")))
