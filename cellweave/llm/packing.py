@@ -22,7 +22,7 @@ TOKENS = "part int, doc_id long, local long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cached: int = 400_000) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cached: int = 300_000) -> DataFrame:
     """One row for each document: its partition, the partition's ids before it, and its ids (little-endian uint32 or uint16) with end_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     its end id alone. A null doc_id, repeated rows and texts longer than many sequences are packed like others. The order
     is that of the partitions read. An empty table gives no rows.
     """
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, 1000, 8)
     tokens = stored(tokenised(docs, tokenizer, end_id), "tokens")
     placed = tokens.join(F.broadcast(offsets(tokens)), "part")  # a row for each partition of the input
 
