@@ -114,7 +114,15 @@ def write_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
 
 
 def read_shard(image: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    if image[:8] != MAGIC:
+    """doc_ids and the ids of each document."""
+    doc_ids, sizes, every = decode_shard(image)
+    ends = np.cumsum(sizes)
+    return doc_ids, [every[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+
+
+def decode_shard(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, the number of ids of each document, and all ids."""
+    if bytes(memoryview(image)[:8]) != MAGIC:
         raise ValueError("not a token shard")
     docs, total, blocks = struct.unpack_from("<QQQ", image, 8)
     at = 32
@@ -125,11 +133,10 @@ def read_shard(image: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     words = np.frombuffer(image, "<u8", int(before[-1]), at + 17 * docs + 8 * (blocks + 1))
     parts = [decode_block(words[a:b])[: min(BLOCK, total - k * BLOCK)] for k, (a, b) in enumerate(zip(before[:-1], before[1:], strict=True))]
     every = np.concatenate([np.zeros(0, U), *parts])
-    ends = np.cumsum(sizes)
-    return [d if k else None for d, k in zip(doc_ids, known, strict=True)], [every[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    return [d if k else None for d, k in zip(doc_ids, known, strict=True)], sizes, every
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 20, cached: int = 1_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 20, cached: int = 1_300_000) -> DataFrame:
     """Write all documents' ids, in ascending doc_id order, and return the table of shards.
 
     Null texts are empty and have their end id alone; null doc_ids come first; rows with one doc_id come in the order of
@@ -139,7 +146,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, shard, local = PieceCache.at(tokenizer, cached), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], cache.dtype)
+        end = np.array([end_id], cache.dtype).tobytes()
         doc_ids: list = []
         ids: list = []
 
@@ -151,7 +158,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
         for batch in batches:
             for doc, own in zip(batch.column("doc_id").to_pylist(), cache.encode_many(texts(batch.column("text"))), strict=True):
                 doc_ids.append(doc)
-                ids.append(np.append(np.frombuffer(own, cache.dtype), end))
+                ids.append(np.frombuffer(own + end, cache.dtype))
                 size += len(ids[-1])
                 if size >= shard_ids:
                     yield flush()
@@ -173,10 +180,9 @@ def read_tokens(shards: DataFrame, with_ids: bool = True) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, ids = read_shard(batch.column("image")[k].as_py())
-                n = np.array([len(x) for x in ids], np.int64)
+                doc_ids, n, every = decode_shard(batch.column("image")[k].as_buffer())
                 start = batch.column("base")[k].as_py() + batch.column("local")[k].as_py() + np.cumsum(n) - n
-                wide = memoryview(np.concatenate([np.zeros(0, U), *ids]).astype("<u4").tobytes())
+                wide = memoryview(every.astype("<u4")).cast("B") if len(every) else memoryview(b"")
                 ends = (4 * np.cumsum(n)).tolist()
                 own = [wide[e - 4 * k : e] for e, k in zip(ends, n.tolist(), strict=True)]
                 columns = [pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), *([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else [])]
