@@ -20,7 +20,6 @@ from cellweave.llm.packing import pack, sequences
 from cellweave.llm.phrase_dedup import phrase_dedup
 from cellweave.llm.suffix_dedup import blind_trie, suffix_dedup
 from cellweave.llm.toxicity import fit, toxicity
-from cellweave.llm.windows import covered, by_window  # noqa: F401
 
 SCHEMA = "doc_id long, text string, kept string, ids int, h int"
 
