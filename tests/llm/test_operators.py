@@ -207,3 +207,15 @@ def test_license_inheritance(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("c/z", None), (None, "")]
     got = {r.path: (r.license, r.found_in) for r in license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got == {"a/LICENSE": ("MIT", "text"), "a/b/x.py": ("MIT", "directory"), "a/b/y.py": ("Apache-2.0", "text"), "c/z": (None, "none"), None: (None, "none")}
+
+
+def test_keys_with_many_contexts_give_the_same_ranges(docs):
+    from cellweave.llm import phrase_dedup, suffix_dedup, windows
+
+    ways = [
+        (windows.byte_symbols, suffix_dedup.cut_bytes, suffix_dedup.recurring(200), 200, 100, False, 1),
+        (phrase_dedup.word_symbols, phrase_dedup.cut_words, phrase_dedup.occurrences(50), 50, 25, True, 8),
+    ]
+    for way in ways:
+        one, two = ({(r.doc_id, r.fp): windows.union([s.asDict() for s in r.spans]) for r in windows.covered(docs, *way, most=most).collect()} for most in (50_000, 1))
+        assert one and one == two
