@@ -112,3 +112,146 @@ def balanced_folds(groups: DataFrame, folds: int) -> DataFrame:
         return pd.DataFrame(out, columns=["group", "fold"])
 
     return groups.groupBy().applyInPandas(deal, "group long, fold long")
+
+
+def local_maxima(density: DataFrame, radius: int) -> DataFrame:
+    """Pixels in falling density (ties to the smaller pixel) that keep more than `radius` (Chebyshev) from those chosen before."""
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[pdf.density > 0].sort_values(["density", "iy", "ix"], ascending=[False, True, True])
+        free, chosen = np.ones(len(p), bool), []
+        iy, ix = p.iy.to_numpy(), p.ix.to_numpy()
+        for i in range(len(p)):
+            if free[i]:
+                chosen.append(i)
+                free &= np.maximum(np.abs(iy - iy[i]), np.abs(ix - ix[i])) > radius
+        return p.iloc[chosen][["sample", "iy", "ix", "density"]]
+
+    return density.groupBy("sample").applyInPandas(pick, "sample long, iy long, ix long, density double")
+
+
+def grow(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """seeds(sample, region, iy, ix, target): in region order each takes its nearest unclaimed candidate pixels up to its target."""
+
+    def claim(own: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        left, out = free.drop_duplicates(["iy", "ix"]), []
+        for r in own.sort_values("region").itertuples():
+            d = (left.iy - r.iy) ** 2 + (left.ix - r.ix) ** 2
+            got = left.assign(d=d).sort_values(["d", "iy", "ix"]).head(int(r.target))
+            left = left.drop(got.index)
+            out.append(pd.DataFrame({"sample": r.sample, "region": r.region, "iy": got.iy, "ix": got.ix}))
+        return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("sample", "region", "iy", "ix")})
+
+    return seeds.groupBy("sample").cogroup(candidates.groupBy("sample")).applyInPandas(claim, "sample long, region long, iy long, ix long")
+
+
+def best_jaccard(shared: DataFrame, least: float = 0.25) -> DataFrame:
+    """shared(sample, old, new, jaccard): old ids in order take their best unused new id; those under `least` are retired (no row)."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for old, own in pdf.sort_values(["old", "jaccard", "new"], ascending=[True, False, True]).groupby("old", sort=True):
+            free = own[~own.new.isin(used)]
+            if len(free) and free.jaccard.iloc[0] >= least:
+                used.add(free.new.iloc[0])
+                out.append((own["sample"].iloc[0], old, free.new.iloc[0], free.jaccard.iloc[0]))
+        return pd.DataFrame(out, columns=["sample", "old", "new", "jaccard"])
+
+    return shared.groupBy("sample").applyInPandas(match, "sample long, old long, new long, jaccard double")
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """edges(sample, a, b, w): the cheapest spanning forest of each group; ties by a, then b."""
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        keep = []
+        for r in pdf.sort_values(["w", "a", "b"]).itertuples():
+            a, b = root(r.a), root(r.b)
+            keep.append(a != b)
+            parent[a] = b
+        return pdf.sort_values(["w", "a", "b"])[keep][["sample", "a", "b", "w"]]
+
+    return edges.groupBy("sample").applyInPandas(tree, "sample long, a long, b long, w double")
+
+
+def chain(tree: DataFrame) -> DataFrame:
+    """tree(sample, a, b, m): m is the 2 x 3 affine map from b to a by rows. Maps of every node to the group's smallest node,
+    breadth first; an edge walked from b to a uses the inverse. Nodes out of reach have no row."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        step: dict[int, list] = {}
+        for r in pdf.sort_values(["a", "b"]).itertuples():
+            m = np.vstack([np.reshape(r.m, (2, 3)), [0, 0, 1]])
+            step.setdefault(r.a, []).append((r.b, m))
+            step.setdefault(r.b, []).append((r.a, np.linalg.inv(m)))
+        done, front = {min(step): np.eye(3)}, [min(step)]
+        while front:
+            ahead = []
+            for u in front:
+                for v, m in step[u]:
+                    if v not in done:
+                        done[v] = done[u] @ m
+                        ahead.append(v)
+            front = ahead
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "node": list(done), "m": [t[:2].ravel().tolist() for t in done.values()]})
+
+    return tree.groupBy("sample").applyInPandas(walk, "sample long, node long, m array<double>")
+
+
+def hull_area(points: np.ndarray) -> float:
+    """Area of the convex hull, by the two monotone chains."""
+    p = sorted(set(map(tuple, points)))
+    if len(p) < 3:
+        return 0.0
+
+    def half(seq):
+        out: list[tuple[float, float]] = []
+        for q in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    h = np.array(half(p) + half(p[::-1]))
+    x, y = h[:, 0], h[:, 1]
+    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+
+
+def shape(regions: DataFrame) -> DataFrame:
+    """regions(sample, iy, ix, region): pixels, solidity against the hull of the pixels' corners, perimeter in pixel sides, circularity."""
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = set(zip(pdf.iy, pdf.ix, strict=True))
+        corners = np.array([(y + a, x + b) for y, x in own for a in (0, 1) for b in (0, 1)], float)
+        sides = sum((y + a, x + b) not in own for y, x in own for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+        n = len(own)
+        return pd.DataFrame([(pdf["sample"].iloc[0], pdf.region.iloc[0], n, n / hull_area(corners), sides, 4 * np.pi * n / sides**2)], columns=["sample", "region", "n", "solidity", "perimeter", "circularity"])
+
+    return regions.groupBy("sample", "region").applyInPandas(measure, "sample long, region long, n long, solidity double, perimeter long, circularity double")
+
+
+def consensus(pairs: DataFrame, delta: float, rounds: int = 5) -> DataFrame:
+    """pairs(sample, a, b, d): offsets of each group's nodes from measured differences d = at(b) - at(a), least squares
+    reweighted with Huber's weights, median zero. A disconnected group gets the solution of least norm."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.unique(pdf[["a", "b"]].to_numpy())
+        m, d = np.zeros((len(pdf), len(nodes))), pdf.d.to_numpy(float)
+        m[np.arange(len(pdf)), np.searchsorted(nodes, pdf.b)] += 1
+        m[np.arange(len(pdf)), np.searchsorted(nodes, pdf.a)] -= 1
+        w = np.ones(len(pdf))
+        for _ in range(rounds):
+            at = np.linalg.lstsq(m * np.sqrt(w)[:, None], d * np.sqrt(w), rcond=None)[0]
+            r = np.abs(m @ at - d)
+            w = np.where(r <= delta, 1.0, delta / np.maximum(r, delta))
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "node": nodes, "offset": at - np.median(at)})
+
+    return pairs.groupBy("sample").applyInPandas(solve, "sample long, node long, offset double")

@@ -1 +1,5 @@
+"""Queries; importing the package fills the catalog."""
 
+from . import catalog, region_queries
+
+__all__ = ["catalog", "region_queries"]
