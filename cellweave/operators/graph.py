@@ -21,12 +21,15 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(node) with component, its smallest reachable node. Each round takes the smallest label among a node's
-    neighbours and then that label's own label, so chains shorten by jumps."""
+    neighbours, hands it to the node that its old label names, and then takes that label's own label, so that whole trees merge
+    and chains shorten by jumps: a number of rounds that grows with the logarithm of the longest path."""
     both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = _cut(nodes.select("node", F.col("node").alias("component")).distinct())
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         step = labels.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
+        hook = step.groupBy(F.col("component").alias("node")).agg(F.min("low").alias("hook"))
+        step = step.join(hook, "node", "left").select("node", "component", F.least("low", F.coalesce("hook", "low")).alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
         step = step.join(jump, "low", "left").select("node", "component", F.least("low", F.coalesce("far", "low")).alias("new"))
         step = _cut(step)

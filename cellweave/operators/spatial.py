@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import _cut, components
 
 KEY = ["sample", "iy", "ix"]
 
@@ -120,7 +120,9 @@ def remove_small(mask: DataFrame, least: int, eight: bool = False) -> DataFrame:
 
 
 def fill_holes(mask: DataFrame, nx: int, ny: int, most: int | None = None) -> DataFrame:
-    """Adds background components that do not touch the border, all or those of at most `most` pixels."""
+    """Adds background components that do not touch the border, all or those of at most `most` pixels. The mask is
+    checkpointed, because its plan would otherwise run once for each use."""
+    mask = _cut(mask.select(*KEY))
     empty = lattice_components(lattice(mask, nx, ny).join(mask, KEY, "left_anti"))
     edge = F.col("iy").isin(0, ny - 1) | F.col("ix").isin(0, nx - 1)
     holes = empty.groupBy("region").agg(F.max(edge).alias("open"), F.count("*").alias("size")).filter("not open")

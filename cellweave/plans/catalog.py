@@ -11,7 +11,7 @@ from cellweave.operators import grouped, spatial
 from cellweave.operators.graph import components
 from cellweave.sources.tables import cells, table, views
 
-from .relational import CELLS, SQL, oracle
+from .relational import CELLS, SQL, oracle, plain_counts
 
 NX, NY = 50, 15
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -27,7 +27,7 @@ for _name, _text in SQL.items():
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = (f, sql)
+        QUERIES[f.__name__] = (f, sql and plain_counts(sql))
         return f
 
     return add
