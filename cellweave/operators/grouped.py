@@ -255,3 +255,21 @@ def consensus(pairs: DataFrame, delta: float, rounds: int = 5) -> DataFrame:
         return pd.DataFrame({"sample": pdf["sample"].iloc[0], "node": nodes, "offset": at - np.median(at)})
 
     return pairs.groupBy("sample").applyInPandas(solve, "sample long, node long, offset double")
+
+
+def link(pairs: DataFrame, least: float = 0.3, branch: float = 0.6) -> DataFrame:
+    """pairs(sample, a, b, share): links of a section with the next by falling share (ties to smaller ids). The first link of both
+    ends needs `least`; a further link of either end is a branch and needs `branch`."""
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        used_a, used_b, keep = set(), set(), []
+        own = pdf.sort_values(["share", "a", "b"], ascending=[False, True, True])
+        for r in own.itertuples():
+            ok = r.share >= (branch if r.a in used_a or r.b in used_b else least)
+            keep.append(ok)
+            if ok:
+                used_a.add(r.a)
+                used_b.add(r.b)
+        return own[keep][["sample", "a", "b", "share"]]
+
+    return pairs.groupBy("sample").applyInPandas(greedy, "sample long, a long, b long, share double")

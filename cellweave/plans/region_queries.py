@@ -57,6 +57,13 @@ SQL: dict[str, str | tuple[str, str]] = {
     "x19_quality_summary": "SELECT n.n_name, count(c.c_custkey) AS n, CASE WHEN count(c.c_custkey) > 0 THEN round(percentile(c.c_acctbal, 0.5), 4) END AS median FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 GROUP BY n.n_name",
     "x12_collinear_join": f"""WITH {CELLS}, s AS (SELECT sample, cell_type, avg(x) AS cx, avg(y) AS cy, regr_slope(y, x) AS m, max(x) AS x1, min(x) AS x0 FROM cells GROUP BY sample, cell_type) SELECT a.sample, a.cell_type AS a, b.cell_type AS b FROM s a JOIN s b ON a.sample = b.sample AND a.cell_type < b.cell_type
       WHERE abs(atan(a.m) - atan(b.m)) <= radians(5) AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 150""",
+    "x1_feature_match": f"""WITH {CELLS}, r AS (SELECT sample, cell_type, CAST(floor(y / 40) AS BIGINT) AS lane, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM cells GROUP BY 1, 2, 3), p AS (SELECT a.sample, a.cell_type, a.lane AS a, b.lane AS b, (1 - sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) / 300) * least(1, sqrt(CAST(least(a.area, b.area) AS DOUBLE) / 20)) AS score FROM r a JOIN r b ON b.sample = a.sample + 1 AND b.cell_type = a.cell_type WHERE least(a.area, b.area) >= 0.3 * greatest(a.area, b.area)),
+      k AS (SELECT *, row_number() OVER (PARTITION BY sample, cell_type, a ORDER BY round(score, 9) DESC, b) AS i, row_number() OVER (PARTITION BY sample, cell_type, b ORDER BY round(score, 9) DESC, a) AS j FROM p WHERE score > 0) SELECT sample, cell_type, a, b, round(score, 6) AS score FROM k WHERE i = 1 AND j = 1""",
+    "x3_anchors_per_square": f"WITH {CELLS} SELECT sample, qy, qx, cell_id FROM (SELECT sample, cell_id, CAST(floor(y / 50) AS BIGINT) AS qy, CAST(floor(x / 100) AS BIGINT) AS qx, row_number() OVER (PARTITION BY sample, floor(y / 50), floor(x / 100) ORDER BY cell_id % 97 DESC, cell_id) AS k FROM cells) t WHERE k = 1",
+    "x14_gap_rescue": f"""WITH {CELLS}, r AS (SELECT sample, cell_type, avg(x) AS cx, avg(y) AS cy FROM cells GROUP BY sample, cell_type), m AS (SELECT a.sample + 1 AS sample, a.cell_type, (a.cx + b.cx) / 2 AS cx, (a.cy + b.cy) / 2 AS cy FROM r a JOIN r b ON b.sample = a.sample + 2 AND b.cell_type = a.cell_type)
+      SELECT m.sample, m.cell_type, count(*) AS n FROM m JOIN cells c ON c.sample = m.sample AND sqrt((c.x - m.cx) * (c.x - m.cx) + (c.y - m.cy) * (c.y - m.cy)) <= 30 GROUP BY m.sample, m.cell_type HAVING count(*) >= 8""",
+    "g6_bridged_ends": f"""WITH {CELLS}, r AS (SELECT sample AS z, cell_type, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM cells WHERE sample % 3 > 0 GROUP BY 1, 2), p AS (SELECT a.z AS z, a.cell_type AS a, b.z AS z2, b.cell_type AS b, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d FROM r a JOIN r b ON b.z = a.z + 2 WHERE least(a.area, b.area) >= 0.3 * greatest(a.area, b.area)),
+      k AS (SELECT *, row_number() OVER (PARTITION BY z, a ORDER BY round(d, 9), b) AS i, row_number() OVER (PARTITION BY z2, b ORDER BY round(d, 9), a) AS j FROM p) SELECT z, a, z2, b, round(d, 6) AS d FROM k WHERE i = 1 AND j = 1""",
     "s13_row_count": "SELECT count(*) AS n FROM lineitem",
     "s2_sample_scan": "SELECT event_id, user_id FROM events WHERE user_id = 7",
     "s3_listed_scan": "SELECT e.event_id, e.value FROM events e WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_nationkey < 5)",
@@ -256,3 +263,14 @@ def a30_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = r.withColumn("step", step).groupBy("rep").agg(F.sum("step").alias("total"))
     real = t.filter("rep = 0").select(F.col("total").alias("real"))
     return t.filter("rep > 0").crossJoin(F.broadcast(real)).groupBy("real").agg(((1 + F.count_if(F.col("total") <= F.col("real"))) / (1 + F.count("*"))).alias("p_value"))
+
+
+@query()
+def g8_linked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions followed through the sections by the pixels they share; `track` is the smallest member."""
+    r = spatial.lattice_components(spatial.dilate(mask(spark, sf_dir), 2, NX, NY))
+    links = grouped.link(regions.overlaps(r, r.withColumn("sample", F.col("sample") - 1)).select("sample", "a", "b", F.greatest("of_a", "of_b").alias("share")))
+    c = components(r.select(F.col("region").alias("node")), links.select("a", "b"))
+    spans = c.join(r.select(F.col("region").alias("node"), "sample").distinct(), "node")
+    long = spans.groupBy("component").agg(F.countDistinct("sample").alias("n")).filter("n >= 3").select("component")
+    return spans.join(long, "component", "left_semi").select("sample", F.col("node").alias("region"), F.col("component").alias("track"))

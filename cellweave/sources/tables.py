@@ -62,3 +62,19 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     df.write.mode("append").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str, rows: str) -> DataFrame:
+    """The objects of the array `rows` of JSON documents, one row each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def read_tree(spark: SparkSession, path: str, schema: str, pattern: str, names: list[str], kind: str = "parquet") -> DataFrame:
+    """All files under a folder, with the groups of `pattern` in each file's path as columns."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("header", True).format(kind).load(path)
+    return df.select("*", *[F.regexp_extract(F.col("_metadata.file_path"), pattern, i + 1).alias(n) for i, n in enumerate(names)])
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
+    """One folder per key; rows are dealt by key and a salt first, so that a task opens few folders and a hot key has several."""
+    df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(*by).parquet(path)

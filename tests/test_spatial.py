@@ -48,3 +48,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/more").count() == 2
     (tmp_path / "t.tsv").write_text("# note\nk\tv\n1\tNA\n")
     assert [tuple(r) for r in tables.read_delimited(spark, f"{tmp_path}/t.tsv", "k long, v string", comment="#").collect()] == [(1, "NA")]
+
+
+def test_manifests_trees_and_partitions(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"v": 1,\n "slides": [{"id": "a", "n": 2}, {"id": "b", "n": null}]}')
+    got = tables.read_manifest(spark, f"{tmp_path}/m.json", "slides array<struct<id string, n long>>", "slides")
+    assert sorted((r.id, r.n) for r in got.collect()) == [("a", 2), ("b", None)]
+    for cohort in ("x", "y"):
+        (tmp_path / "tree" / cohort).mkdir(parents=True)
+        (tmp_path / "tree" / cohort / "s-lowqc.csv").write_text("k\n1\n")
+    tree = tables.read_tree(spark, f"{tmp_path}/tree", "k long", "/([^/]+)/([^/]+?)(?:-lowqc)?[.]csv$", ["cohort", "field"], "csv")
+    assert sorted(map(tuple, tree.collect())) == [(1, "x", "s"), (1, "y", "s")]
+    tables.write_partitioned(spark.createDataFrame([(1, "p"), (2, "q")], "k long, project string"), f"{tmp_path}/out", ["project"])
+    assert {f.name for f in (tmp_path / "out").iterdir() if f.is_dir()} == {"project=p", "project=q"}
