@@ -1,5 +1,5 @@
 """Queries; importing the package fills the catalog."""
 
-from . import catalog, region_queries
+from . import catalog, region_queries, section_queries
 
-__all__ = ["catalog", "region_queries"]
+__all__ = ["catalog", "region_queries", "section_queries"]

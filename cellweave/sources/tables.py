@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import operator
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -78,3 +86,45 @@ def read_tree(spark: SparkSession, path: str, schema: str, pattern: str, names:
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """One folder per key; rows are dealt by key and a salt first, so that a task opens few folders and a hot key has several."""
     df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """A sparse matrix kept as Parquet triples (row, col, value): the rows of several ranges [start, end), one under the other.
+    The ranges reach the scan as a filter, so files and row groups outside them are not read."""
+    wanted = functools.reduce(operator.or_, [(F.col("row") >= a) & (F.col("row") < b) for a, b in ranges], F.lit(False))
+    return spark.read.schema("row long, col long, value double").parquet(path).filter(wanted)
+
+
+def read_npz(spark: SparkSession, path: str, schema: str, mask: str | None = None) -> DataFrame:
+    """Arrays of NPZ files as columns, one row for each place along the first axis and the file's path as `file`.
+
+    Scalars are repeated for all rows, further axes become nested arrays; `mask` names a boolean array that keeps rows. A file
+    whose arrays differ in length fails. A file is read by one task; pickled objects are refused.
+    """
+    kind = StructType.fromDDL(f"{schema}, file string")
+    names = [f.name for f in kind.fields[:-1]]
+    target = spark.createDataFrame([], kind).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    own = {n: z[n] for n in names}
+                    keep = z[mask].astype(bool) if mask else None
+                lengths = {len(a) for a in own.values() if a.ndim} | ({len(keep)} if keep is not None else set())
+                if len(lengths) > 1:
+                    raise ValueError(f"arrays of {file} differ in length: {sorted(lengths)}")
+                n = lengths.pop() if lengths else 1
+                columns = [np.repeat(a[None], n) if not a.ndim else a for a in own.values()]
+                columns = [(a if keep is None else a[keep]).tolist() for a in columns]
+                rows = len(columns[0]) if columns else 0
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, target, strict=False)], pa.array([file] * rows, pa.string())], schema=target)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInArrow(run, kind)
+
+
+def write_grids(grids: DataFrame, stats: DataFrame, path: str) -> None:
+    """Sparse grids by sample, and a table of what was measured on them, under one folder; the stats are written last, so a folder
+    with stats is complete."""
+    write_partitioned(grids, f"{path}/grids", ["sample"])
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
