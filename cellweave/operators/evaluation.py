@@ -104,6 +104,21 @@ def stratified_folds(groups: DataFrame, folds: int) -> DataFrame:
     return groups.groupBy().applyInPandas(deal, "group long, fold long")
 
 
+def load_folds(groups: DataFrame, folds: int) -> DataFrame:
+    """groups(sample, group, n): within each sample (a cancer) groups by falling n, then id, each to the fold with the fewest rows so
+    far (ties by number). One row for each group reaches a task, never its rows."""
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        load, out = [0] * folds, []
+        for r in pdf.sort_values(["n", "group"], ascending=[False, True]).itertuples():
+            k = load.index(min(load))
+            load[k] += r.n
+            out.append((r.sample, r.group, r.n, k))
+        return pd.DataFrame(out, columns=["sample", "group", "n", "fold"])
+
+    return groups.groupBy("sample").applyInPandas(deal, "sample long, group long, n long, fold long")
+
+
 def spread_anchors(candidates: DataFrame, square: float = 600.0, first: float = 600.0, last: float = 200.0, step: float = 100.0, wanted: int = 12) -> DataFrame:
     """candidates(sample, id, x, y, score): the best of each square, then others by falling score that keep `first` apart from all
     chosen, until `wanted` are; when none is left at a distance it is lowered by `step`, down to `last`. Squares are ranked in Spark;

@@ -203,3 +203,34 @@ def robust_affine(pairs: DataFrame, least: float = 15.0, factor: float = 2.5) ->
     r = r.join(r.groupBy("sample").agg(F.count_if("good").alias("k")), "sample").filter("good or k < 4")
     kept = r.groupBy("sample", "n").agg(F.count("*").alias("n_kept"))
     return affine(r).join(kept, "sample").select("sample", "n", "n_kept", "a", "b", "c", "d", "e", "f")
+
+
+def curve_models(points: DataFrame, rms: float = 30.0, radius: float = 150.0, slack: float = 1.3, turn: float = 120.0) -> DataFrame:
+    """sample, object, model, rms and curvature of points(sample, object, x, y, z): a line, a parabola or an S in the plane of the
+    two longest axes. A model needs 2, 4 or 6 points, must not curve tighter than `radius`, an S not turn by more than `turn`
+    degrees in all; of those with a root mean square distance of at most `rms` the simplest within `slack` of the best is
+    chosen. Distances are taken across the longest axis and out of the plane. Objects without a model have a null one."""
+    least = {1: 2, 2: 4, 3: 6}
+    names = {1: "line", 2: "parabola", 3: "scurve"}
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y", "z"]].to_numpy(float)
+        p = p - p.mean(axis=0)
+        _, _, axes = np.linalg.svd(p, full_matrices=True)
+        u, v, w = (p @ a for a in axes)
+        at, found = np.linspace(u.min(), u.max(), 200), []
+        for degree, n in least.items():
+            if len(p) < n or np.ptp(u) == 0:
+                continue
+            f = np.poly1d(np.polyfit(u / np.ptp(u), v, degree))
+            d1, d2 = f.deriv()(at / np.ptp(u)) / np.ptp(u), f.deriv(2)(at / np.ptp(u)) / np.ptp(u) ** 2
+            curvature = float((np.abs(d2) / (1 + d1**2) ** 1.5).max())
+            turned = float(np.degrees(np.abs(np.diff(np.arctan(d1))).sum()))
+            error = float(np.sqrt(np.mean((v - f(u / np.ptp(u))) ** 2 + w**2)))
+            if error <= rms and curvature <= 1 / radius and (degree < 3 or turned <= turn):
+                found.append((names[degree], error, curvature))
+        best = min((e for _, e, _ in found), default=0.0)
+        pick = next((m for m in found if m[1] <= slack * best + 1e-9), (None, None, None))
+        return pd.DataFrame([(pdf["sample"].iloc[0], pdf.object.iloc[0], *pick)], columns=["sample", "object", "model", "rms", "curvature"])
+
+    return points.groupBy("sample", "object").applyInPandas(choose, "sample long, object long, model string, rms double, curvature double")

@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from cellweave.operators import evaluation, linking, pieces, regions, spatial
 from cellweave.sources.tables import cells, table
 
-from .catalog import MASK, NX, NY, mask, query
+from .catalog import MASK, NX, NY, QUERIES, _sql, mask, query
 from .region_queries import density
-from .relational import CELLS
+from .relational import CELLS, oracle
 
 SIDE, BASE = 10, 5
+FRAME = "frame AS (SELECT sample, min(x) - 100 AS x0, min(y) - 100 AS y0, CAST(ceil((max(x) - min(x) + 200) / 10) AS BIGINT) AS nx, CAST(ceil((max(y) - min(y) + 200) / 10) AS BIGINT) AS ny FROM cells GROUP BY sample)"
+
+SQL = {
+    "r1_grid_frame": f"WITH {CELLS}, {FRAME} SELECT sample, round(x0, 6) AS x0, round(y0, 6) AS y0, nx, ny FROM frame",
+    "r2_rasterise": f"WITH {CELLS}, {FRAME}, p AS (SELECT c.sample, CAST(greatest(0, least(ny - 1, floor((y - y0) / 10))) AS BIGINT) AS iy, CAST(greatest(0, least(nx - 1, floor((x - x0) / 10))) AS BIGINT) AS ix FROM cells c JOIN frame f ON c.sample = f.sample) SELECT sample, iy, ix, count(*) AS n FROM p GROUP BY sample, iy, ix",
+    "o1_mixed_order": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey",
+    "o2_ranked_order": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END, o_totalprice, o_orderkey) AS k FROM orders) t WHERE k = 1",
+    "o5_top_clusters": f"WITH {CELLS}, c AS (SELECT sample, cell_type, CAST(floor(y / 10) AS BIGINT) AS lane, avg(CASE WHEN cell_type <> 'click' THEN x END) AS p, count(*) AS n FROM cells GROUP BY 1, 2, 3) SELECT sample, cell_type, lane, n FROM (SELECT *, row_number() OVER (PARTITION BY sample, cell_type ORDER BY round(coalesce(p, n), 9) DESC, lane) AS k FROM c) t WHERE k <= 3",
+    "e2_z_sum": "WITH g AS (SELECT l_orderkey AS cell, l_linenumber AS gene, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT gene, avg(v) AS m, stddev_pop(v) AS sd FROM g GROUP BY gene), k AS (SELECT * FROM (VALUES ('one', 2), ('two', 3), ('two', 5), ('lost', 4), ('lost', 99)) AS t(gene_set, gene)), few AS (SELECT k.gene_set FROM k JOIN s ON k.gene = s.gene GROUP BY k.gene_set HAVING count(*) < 2) SELECT k.gene_set, g.cell, round(sum((g.v - s.m) / s.sd), 6) AS score FROM k JOIN few ON k.gene_set = few.gene_set JOIN s ON k.gene = s.gene JOIN g ON g.gene = s.gene WHERE s.sd > 0 GROUP BY k.gene_set, g.cell",
+}
+for _name, _text in SQL.items():
+    QUERIES[_name] = (_sql(_text), oracle(_text))
 
 
 def tissue_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,3 +145,17 @@ def m1_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as patients, market segments as classes."""
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("group"), F.col("c_mktsegment").alias("class")).agg(F.count("*").alias("n"))
     return evaluation.stratified_folds(c, 5)
+
+
+@query()
+def m3_load_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as patients of their nation's cancer, weighted by their orders."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group"), F.col("c_nationkey").cast("long").alias("sample"))
+    return evaluation.load_folds(o.join(c, "group"), 5)
+
+
+@query()
+def x9_curve_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir).groupBy((F.floor(F.col("y") / 10)).cast("long").alias("object"), "cell_type", "sample").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return linking.curve_models(c.select((F.crc32("cell_type") % 1000).cast("long").alias("sample"), "object", "x", "y", (F.col("sample") * 20.0).alias("z")), rms=60.0)

@@ -220,3 +220,23 @@ def test_blocks_and_grids(spark, tmp_path):
     grids = spark.createDataFrame([(1, 0, 0, 2.0), (2, 0, 1, 3.0)], "sample long, iy long, ix long, density double")
     write_grids(grids, grids.groupBy("sample").count(), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/grids")).count() == spark.read.parquet(str(tmp_path / "out/stats")).count() == 2
+
+
+def test_load_folds_deal_the_largest_first(spark):
+    rows = [(c, g, int(RNG.integers(1, 9))) for c in range(2) for g in range(15)]
+    got = {(r.sample, r.group): r.fold for r in evaluation.load_folds(spark.createDataFrame(rows, "sample long, group long, n long"), 4).collect()}
+    for c in range(2):
+        load = [0] * 4
+        for _, g, n in sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], r[1])):
+            k = min(range(4), key=lambda i: (load[i], i))
+            load[k] += n
+            assert got[c, g] == k
+
+
+def test_curves_are_no_more_bent_than_needed(spark):
+    t = np.linspace(-400, 400, 40)
+    shapes = {1: 0 * t, 2: t**2 / 800, 4: RNG.normal(0, 200, 40)}
+    rows = [(1, k, float(a), float(b), float(0.1 * a)) for k, v in shapes.items() for a, b in zip(t, v, strict=True)] + [(1, 5, 0.0, 0.0, 0.0)]
+    got = {r.object: r.model for r in linking.curve_models(spark.createDataFrame(rows, "sample long, object long, x double, y double, z double"), radius=100.0).collect()}
+    assert got == {1: "line", 2: "parabola", 4: None, 5: None}
+    assert {r.model for r in linking.curve_models(spark.createDataFrame([(1, 1, float(a), float(a**3 / 1e6), 0.0) for a in t], "sample long, object long, x double, y double, z double"), rms=1.0).collect()} == {"scurve"}
