@@ -13,7 +13,7 @@ from cellweave.llm import token_files
 from cellweave.llm.common import PieceCache
 from cellweave.llm.decontaminate import overlaps
 from cellweave.llm.exact_dedup import exact_dedup
-from cellweave.llm.html_extract import extract
+from cellweave.llm.html_extract import extract, repeated
 from cellweave.llm.licenses import license_scan
 from cellweave.llm.minhash_dedup import near_duplicates
 from cellweave.llm.packing import pack, sequences
@@ -219,3 +219,27 @@ def test_keys_with_many_contexts_give_the_same_ranges(docs):
     for way in ways:
         one, two = ({(r.doc_id, r.fp): windows.union([s.asDict() for s in r.spans]) for r in windows.covered(docs, *way, most=most).collect()} for most in (50_000, 1))
         assert one and one == two
+
+
+def test_host_suffixes_find_the_longest_prefix_on_another_page(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"h{h}", page, b, " ".join(rng.choice(list("abc"), rng.integers(1, 14)))) for h in range(2) for page in range(5) for b in range(3)]
+    rows += [("h0", 9, 0, "a b a b a b a b a b a b a b"), ("h2", 10, 0, "c c c c c c c c c c")]  # a page that repeats itself
+    least, depth = 2, 6
+    got = {(r.page, r.block, r.at, h): r.covered for h in ("h0", "h1", "h2") for r in repeated(spark.createDataFrame([r for r in rows if r[0] == h], "host string, page long, block int, text string"), least, depth).collect()}
+    want = {}
+    for host, page, block, text in rows:
+        t = text.split()
+        for i in range(len(t) - least + 1):
+            best = 0
+            for h, p, _, other in rows:
+                u = other.split()
+                if h == host and p != page:
+                    for j in range(len(u) - least + 1):
+                        k = 0
+                        while k < depth and i + k < len(t) and j + k < len(u) and t[i + k] == u[j + k]:
+                            k += 1
+                        best = max(best, k)
+            if best >= least:
+                want[page, block, i, host] = best
+    assert got == want
