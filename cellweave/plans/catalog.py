@@ -18,7 +18,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: views(spark, sf_dir).sql(text)
+    return lambda spark, sf_dir: views(spark, sf_dir, text).sql(text)
 
 
 for _name, _text in SQL.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import io
 import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,12 @@ from pyspark.sql.types import StructType
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def views(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """Every table of the folder as a temporary view; nothing is read until a query names it, and then only its columns."""
+def views(spark: SparkSession, sf_dir: str, sql: str | None = None) -> SparkSession:
+    """The tables of the folder that `sql` names (all without it) as temporary views; a file's footer is read to make a view,
+    its data only by the query, and then only the columns it uses."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        if sql is None or re.search(rf"\b{name}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark
 
 
