@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .spatial import Side, sided
 
-def watershed(density: DataFrame, nx: int, ny: int) -> DataFrame:
+
+def watershed(density: DataFrame, nx: Side, ny: Side) -> DataFrame:
     """Basins of -density by priority flooding from its local maxima (3 by 3, ties to the smaller pixel number): sample, iy, ix, basin."""
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        nx, ny = int(pdf.nx.iloc[0]), int(pdf.ny.iloc[0])
         d = np.zeros((ny, nx))
         d[pdf.iy, pdf.ix] = pdf.density
         padded = np.pad(d, 1, constant_values=-np.inf)
@@ -33,7 +36,7 @@ def watershed(density: DataFrame, nx: int, ny: int) -> DataFrame:
         y, x = np.nonzero(label)
         return pd.DataFrame({"sample": pdf["sample"].iloc[0], "iy": y, "ix": x, "basin": label[y, x]})
 
-    return density.groupBy("sample").applyInPandas(flood, "sample long, iy long, ix long, basin long")
+    return sided(density, nx=nx, ny=ny).groupBy("sample").applyInPandas(flood, "sample long, iy long, ix long, basin long")
 
 
 def greedy_iou(pairs: DataFrame, least: float) -> DataFrame:

@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import _cut, components
-from .spatial import KEY, closing, dilate, erode, fill_holes, gaussian, lattice, near_pairs, nearest, squared_distance
+from .spatial import KEY, Side, at_pixel, closing, dilate, erode, fill_holes, gaussian, lattice, near_pairs, nearest, squared_distance
 
 
-def interface(mask: DataFrame, other: DataFrame, nx: int, ny: int) -> DataFrame:
+def interface(mask: DataFrame, other: DataFrame, nx: Side, ny: Side) -> DataFrame:
     """The mask's outermost pixels that lie within two pixels of the other mask."""
     return mask.select(*KEY).join(erode(mask, 1), KEY, "left_anti").join(dilate(other, 2, nx, ny), KEY, "left_semi")
 
 
-def interface_distance(mask: DataFrame, other: DataFrame, nx: int, ny: int, size: float = 10.0) -> DataFrame:
+def interface_distance(mask: DataFrame, other: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
     """Distance to the interface, negative in the mask and zero on it; samples without an interface have no rows."""
     d = squared_distance(interface(mask, other, nx, ny), nx, ny)
     inside = d.join(mask.select(*KEY, F.lit(-1.0).alias("sign")), KEY, "left")
     return inside.select(*KEY, F.when(F.col("d2") == 0, 0.0).otherwise(F.sqrt("d2") * size * F.coalesce("sign", F.lit(1.0))).alias("distance"))
 
 
-def tissue(counts: DataFrame, nx: int, ny: int, sigma: float, least: float, radius: int, fill: bool = True) -> DataFrame:
+def tissue(counts: DataFrame, nx: Side, ny: Side, sigma: float, least: float, radius: int, fill: bool = True) -> DataFrame:
     """Pixels of enough density, closed with a disk; holes are filled on request."""
     closed = closing(gaussian(counts, sigma, nx, ny).filter(F.col("density") > least).select(*KEY), radius, nx, ny)
     return fill_holes(closed, nx, ny) if fill else closed
 
 
-def halo(core: DataFrame, within: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
+def halo(core: DataFrame, within: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     return dilate(core, radius, nx, ny).join(within.select(*KEY).distinct(), KEY, "left_semi")
 
 
@@ -54,7 +54,7 @@ def surface(mask: DataFrame) -> DataFrame:
     return mask.select(*KEY).join(whole, KEY, "left_anti")
 
 
-def surface_metrics(pred: DataFrame, truth: DataFrame, nx: int, ny: int, size: float = 10.0, near: float = 20.0) -> DataFrame:
+def surface_metrics(pred: DataFrame, truth: DataFrame, nx: Side, ny: Side, size: float = 10.0, near: float = 20.0) -> DataFrame:
     """Per sample: share of surface pixels within `near` of the other surface, mean and 95th percentile of the distances.
     One side empty: 0 and nulls; a sample with both sides empty has no pixels and no row."""
     p, t = surface(pred), surface(truth)
@@ -64,11 +64,11 @@ def surface_metrics(pred: DataFrame, truth: DataFrame, nx: int, ny: int, size: f
     return every.join(both, "sample", "left").withColumn("surface_dice", F.coalesce("surface_dice", F.lit(0.0)))
 
 
-def supported(points: DataFrame, nx: int, ny: int, planes: int, cells: int, single: int, around: int, box: int) -> DataFrame:
+def supported(points: DataFrame, nx: Side, ny: Side, planes: int, cells: int, single: int, around: int, box: int) -> DataFrame:
     """Points of structures that go on through sections (`sample` is the section's number): dilated pixels are joined to
     all eight neighbours in their section and to the same pixel in the next; a structure counts with enough sections and
     points, or many points; a point also needs `around` points in its box, one section up and down."""
-    at = points.withColumn("iy", F.greatest(F.lit(0), F.least(F.lit(ny - 1), F.floor(F.col("y") / 10))).cast("long")).withColumn("ix", F.greatest(F.lit(0), F.least(F.lit(nx - 1), F.floor(F.col("x") / 10))).cast("long"))
+    at = at_pixel(points, nx, ny)
     counts = at.groupBy(*KEY).agg(F.count("*").alias("n"))
     node = F.col("sample") * F.lit(1 << 40) + F.col("iy") * F.lit(1 << 20) + F.col("ix")
     m = dilate(counts, 1, nx, ny).withColumn("node", node)
@@ -111,7 +111,7 @@ def linearity(points: DataFrame, radius: float, least: int) -> DataFrame:
     return s.select(F.col("a").alias("cell_id"), "n", F.when((F.col("n") >= least) & (top > 0), 2 * root / top).alias("linearity"))
 
 
-def thickest(mask: DataFrame, nx: int, ny: int, size: float = 10.0) -> DataFrame:
+def thickest(mask: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
     """Twice the largest distance from inside the mask to its complement, per sample."""
     rest = lattice(mask, nx, ny).join(mask, KEY, "left_anti")
     return mask.select(*KEY).join(squared_distance(rest, nx, ny), KEY).groupBy("sample").agg((2 * size * F.sqrt(F.max("d2"))).alias("diameter"))
@@ -125,7 +125,7 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("of_a", F.col("n") / F.col("na")).withColumn("of_b", F.col("n") / F.col("nb")).drop("na", "nb")
 
 
-def shell_index(region: DataFrame, counts: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
+def shell_index(region: DataFrame, counts: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     """Density of points in the rim over density inside; null where either area or both counts are zero, infinity without inner points."""
     rim = dilate(region, radius, nx, ny).join(region, KEY, "left_anti")
     side = region.select(*KEY, F.lit(True).alias("inner")).unionByName(rim.withColumn("inner", F.lit(False)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .graph import _cut, components
 
 KEY = ["sample", "iy", "ix"]
+#: A lattice's number of rows or columns: one for all samples, a table (sample, n), or None for a plane without a rim (rasterise only).
+Side = int | DataFrame | None
 
 
 def pixel(v: str, size: float, n: int) -> Column:
@@ -17,8 +19,37 @@ def pixel(v: str, size: float, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(v) / size))).cast("long")
 
 
-def rasterise(points: DataFrame, nx: int, ny: int, size: float = 10.0) -> DataFrame:
-    return points.groupBy("sample", pixel("y", size, ny).alias("iy"), pixel("x", size, nx).alias("ix")).agg(F.count("*").alias("n"))
+def sided(df: DataFrame, **sides: Side) -> DataFrame:
+    """df with a column for each side."""
+    for name, n in sides.items():
+        df = df.withColumn(name, F.lit(n)) if isinstance(n, int) else df.join(F.broadcast(n.select("sample", F.col("n").alias(name))), "sample")
+    return df
+
+
+def framed(points: DataFrame, size: float = 10.0, pad: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The points with x and y counted from the corner of their sample's frame (all its points and `pad` around), nx and ny."""
+    x0, y0 = F.min("x") - pad, F.min("y") - pad
+    side = lambda c: F.ceil((F.max(c) - F.min(c) + 2 * pad) / size).cast("long")
+    frame = points.groupBy("sample").agg(x0.alias("x0"), y0.alias("y0"), side("x").alias("nx"), side("y").alias("ny"))
+    moved = points.join(F.broadcast(frame.select("sample", "x0", "y0")), "sample").withColumn("x", F.col("x") - F.col("x0")).withColumn("y", F.col("y") - F.col("y0")).drop("x0", "y0")
+    return moved, frame.select("sample", F.col("nx").alias("n")), frame.select("sample", F.col("ny").alias("n"))
+
+
+def at_pixel(points: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
+    """points with iy and ix; points of a frame lie inside it."""
+    for k, v, n in (("iy", "y", ny), ("ix", "x", nx)):
+        points = points.withColumn(k, pixel(v, size, n) if isinstance(n, int) else F.floor(F.col(v) / size).cast("long"))
+    return points
+
+
+def rasterise(points: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
+    return at_pixel(points, nx, ny, size).groupBy(*KEY).agg(F.count("*").alias("n"))
+
+
+def cut(df: DataFrame, nx: Side, ny: Side) -> DataFrame:
+    """The rows inside the lattice."""
+    inside = F.col("iy").between(0, F.col("__ny") - 1) & F.col("ix").between(0, F.col("__nx") - 1)
+    return sided(df, __nx=nx, __ny=ny).filter(inside).drop("__nx", "__ny")
 
 
 def offsets(radius: int) -> list[tuple[int, int]]:
@@ -32,8 +63,8 @@ def _spread(mask: DataFrame, radius: int) -> DataFrame:
     return moved.select("sample", (F.col("iy") + F.col("o.dy")).alias("iy"), (F.col("ix") + F.col("o.dx")).alias("ix"))
 
 
-def dilate(mask: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
-    return _spread(mask, radius).filter(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1)).distinct()
+def dilate(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
+    return cut(_spread(mask, radius), nx, ny).select(*KEY).distinct()
 
 
 def erode(mask: DataFrame, radius: int) -> DataFrame:
@@ -42,20 +73,20 @@ def erode(mask: DataFrame, radius: int) -> DataFrame:
     return _spread(mask, radius).groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") == whole).select(*KEY)
 
 
-def opening(mask: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
+def opening(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     return dilate(erode(mask, radius), radius, nx, ny)
 
 
-def closing(mask: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
+def closing(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     """Dilation on an unbounded plane, so that erosion does not see the border, then cut to the lattice."""
-    return erode(_spread(mask, radius).distinct(), radius).filter(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1))
+    return cut(erode(_spread(mask, radius).distinct(), radius), nx, ny).select(*KEY)
 
 
-def disk_count(counts: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
+def disk_count(counts: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     disk = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets(radius)])
     moved = counts.select(*KEY, "n", F.explode(disk).alias("o"))
     moved = moved.select("sample", (F.col("iy") + F.col("o.dy")).alias("iy"), (F.col("ix") + F.col("o.dx")).alias("ix"), "n")
-    return moved.filter(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1)).groupBy(*KEY).agg(F.sum("n").alias("n"))
+    return cut(moved, nx, ny).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
 def kernel(n: int, sigma: float) -> list[tuple[int, int, float]]:
@@ -70,30 +101,34 @@ def kernel(n: int, sigma: float) -> list[tuple[int, int, float]]:
     return out
 
 
-def gaussian(counts: DataFrame, sigma: float, nx: int, ny: int) -> DataFrame:
+def gaussian(counts: DataFrame, sigma: float, nx: Side, ny: Side) -> DataFrame:
     """Separable density: one join and sum along each axis with a kernel table whose size is the lattice's side times the kernel."""
-    spark = counts.sparkSession
-    along_x = F.broadcast(spark.createDataFrame(kernel(nx, sigma), "t long, ix long, w double"))
-    along_y = F.broadcast(spark.createDataFrame(kernel(ny, sigma), "t long, iy long, w double"))
-    d = counts.join(along_x, "ix").groupBy("sample", "iy", F.col("t").alias("ix")).agg(F.sum(F.col("n") * F.col("w")).alias("n"))
-    return d.join(along_y, "iy").groupBy("sample", F.col("t").alias("iy"), "ix").agg(F.sum(F.col("n") * F.col("w")).alias("density"))
+    d = counts
+    for c, n in (("ix", nx), ("iy", ny)):
+        sizes = [n] if isinstance(n, int) else [r.n for r in n.select("n").distinct().collect()]
+        rows = [(size, *k) for size in sizes for k in kernel(size, sigma)]
+        along = F.broadcast(counts.sparkSession.createDataFrame(rows, f"side long, t long, {c} long, w double"))
+        other = "iy" if c == "ix" else "ix"
+        d = sided(d, side=n).join(along, ["side", c]).groupBy("sample", other, F.col("t").alias(c)).agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+    return d.select(*KEY, F.col("n").alias("density"))
 
 
-def lattice(mask: DataFrame, nx: int, ny: int) -> DataFrame:
-    return mask.select("sample").distinct().withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ny - 1).cast("long")))).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long"))))
+def lattice(mask: DataFrame, nx: Side, ny: Side) -> DataFrame:
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    samples = sided(mask.select("sample").distinct(), __nx=nx, __ny=ny)
+    return samples.withColumn("iy", number("__ny")).withColumn("ix", number("__nx")).select(*KEY)
 
 
-def squared_distance(mask: DataFrame, nx: int, ny: int) -> DataFrame:
+def squared_distance(mask: DataFrame, nx: Side, ny: Side) -> DataFrame:
     """Exact squared pixel distance to the nearest mask pixel, by columns and then by rows: nx * ny * (nx + ny) steps for
     each sample in place of a comparison of all pixels with all."""
-    rows = F.array([F.lit(i).cast("long") for i in range(ny)])
-    down = mask.select("sample", "ix", "iy", F.explode(rows).alias("t")).groupBy("sample", "ix", F.col("t").alias("iy")).agg(F.min((F.col("t") - F.col("iy")) * (F.col("t") - F.col("iy"))).alias("g"))
-    columns = F.array([F.lit(i).cast("long") for i in range(nx)])
-    across = down.select("sample", "iy", "ix", "g", F.explode(columns).alias("t"))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)).alias("t")
+    down = sided(mask, side=ny).select("sample", "ix", "iy", number("side")).groupBy("sample", "ix", F.col("t").alias("iy")).agg(F.min((F.col("t") - F.col("iy")) * (F.col("t") - F.col("iy"))).alias("g"))
+    across = sided(down, side=nx).select("sample", "iy", "ix", "g", number("side"))
     return across.groupBy("sample", "iy", F.col("t").alias("ix")).agg(F.min(F.col("g") + (F.col("t") - F.col("ix")) * (F.col("t") - F.col("ix"))).alias("d2"))
 
 
-def signed_distance(mask: DataFrame, nx: int, ny: int, size: float = 10.0) -> DataFrame:
+def signed_distance(mask: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
     """(distance to the mask - distance to its complement) * size: negative inside."""
     grid = lattice(mask, nx, ny)
     outside = grid.join(mask, KEY, "left_anti")
@@ -119,12 +154,12 @@ def remove_small(mask: DataFrame, least: int, eight: bool = False) -> DataFrame:
     return labelled.join(big, "region")
 
 
-def fill_holes(mask: DataFrame, nx: int, ny: int, most: int | None = None) -> DataFrame:
+def fill_holes(mask: DataFrame, nx: Side, ny: Side, most: int | None = None) -> DataFrame:
     """Adds background components that do not touch the border, all or those of at most `most` pixels. The mask is
     checkpointed, because its plan would otherwise run once for each use."""
     mask = _cut(mask.select(*KEY))
-    empty = lattice_components(lattice(mask, nx, ny).join(mask, KEY, "left_anti"))
-    edge = F.col("iy").isin(0, ny - 1) | F.col("ix").isin(0, nx - 1)
+    empty = sided(lattice_components(lattice(mask, nx, ny).join(mask, KEY, "left_anti")), __nx=nx, __ny=ny)
+    edge = (F.col("iy") == 0) | (F.col("iy") == F.col("__ny") - 1) | (F.col("ix") == 0) | (F.col("ix") == F.col("__nx") - 1)
     holes = empty.groupBy("region").agg(F.max(edge).alias("open"), F.count("*").alias("size")).filter("not open")
     holes = holes.filter(F.col("size") <= most) if most is not None else holes
     return mask.select(*KEY).unionByName(empty.join(holes, "region").select(*KEY))

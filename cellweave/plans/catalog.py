@@ -37,6 +37,21 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.rasterise(cells(spark, sf_dir).filter("cell_type = 'purchase'"), NX, NY).select("sample", "iy", "ix")
 
 
+def framed_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells counted from the corner of their section's own frame, with the frames' nx and ny."""
+    return spatial.framed(cells(spark, sf_dir))
+
+
+def framed_mask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    points, nx, ny = framed_cells(spark, sf_dir)
+    return spatial.rasterise(points.filter("cell_type = 'purchase'"), nx, ny).select(*spatial.KEY), nx, ny
+
+
+def framed_density(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    points, nx, ny = framed_cells(spark, sf_dir)
+    return spatial.gaussian(spatial.rasterise(points, nx, ny), 1.0, nx, ny), nx, ny
+
+
 GRID = f"iy_(iy) AS (SELECT unnest(range(0, {NY}))), ix_(ix) AS (SELECT unnest(range(0, {NX})))"
 MASK = f"{CELLS}, mask AS (SELECT DISTINCT sample, CAST(greatest(0, least({NY - 1}, floor(y / 10))) AS BIGINT) AS iy, CAST(greatest(0, least({NX - 1}, floor(x / 10))) AS BIGINT) AS ix FROM cells WHERE cell_type = 'purchase'), {GRID}, grid AS (SELECT s.sample, iy, ix FROM (SELECT DISTINCT sample FROM mask) s, iy_, ix_)"
 SDF = """rest AS (SELECT g.* FROM grid g ANTI JOIN mask m USING (sample, iy, ix)),
@@ -95,17 +110,18 @@ def r8_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r7_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.fill_holes(mask(spark, sf_dir), NX, NY, 4)
+    return spatial.fill_holes(*framed_mask(spark, sf_dir), 4)
 
 
 @query()
 def r5_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.closing(mask(spark, sf_dir), 1, NX, NY)
+    m, nx, ny = framed_mask(spark, sf_dir)
+    return spatial.closing(m, 1, nx, ny)
 
 
 @query()
 def r13_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.watershed(spatial.gaussian(spatial.rasterise(cells(spark, sf_dir), NX, NY), 1.0, NX, NY), NX, NY)
+    return grouped.watershed(*framed_density(spark, sf_dir))
 
 
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from cellweave.operators import grouped, regions, spatial
 from cellweave.operators.graph import components
 from cellweave.sources.tables import cells, table
 
-from .catalog import DISK, MASK, NX, NY, QUERIES, _sql, mask, query
+from .catalog import DISK, MASK, NX, NY, QUERIES, _sql, framed_cells, framed_density, framed_mask, mask, query
 from .relational import CELLS, SCORES, oracle
 
 PX = f"{CELLS}, px AS (SELECT cell_id, sample, cell_type, x, y, CAST(greatest(0, least({NY - 1}, floor(y / 10))) AS BIGINT) AS iy, CAST(greatest(0, least({NX - 1}, floor(x / 10))) AS BIGINT) AS ix FROM cells)"
@@ -77,8 +77,12 @@ def layer(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return spatial.rasterise(cells(spark, sf_dir).filter(F.col("cell_type") == kind), NX, NY)
 
 
-def density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.gaussian(spatial.rasterise(cells(spark, sf_dir), NX, NY), 1.0, NX, NY)
+def one_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells counted from the corner of one frame around all sections, for what compares pixels of different sections."""
+    every = cells(spark, sf_dir)
+    points, nx, ny = spatial.framed(every.withColumn("section", F.col("sample")).withColumn("sample", F.lit(0)))
+    nx, ny = (every.select("sample").distinct().crossJoin(F.broadcast(n.select("n"))) for n in (nx, ny))
+    return points.withColumn("sample", F.col("section")).drop("section"), nx, ny
 
 
 OTHER = f"other AS (SELECT DISTINCT sample, CAST(greatest(0, least({NY - 1}, floor(y / 10))) AS BIGINT) AS iy, CAST(greatest(0, least({NX - 1}, floor(x / 10))) AS BIGINT) AS ix FROM cells WHERE cell_type = 'view')"
@@ -93,18 +97,19 @@ def r10_interface_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r11_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.tissue(spatial.rasterise(cells(spark, sf_dir), NX, NY), NX, NY, 1.0, 0.015, 1)
+    points, nx, ny = framed_cells(spark, sf_dir)
+    return regions.tissue(spatial.rasterise(points, nx, ny), nx, ny, 1.0, 0.015, 1)
 
 
 @query()
 def r12_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.local_maxima(density(spark, sf_dir), 3)
+    return grouped.local_maxima(framed_density(spark, sf_dir)[0], 3)
 
 
 @query()
 def r14_merged_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = density(spark, sf_dir)
-    return regions.merge_basins(grouped.watershed(d, NX, NY), d, 0.5)
+    d, nx, ny = framed_density(spark, sf_dir)
+    return regions.merge_basins(grouped.watershed(d, nx, ny), d, 0.5)
 
 
 @query(f"WITH {MASK}, {OTHER}, {DISK} SELECT DISTINCT o.sample, o.iy, o.ix FROM other o JOIN mask m ON o.sample = m.sample JOIN disk d ON o.iy = m.iy + d.dy AND o.ix = m.ix + d.dx")
@@ -114,13 +119,15 @@ def r17_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r22_mask_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.fill_holes(spatial.closing(mask(spark, sf_dir), 3, NX, NY), NX, NY)
+    m, nx, ny = framed_mask(spark, sf_dir)
+    return spatial.fill_holes(spatial.closing(m, 3, nx, ny), nx, ny)
 
 
 @query()
 def r23_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = cells(spark, sf_dir).groupBy("sample", F.crc32("cell_type").alias("region")).agg(F.round(F.avg("y") / 10).cast("long").alias("iy"), F.round(F.avg("x") / 10).cast("long").alias("ix"), F.least(F.count("*"), F.lit(12)).alias("target"))
-    return grouped.grow(seeds, spatial.rasterise(cells(spark, sf_dir), NX, NY).select(*spatial.KEY))
+    points, nx, ny = framed_cells(spark, sf_dir)
+    seeds = points.groupBy("sample", F.crc32("cell_type").alias("region")).agg(F.round(F.avg("y") / 10).cast("long").alias("iy"), F.round(F.avg("x") / 10).cast("long").alias("ix"), F.least(F.count("*"), F.lit(12)).alias("target"))
+    return grouped.grow(seeds, spatial.rasterise(points, nx, ny).select(*spatial.KEY).toDF(*spatial.KEY))
 
 
 @query(f"WITH RECURSIVE {MASK}, m AS (SELECT *, sample * 1099511627776 + iy * 1048576 + ix AS node FROM mask), e AS (SELECT a.node AS a, b.node AS b FROM m a JOIN m b ON a.sample = b.sample AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1), r AS (SELECT node AS a, node AS b FROM m UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS node, min(b) AS region FROM r GROUP BY a), s AS (SELECT region, count(*) AS size FROM c GROUP BY region) SELECT m.sample, m.iy, m.ix, c.region, s.size FROM m JOIN c USING (node) JOIN s USING (region) WHERE s.size >= 2")
@@ -135,7 +142,8 @@ def r29_shell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r31_supported_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.supported(cells(spark, sf_dir).filter("cell_type = 'click'"), NX, NY, planes=2, cells=4, single=50, around=3, box=2)
+    points, nx, ny = one_frame(spark, sf_dir)
+    return regions.supported(points.filter("cell_type = 'click'"), nx, ny, planes=2, cells=4, single=50, around=3, box=2)
 
 
 SQUARE = "sq AS (SELECT dy, dx FROM (SELECT unnest(range(-1, 2)) AS dy) a, (SELECT unnest(range(-1, 2)) AS dx) b)"
@@ -200,7 +208,8 @@ def g9_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a33_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.shape(spatial.lattice_components(spatial.dilate(mask(spark, sf_dir), 2, NX, NY)))
+    m, nx, ny = framed_mask(spark, sf_dir)
+    return grouped.shape(spatial.lattice_components(spatial.dilate(m, 2, nx, ny)))
 
 
 @query(f"WITH RECURSIVE {CELLS}, p AS (SELECT a.cell_id AS a, b.cell_id AS b FROM cells a JOIN cells b ON a.sample = b.sample AND a.cell_id <> b.cell_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4), k AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 3), h AS (SELECT p.a, p.b FROM p JOIN k ON p.a = k.a), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h), r AS (SELECT cell_id AS a, cell_id AS b FROM cells UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
@@ -268,7 +277,9 @@ def a30_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g8_linked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions followed through the sections by the pixels they share; `track` is the smallest member."""
-    r = spatial.lattice_components(spatial.dilate(mask(spark, sf_dir), 2, NX, NY))
+    points, nx, ny = one_frame(spark, sf_dir)
+    m = spatial.rasterise(points.filter("cell_type = 'purchase'"), nx, ny).select(*spatial.KEY)
+    r = spatial.lattice_components(spatial.dilate(m, 2, nx, ny))
     links = grouped.link(regions.overlaps(r, r.withColumn("sample", F.col("sample") - 1)).select("sample", "a", "b", F.greatest("of_a", "of_b").alias("share")))
     c = components(r.select(F.col("region").alias("node")), links.select("a", "b"))
     spans = c.join(r.select(F.col("region").alias("node"), "sample").distinct(), "node")

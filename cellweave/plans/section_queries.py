@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import evaluation, linking, pieces, regions, spatial
 from cellweave.sources.tables import cells, table
 
-from .catalog import MASK, NX, NY, QUERIES, _sql, mask, query
-from .region_queries import density
+from .catalog import MASK, NX, NY, QUERIES, _sql, framed_cells, framed_density, framed_mask, mask, query
 from .relational import CELLS, oracle
 
 SIDE, BASE = 10, 5
@@ -28,27 +27,30 @@ for _name, _text in SQL.items():
 
 
 def tissue_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.lattice_components(spatial.dilate(mask(spark, sf_dir), 2, NX, NY))
+    m, nx, ny = framed_mask(spark, sf_dir)
+    return spatial.lattice_components(spatial.dilate(m, 2, nx, ny))
 
 
 @query()
 def r15_neck_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.neck_split(tissue_regions(spark, sf_dir), density(spark, sf_dir), NX, NY, hole=3, neck=2.0)
+    return pieces.neck_split(tissue_regions(spark, sf_dir), *framed_density(spark, sf_dir), hole=3, neck=2.0)
 
 
 @query()
 def r16_oversized_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.oversized_split(tissue_regions(spark, sf_dir), spatial.rasterise(cells(spark, sf_dir), NX, NY), NX, NY, most=60, broad=2.0, fine=1.0, apart=3, close=1, open_=1, hole=3, neck=1.0)
+    points, nx, ny = framed_cells(spark, sf_dir)
+    return pieces.oversized_split(tissue_regions(spark, sf_dir), spatial.rasterise(points, nx, ny), nx, ny, most=60, broad=2.0, fine=1.0, apart=3, close=1, open_=1, hole=3, neck=1.0)
 
 
 @query()
 def x21_valley_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.valley_split(tissue_regions(spark, sf_dir), density(spark, sf_dir), NX, NY, apart=3, saddle=0.8, least=8)
+    return pieces.valley_split(tissue_regions(spark, sf_dir), *framed_density(spark, sf_dir), apart=3, saddle=0.8, least=8)
 
 
 @query()
 def r19_tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pieces.tracts(cells(spark, sf_dir).filter("cell_type = 'click'"), NX, NY, link=8.0, reach=10.0, least=3, wide=1, major=20.0, aspect=1.5)
+    points, nx, ny = framed_cells(spark, sf_dir)
+    t = pieces.tracts(points.filter("cell_type = 'click'"), nx, ny, link=8.0, reach=10.0, least=3, wide=1, major=20.0, aspect=1.5)
     return t.select("sample", "tract", "n", "major", "minor", "solidity", "linear_density", "median_nn", F.size("pixels").alias("n_pixels"))
 
 
@@ -73,7 +75,7 @@ def x11_drifting_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g7_merged_lobes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains: regions of a cell type followed by their lane; shares: overlap of their pixels on each section."""
-    c = spatial.rasterise(cells(spark, sf_dir).withColumn("sample", F.col("sample") * 1000 + F.crc32("cell_type") % 5 * 10 + F.floor(F.col("x") / 60).cast("long") % 10), NX, NY)
+    c = spatial.rasterise(cells(spark, sf_dir).withColumn("sample", F.col("sample") * 1000 + F.crc32("cell_type") % 5 * 10 + F.floor(F.col("x") / 60).cast("long") % 10), None, None)
     px = c.select((F.col("sample") % 1000).alias("region"), F.floor(F.col("sample") / 1000).alias("sample"), "iy", "ix")
     shares = regions.overlaps(px, px).filter("a < b").select(F.lit(0).cast("long").alias("sample"), F.col("sample").alias("z"), "a", "b", F.greatest("of_a", "of_b").alias("share"))
     members = px.select(F.lit(0).cast("long").alias("sample"), F.col("region").alias("chain"), F.col("sample").alias("z"), "region").distinct()
