@@ -1,0 +1,29 @@
+"""`NAME_all`: queries over all rows whose NAME takes a part of them only because its SQL does."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave.operators.graph import components
+from cellweave.sources.tables import table
+
+from .catalog import QUERIES, _sql, query
+from .region_queries import SQL as REGION_SQL
+from .relational import SQL, oracle
+
+WHOLE = {
+    "j22_ring_neighbours_all": SQL["j22_ring_neighbours"]
+    .replace("SELECT DISTINCT CAST(floor(y", "SELECT DISTINCT sample, CAST(floor(y").replace(" FROM cells WHERE sample = 1)", " FROM cells)")
+    .replace("SELECT t.iy,", "SELECT t.sample, t.iy,").replace("LEFT JOIN t u ON ", "LEFT JOIN t u ON u.sample = t.sample AND "),
+    "g6_bridged_ends_all": REGION_SQL["g6_bridged_ends"].replace(" WHERE sample % 3 > 0", ""),
+}
+for _name, _text in WHOLE.items():
+    QUERIES[_name] = (_sql(_text), oracle(_text))
+
+
+@query()
+def g2_bipartite_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without SQL: a recursive closure of all orders compares all pairs of a group."""
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.lit(-1) - F.col("o_orderkey") % 5000).alias("b"))
+    return components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
