@@ -1,4 +1,4 @@
-"""License scans: TF-IDF cosine of lines to templates, then inheritance from the nearest directory above."""
+"""License scans: TF-IDF cosine of lines to templates, of blocks and whole texts to standard headers and licence texts, then inheritance from the nearest directory above."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import stored, texts, tune
 
 #: The statements by which files name their licence.
@@ -61,6 +62,76 @@ class Matcher:
         return top if top and top[0] >= threshold else None
 
 
+#: A word of each text of license_texts; the beginnings of comment lines; where a line may hold a statement besides others.
+GATE = ("license", "licence", "copyright", "permission", "redistribut", "reserved", "spdx", "cc by", "cc-by", "cc0")
+COMMENT = re.compile(r"^\s*(?://+!?|/\*+!?|\*+/?|#+|--+|;+|%+|<!--|\.\.|dnl\b|rem\b|\"\"\"|\'\'\')\s?|\s*(?:\*+/|-->)\s*$", re.I)
+SIGNS = frozenset("/*#-;%<.\"'dDrR")
+SENTENCE = re.compile(r"(?<=[.;!?])\s+|,?\s+(?=all rights reserved)", re.I)
+
+
+def gated(low: str) -> bool:
+    return any(w in low for w in GATE)
+
+
+class Blocks:
+    """TF-IDF cosine of pairs of neighbouring words to the headers (for blocks of lines) and licence texts (for whole texts)."""
+
+    def __init__(self):
+        named = [(name, text, False) for name, text in license_texts.HEADERS] + [(name, text, True) for name, text in license_texts.whole()]
+        bags = [self.pairs(text) for _, text, _ in named]
+        seen = Counter(t for b in bags for t in b)
+        self.rare = math.log(1 + len(bags))
+        self.idf = {t: math.log(1 + len(bags) / n) for t, n in seen.items()}
+        self.templates = []
+        for (name, _, whole), bag in zip(named, bags, strict=True):
+            v = {t: (1 + math.log(n)) * self.idf[t] for t, n in bag.items()}
+            self.templates.append((name, whole, v, math.sqrt(sum(x * x for x in v.values()))))
+
+    @staticmethod
+    def pairs(text: str) -> Counter:
+        words = terms(text)
+        return Counter(zip(words, words[1:], strict=False))
+
+    def best(self, text: str, whole: bool, threshold: float) -> tuple[float, str] | None:
+        """The best header for a block, or the best licence text for a whole text."""
+        known, all_ = {}, 0.0
+        for t, n in self.pairs(text).items():
+            idf = self.idf.get(t)
+            w = (1 + math.log(n)) * (idf or self.rare)
+            all_ += w * w
+            if idf:
+                known[t] = w
+        if sum(w * w for w in known.values()) < threshold * threshold * all_ or not known:
+            return None  # no cosine is larger than the share of the known pairs
+        found = [(sum(w * own[t] for t, w in known.items() if t in own) / (math.sqrt(all_) * size), name) for name, full, own, size in self.templates if whole == full]
+        top = max(found)
+        return (min(top[0], 1.0), top[1]) if top[0] >= threshold else None
+
+
+def paragraphs(text: str) -> tuple[list[str], str]:
+    """Blocks of lines between blank ones or where comments begin or end, without comment signs; and the first comment or block, blank lines inside it included."""
+    out: list[list[str]] = [[]]
+    head: list[str] = []
+    kind, in_head = None, True
+    for line in text.split("\n"):
+        bare = line.strip()
+        if comment := bare[:1] in SIGNS or bare[-2:] == "*/":
+            bare = COMMENT.sub("", COMMENT.sub("", bare)).strip()
+            comment = bare != line.strip()
+        if bare and kind is not None and comment != kind:
+            out.append([])
+            in_head = in_head and not any(head)
+        if not bare:
+            out.append([])
+            in_head = in_head and (comment or kind is not False)
+            continue
+        kind = comment
+        out[-1].append(bare)
+        if in_head:
+            head.append(bare)
+    return [" ".join(b) for b in out if b], " ".join(head)
+
+
 def vocabulary(templates: list[tuple[str, str]]) -> set[str]:
     return {t for _, text in templates for t in terms(text)}
 
@@ -90,8 +161,9 @@ def line_counts(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[dic
 def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """files(path, text, ...) with license, score, found_in ('text', 'directory' or 'none') and license_from (a path).
 
-    The best line of a text gives its own license (ties: the greater name). A licence file is one named LICENSE, LICENCE or
-    COPYING, or one of which every line that is not blank names one license; it stands for its directory. A file without a
+    The best line, sentence of a line, block of lines or whole text gives a text's own license (ties: the greater name); "proprietary"
+    counts only without a block. A licence file is one named LICENSE, LICENCE or
+    COPYING, one of which every line that is not blank names one license, or one that is a licence text as a whole; it stands for its directory. A file without a
     license of its own has that of the nearest directory above it with one (of several licence files there, the best
     score, then the smallest path). Null texts are empty; a null path inherits nothing; repeated paths inherit alike;
     input columns with the new names are replaced; an empty table gives no rows.
@@ -100,25 +172,35 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     tune(spark)
     files = files.drop("license", "score", "found_in", "license_from")
     counts, lines = line_counts(files, templates)
-    shared = spark.sparkContext.broadcast(Matcher(templates, counts, lines))
+    shared = spark.sparkContext.broadcast((Matcher(templates, counts, lines), Blocks()))
     vocab = vocabulary(templates)
 
     @F.arrow_udf("struct<license: string, score: double, whole: boolean>")
     def scan(text: pa.Array) -> pa.Array:
-        matcher, out = shared.value, []
+        (matcher, wide), out = shared.value, []
         for t in texts(text):
             best, blank, other, names = None, 0, 0, set()
+            near = gated(t.lower())
             for line in t.split("\n"):
                 low = line.lower()
                 hit = None
                 if len(vocab.intersection(low.split())) or len(vocab.intersection(TERM.findall(low))):
                     hit = matcher.best(low, threshold)
+                    if near and not hit and gated(low):  # a statement among others of its line names a license, but not the line as a whole
+                        best = max([x for s in SENTENCE.split(low) if (x := matcher.best(s, threshold))] + ([best] if best else []), default=None)
                 if hit:
                     names.add(hit[1])
                     best = max(best or hit, hit)
                 elif line.strip():
                     other += 1
-            out.append({"license": best[1] if best else None, "score": best[0] if best else 0.0, "whole": not other and len(names) == 1})
+            full = None
+            if near:
+                blocks, head = paragraphs(t)
+                full = wide.best(" ".join(blocks), True, threshold)
+                found = [x for b in {*blocks, head} if gated(b.lower()) and (x := wide.best(b, False, threshold))] + ([full] if full else [])
+                if found:  # such texts reserve all other rights besides
+                    best = max([*found, *([best] if best and best[1] != "proprietary" else [])])
+            out.append({"license": best[1] if best else None, "score": best[0] if best else 0.0, "whole": full is not None or not other and len(names) == 1})
         return pa.array(out, pa.struct([("license", pa.string()), ("score", pa.float64()), ("whole", pa.bool_())]))
 
     scanned = files.withColumn("__own", scan(F.col("text").cast("string")))

@@ -243,3 +243,35 @@ def test_host_suffixes_find_the_longest_prefix_on_another_page(spark):
             if best >= least:
                 want[page, block, i, host] = best
     assert got == want
+
+
+GPL3_HEADER = """# foo.py - does foo
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import foo
+"""
+
+
+def test_licenses_of_wrapped_headers_and_whole_texts(spark):
+    from cellweave.llm import license_texts
+
+    whole = dict(license_texts.whole())
+    files = {f"{k}/COPYING.md": (k, f"Copyright (c) 2015, Foo Inc. All rights reserved.\n\n{t}") for k, t in whole.items()} | {f"{k}/code": (k, "x = 1") for k in whole}
+    files |= {
+        "a": ("GPL-3.0", GPL3_HEADER),
+        "b": ("proprietary", "/* Copyright (c) 2015, Foo Inc. All rights reserved. */\nint x;"),
+        "c": ("MIT", "/**\n * This source code is licensed under the MIT license found in the\n * LICENSE file in the root directory of this source tree.\n */\nlet x"),
+        "d": ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2"),
+        "e": ("LGPL-2.1", GPL3_HEADER.replace("General", "Lesser General").replace("version 3", "version 2.1")),
+        "f": (None, "The driver needs a license to drive, and permission of the owner to use the car on public roads."),
+    }
+    got = {r.path: r.license for r in license_scan(spark.createDataFrame([(p, t) for p, (_, t) in files.items()], "path string, text string")).collect()}
+    assert got == {p: k for p, (k, _) in files.items()}
