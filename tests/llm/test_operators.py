@@ -275,3 +275,10 @@ def test_licenses_of_wrapped_headers_and_whole_texts(spark):
     }
     got = {r.path: r.license for r in license_scan(spark.createDataFrame([(p, t) for p, (_, t) in files.items()], "path string, text string")).collect()}
     assert got == {p: k for p, (k, _) in files.items()}
+
+
+def test_runs_of_short_blocks_on_other_pages_are_removed(spark):
+    menu = "<div>Home</div><div>All news</div><ul><li>About us</li><li>Contact</li></ul><div>Read more</div><p>(c) 2024 Foo</p>"
+    pages = [(i, f"http://h/{i}", f"<body>{menu}<div>story {i} says x{i} y{i}</div><div>end {i}</div></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{i} says x{i} y{i}\n\nend {i}" for i in range(3)}
