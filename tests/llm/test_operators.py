@@ -282,3 +282,12 @@ def test_runs_of_short_blocks_on_other_pages_are_removed(spark):
     pages = [(i, f"http://h/{i}", f"<body>{menu}<div>story {i} says x{i} y{i}</div><div>end {i}</div></body>") for i in range(3)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{i} says x{i} y{i}\n\nend {i}" for i in range(3)}
+
+
+def test_marks_inside_an_article_count_only_as_whole_names_of_containers():
+    from cellweave.llm.html_extract import decided
+
+    kept = ['<h2 id="related-work">a</h2>', '<section id="search-algorithms">b</section>', '<p class="notice">c</p>', '<div class="social-history">d</div>']
+    kept += ['<div aria-hidden="false">e</div>', '<div data-state="hidden">f</div>', "<p>g <math>h</math> <label>i</label></p>", '<div title="x hidden class=comments">j</div>']
+    cut = ['<div class="wide comments">x</div>', "<div hidden>x</div>", '<ul id="share">x</ul>', '<div style="display: none">x</div>', '<p hidden="">x</p>']
+    assert decided(f"<article>{''.join(kept + cut)}</article>") == ["a", "b", "c", "d", "e", "f", "g h i", "j"]
