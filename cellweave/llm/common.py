@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -43,7 +45,72 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        jvm.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
+#: A key is hot if it has more than 1 / HOT of all rows; so there are fewer than HOT of them, whatever the data.
+HOT = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], count: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with `one`, which has a row for each key and the number of its rows in the column `count`.
+
+    The hot keys' rows of `one`, fewer than HOT as the counts add up to `total` at most, are sent to every task. Rows of
+    `many` with a hot or null key need no partner from the shuffle: they are dealt by a hash of `by`, so no task gets a
+    whole hot key. how: inner or left.
+    """
+    payload = [c for c in one.columns if c not in on]
+    packed = F.struct(*payload)
+    hot = one.filter(F.col(count) > total // HOT).select(*on, packed.alias("__hot"))
+    rest = one.filter(F.col(count) <= total // HOT).select(*on, packed.alias("__rest"), F.lit(0).alias("__salt"))
+    left = many.join(F.broadcast(hot), on, "left")  # fewer than HOT rows
+    none = F.lit(False)
+    for c in on:
+        none = none | F.col(c).isNull()
+    left = left.withColumn("__salt", F.when(none | F.col("__hot").isNotNull(), 1 + F.pmod(F.xxhash64(*by), F.lit(1 << 20))).otherwise(0).cast("int"))
+    out = left.join(rest, [*on, "__salt"], "left").withColumn("__got", F.coalesce("__hot", "__rest"))
+    if how == "inner":
+        out = out.filter("__got is not null")
+    return out.select(*many.columns, *(F.col(f"__got.{c}").alias(c) for c in payload if c not in many.columns))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4000) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups, and where each group begins (and the last ends); rows come sorted by the keys, which are integers."""
+    held: list[pa.RecordBatch] = []
+    n, first = 0, 0
+
+    def edges(t: pa.Table) -> list[int]:
+        new = np.zeros(len(t), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return [0, *np.flatnonzero(new).tolist()]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < first + rows:
+            continue
+        t = pa.Table.from_batches(held)
+        at = edges(t)
+        if at[-1]:
+            yield t.slice(0, at[-1]), at
+        rest = t.slice(at[-1])
+        held, n = rest.to_batches(), len(rest)
+        first = n  # a long group is looked at again when it has grown
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, [*edges(t), len(t)]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
