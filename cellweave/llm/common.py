@@ -229,88 +229,256 @@ ODD_SPACE = "[\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004
 #: Letters and signs on which the pattern libraries of Python and of the tokenizers agree, with no composition to do.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-ſ"
 SIGNS = "\\t-\\r\\x20-\\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7‐-‧‰-⁞₠-₿"
-#: The patterns by which the two public tokenizers split a text, over these letters.
+#: What the patterns of the two public tokenizers split off after an apostrophe.
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_LEVEL = rf"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
-WORD_LEVEL = rf"{ENDINGS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
+LETTER, DIGIT, SIGN, SPACE = range(4)
+KIND = np.full(256, SIGN, np.uint8)
+KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = LETTER
+KIND[[*b"0123456789"]] = DIGIT
+KIND[WHITE] = SPACE
 
 
-class PieceCache(dict):
-    """Token ids of a text as bytes, from the ids of its pieces: each distinct piece is encoded once.
+def pieces_of(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces into which the tokenizers' patterns split texts (as UTF-8) of LETTERS and SIGNS.
+
+    Runs of letters, of digits and of signs, and the ENDINGS. spaced: a space belongs to the run after it, and other white
+    space makes pieces of its own; else white space makes none and each digit is a piece.
+    """
+    kind = KIND[data]
+    high = np.flatnonzero(data >= 0xC2)
+    for lead, width, letters in ((0xC2, 2, (0xAA, 0xB5, 0xBA)), (0xC3, 2, None), (0xE2, 3, ())):
+        at = high[data[high] == lead]
+        after = data[at + 1]
+        at = at[(after == 0x97) | (after == 0xB7) if letters is None else ~np.isin(after, letters)]
+        for k in range(width):
+            kind[at + k] = SIGN
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    new = first.copy()
+    new[1:-1] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero(~first[1:-1] & (kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+    quote = np.flatnonzero(data == 0x27)
+    before = np.where(first[quote], SPACE, kind[quote - 1])
+    quote = quote[(before != SIGN) & (first[quote] | (data[quote - 1] != 0x20) | (not spaced))]
+    padded = np.append(data, [0, 0]).astype(np.uint8)
+    one, two = padded[quote + 1], padded[quote + 2]
+    long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)  # re, ve, ll
+    size = np.where(long, 3, np.where(np.isin(one, [*b"stmd"]), 2, 0))
+    left = offsets[np.searchsorted(offsets, quote, "right")] - quote
+    quote, size = quote[(size > 0) & (size <= left)], size[(size > 0) & (size <= left)]
+    if spaced:
+        own = data[after - 1] == 0x20
+        new[after - 1] = True
+        new[after[own]] = False
+    else:
+        new[:-1] |= kind == DIGIT
+    new[quote + 1] = False
+    new[(quote + 2)[size == 3]] = False
+    new[quote + size] = True
+    starts = np.flatnonzero(new[:-1])
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
+    if not spaced:
+        word = kind[starts] != SPACE
+        starts, ends = starts[word], ends[word]
+    return starts, ends
+
+
+class PieceCache:
+    """Token ids of a text from the ids of its pieces: each distinct piece is encoded once.
 
     The tokenizer never joins what its own pattern splits, so the ids of the pieces, one after the other, are those of the
-    text. A text of common letters and signs is split by that pattern; another one before white space that follows other
-    characters, where every such pattern splits; one with white space beyond ASCII goes to the tokenizer whole. New words
-    are encoded many at a time, with a sign between them that has a token of its own. A worker keeps its cache from task
-    to task, up to `limit` pieces, of about 200 bytes each.
+    text. Texts of common letters and signs are split by that pattern, many at a time; another one before white space that
+    follows other characters, where every such pattern splits; one with white space beyond ASCII goes to the tokenizer
+    whole. Pieces are known by 128-bit hashes in a table with open addressing. Pieces of common letters need no
+    normalising or splitting: the tokenizer's model encodes them, in the letters that stand for their bytes. A worker
+    keeps its cache from task to task, up to `limit` pieces, of about 40 bytes each.
     """
 
-    SIGN = "©"
     _of: dict[str, "PieceCache"] = {}
+    OTHER = 100_000  # pieces of texts beyond the common letters
 
     @classmethod
     def at(cls, path: str, limit: int) -> "PieceCache":
         if path not in cls._of:
-            cls._of[path] = cls(path)
-        cls._of[path].limit = limit
+            cls._of[path] = cls(path, limit)
         return cls._of[path]
 
-    limit = 1_000_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import json
         import os
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf8") as f:
             parts = json.load(f)
         before, special = parts["pre_tokenizer"] or {}, any(t["content"] for t in parts["added_tokens"])
         self.lower = "Lowercase" in json.dumps(parts["normalizer"])
-        pattern = BYTE_LEVEL if before.get("type") == "ByteLevel" and before.get("use_regex") and not parts["normalizer"] else WORD_LEVEL if self.lower and ENDINGS in json.dumps(before) else None
-        self.fine = re.compile(pattern).findall if pattern else None
+        self.spaced = before.get("type") == "ByteLevel" and before.get("use_regex") and not parts["normalizer"]
+        self.fine = bool(self.spaced or self.lower and ENDINGS in json.dumps(before))
         self.strange = re.compile(f"[^{LETTERS}{SIGNS}]" + ("|<\\|" if special else "")).search
         self.coarse = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
         self.odd = re.compile(ODD_SPACE).search
-        self.word = re.compile(f" ?[{LETTERS}]+").fullmatch
-        sign = self.alone(" " + self.SIGN)
-        self.sign = int(sign[0]) if len(sign) == 1 else None
+        self.word = re.compile((" ?" if self.spaced else "") + f"[{LETTERS}]+").fullmatch
+        last = before if before.get("type") == "ByteLevel" else (before.get("pretokenizers") or [{}])[-1]
+        stands = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        mapped = last.get("type") == "ByteLevel" and not parts["model"].get("byte_fallback")
+        self.letters = {ord(c): stands(c)[0][0] for c in map(chr, range(0x180)) if c == " " or self.word(c)} if mapped else None
+        self.other: dict[str, np.ndarray] = {}
+        self.limit, self.bits = limit, max(10, (limit * 3 // 2).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.k1, self.k2, self.at_id = np.zeros(1024, U), np.zeros(1024, U), np.zeros(1025, np.int64)
+        self.pool = np.zeros(4096, self.dtype)
 
     def alone(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def learn(self, new: set[str]) -> None:
-        joint = list(filter(self.word, new)) if self.sign is not None else []
-        for i in range(0, len(joint), 2000):
-            some = joint[i : i + 2000]
-            ids = self.alone(f" {self.SIGN}".join(some))
-            ends = np.append(np.flatnonzero(ids == self.sign), len(ids))
-            if len(ends) == len(some):
-                starts = np.append(0, ends[:-1] + 1) * self.dtype.itemsize
-                raw = ids.tobytes()
-                self.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), (ends * self.dtype.itemsize).tolist(), strict=True)], strict=True))
-        for p in new.difference(self):
-            self[p] = self.alone(p).tobytes()
-
-    def split(self, text: str) -> list[str] | None:
-        plain = text.isascii() and "<|" not in text and text.replace("\n", "").isprintable()  # what most texts are
-        if self.fine and (plain or not self.strange(text)):
-            return self.fine(text.lower() if self.lower else text)
-        return None if self.odd(text) else self.coarse(text)
-
-    def encode_many(self, texts: list[str], at_once: int = 2000) -> list[bytes]:
-        return [ids for i in range(0, len(texts), at_once) for ids in self._encode(texts[i : i + at_once])]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.limit:  # the pieces met first tend to be frequent
-            first = list(self.items())[: self.limit // 2]
-            self.clear()
-            self.update(first)
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*filter(None, split)).difference(self))
-        get = self.__getitem__
-        return [self.alone(t).tobytes() if own is None else b"".join(map(get, own)) for t, own in zip(texts, split, strict=True)]
+    def pieces(self, new: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of pieces, one after the other, and how many each has."""
+        words = list(filter(self.word, new)) if self.letters else []
+        mapped = iter("\n".join(words).translate(self.letters).split("\n")) if words else iter(())
+        tokenize, ids, n = self.model.tokenize, [], []
+        for p in new:
+            own = [t.id for t in tokenize(next(mapped))] if self.letters and self.word(p) else self.alone(p).tolist()
+            ids += own
+            n.append(len(own))
+        return ids, n
+
+    def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """The entries of pieces, -1 for unknown ones."""
+        slot = (k1 >> U(64 - self.bits)).astype(np.int64)
+        entry = self.slots[slot]
+        lost = np.flatnonzero((entry >= 0) & ((self.k1[entry] != k1) | (self.k2[entry] != k2)))
+        while len(lost):
+            slot[lost] = (slot[lost] + 1) & (len(self.slots) - 1)
+            e = self.slots[slot[lost]]
+            entry[lost] = e
+            lost = lost[(e >= 0) & ((self.k1[e] != k1[lost]) | (self.k2[e] != k2[lost]))]
+        return entry
+
+    def enter(self, entries: np.ndarray) -> None:
+        """Give each entry the next free slot."""
+        slot = (self.k1[entries] >> U(64 - self.bits)).astype(np.int64)
+        while len(entries):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.slots[slot[placed]] = entries[placed]
+            left = np.ones(len(entries), bool)
+            left[placed] = False
+            entries, slot = entries[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, ids: list[int], sizes: list[int]) -> None:
+        m, flat = len(sizes), np.array(ids, self.dtype)
+        while self.n + m > len(self.k1):
+            self.k1, self.k2 = np.append(self.k1, np.zeros_like(self.k1)), np.append(self.k2, np.zeros_like(self.k2))
+            self.at_id = np.append(self.at_id, np.zeros(len(self.at_id) - 1, np.int64))
+        used = int(self.at_id[self.n])
+        while used + len(flat) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.k1[self.n : self.n + m], self.k2[self.n : self.n + m] = k1, k2
+        self.at_id[self.n + 1 : self.n + m + 1] = used + np.cumsum(sizes)
+        self.pool[used : used + len(flat)] = flat
+        self.enter(np.arange(self.n, self.n + m, dtype=np.int32))
+        self.n += m
+
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts that the pattern may split."""
+        starts, ends = pieces_of(data, offsets, self.spaced)
+        if self.n > self.limit // 2 and self.n + len(starts) // 4 > self.limit:  # the pieces met first tend to be frequent
+            self.n = self.limit // 2
+            self.slots[:] = -1
+            self.enter(np.arange(self.n, dtype=np.int32))
+        size = (ends - starts).astype(U)
+        k1, k2 = (mix(r.spans(r.sums(BYTES[data]), starts, ends) + size) for r in (FIRST, SECOND))
+        entry = self.find(k1, k2)
+        lost = np.flatnonzero(entry < 0)
+        while len(lost):
+            _, one = np.unique(k1[lost], return_index=True)
+            one = lost[one]
+            raw = data.tobytes()
+            for i in range(0, len(one), 10_000):
+                some = one[i : i + 10_000]
+                new = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                self.make_room(len(new))
+                self.add(k1[some], k2[some], *self.pieces(new))
+            entry[lost] = self.find(k1[lost], k2[lost])
+            lost = lost[entry[lost] < 0]
+        a, n = self.at_id[entry], self.at_id[entry + 1] - self.at_id[entry]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(a - total[:-1], n) + np.arange(total[-1])]
+        cut = total[np.searchsorted(starts, offsets)]
+        return [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def make_room(self, n: int) -> None:
+        while 2 * (self.n + n) > len(self.slots):  # a batch with more new pieces than usual
+            self.bits += 1
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            self.enter(np.arange(self.n, dtype=np.int32))
+
+    def beyond(self, text: str) -> np.ndarray:
+        if self.odd(text):
+            return self.alone(text)
+        if len(self.other) > self.OTHER:
+            self.other.clear()
+        out = []
+        for p in self.coarse(text):
+            if p not in self.other:
+                self.other[p] = self.alone(p)
+            out.append(self.other[p])
+        return np.concatenate([np.zeros(0, self.dtype), *out])
+
+    @staticmethod
+    def parts(raw: bytes, size: int) -> Iterator[bytes]:
+        """Parts of about `size` bytes, cut before white space that follows other characters."""
+        pos, end = 0, size
+        while end < len(raw):
+            white = WHITE[np.frombuffer(raw, np.uint8, end - pos, pos)]
+            cuts = np.flatnonzero(white[1:] & ~white[:-1])
+            if len(cuts):
+                cut = pos + int(cuts[-1]) + 1
+                yield raw[pos:cut]
+                pos, end = cut, cut + size
+            else:
+                end += end - pos
+        if pos < len(raw):
+            yield raw[pos:]
+
+    def encode_many(self, texts: list[str], at_once: int = 1 << 20) -> list[np.ndarray]:
+        """The ids of each text. Long texts are cut before white space that follows other characters."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[bytes] = []
+        who: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            offsets = np.cumsum([0, *map(len, held)])
+            for i, ids in zip(who, self.plain(np.frombuffer(b"".join(held), np.uint8), offsets), strict=True):
+                out[i].append(ids)
+            held.clear()
+            who.clear()
+
+        for i, text in enumerate(texts):
+            common = text.isascii() and "<|" not in text and text.replace("\n", "").isprintable()  # what most texts are
+            if not self.fine or not common and self.strange(text):
+                out[i].append(self.beyond(text))
+                continue
+            for part in self.parts((text.lower() if self.lower else text).encode(), at_once):
+                held.append(part)
+                who.append(i)
+                size += len(part)
+                if size >= at_once:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, self.dtype), *x]) for x in out]

@@ -22,14 +22,14 @@ TOKENS = "part int, doc_id long, local long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cached: int = 300_000) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cached: int = 1_000_000) -> DataFrame:
     """One row for each document: its partition, the partition's ids before it, and its ids (little-endian uint32 or uint16) with end_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, local = PieceCache.at(tokenizer, cached), 0
         end, part = np.array([end_id], cache.dtype).tobytes(), TaskContext.get().partitionId()
         for batch in batches:
-            ids = [x + end for x in cache.encode_many(texts(batch.column("text")))]
+            ids = [x.tobytes() + end for x in cache.encode_many(texts(batch.column("text")))]
             n = np.array([len(x) // cache.dtype.itemsize for x in ids], np.int64)
             starts = local + np.cumsum(n) - n
             local += int(n.sum())
@@ -39,7 +39,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, cached: int = 300_00
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
-    """The prefix sum over partitions: a row for each partition, however many documents there are."""
+    """part and base, the ids before it, from rows (part, doc_tokens): a row for each partition, however many documents there are."""
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

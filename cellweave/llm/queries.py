@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 
 TOXIC = 0.3
 
@@ -43,7 +45,9 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2), with_ids=False)
+    path = f"{shared_dir(spark)}/cellweave-token-files-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path, end_id=2)
+    return read_tokens(spark, path, with_ids=False)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,11 +147,11 @@ def test_pieces_give_the_tokenizers_ids(name):
     signs = list("abCÉß \n\t  '’s1.9,!— 　​́e<|endoftext|>中\x1cªİĿ²ﬁæ…€%#яΣ©")
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)]
     cache, tokenizer = PieceCache(str(P.path(name))), Tokenizer.from_file(str(P.path(name)))
-    got = [np.frombuffer(x, cache.dtype).tolist() for x in cache.encode_many(texts)]
+    got = [x.tolist() for x in cache.encode_many(texts)]
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_packing_and_token_files(docs, none):
+def test_packing(docs, none):
     path = str(P.path("word_bpe_49k.json"))
     tokenizer = Tokenizer.from_file(path)
     pieces = pack(docs, path, end_id=1, length=64)
@@ -163,15 +163,54 @@ def test_packing_and_token_files(docs, none):
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == list(np.cumsum([0, *(r.length for r in own[:-1])]))
         assert sum(r.length for r in own) == 64 or k == max(by)
-    whole = sorted(b"".join(r.ids for r in sorted((x for x in got if x.doc_id == i), key=lambda r: r.start)) for i in (1, 7, 13))
-    texts = {r[0]: r[1] or "" for r in corpus()}
-    assert whole == sorted(np.array([*tokenizer.encode(texts[i], add_special_tokens=False).ids, 1], "<u4").tobytes() for i in (1, 7, 13))
-    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
-    assert sum(r.n_tokens for r in sequences(pieces, 64).collect()) == sum(r.length for r in got)
-    back = token_files.read_tokens(token_files.write_tokens(docs, path, end_id=2)).orderBy("start").collect()
-    assert [r.start for r in back] == list(np.cumsum([0, *(r.n_tokens for r in back[:-1])]))
-    assert [r.doc_id for r in back] == sorted((r.doc_id for r in back), key=lambda i: -1 if i is None else i)
-    assert pack(none, path).count() == 0 and token_files.read_tokens(token_files.write_tokens(none, path)).count() == 0
+    own = {}  # the stream falls into documents: pieces in order, a new one where start is 0
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            own.setdefault(r.doc_id, []).append(b"")
+        assert r.start == len(own[r.doc_id][-1]) // 4
+        own[r.doc_id][-1] += r.ids
+    want = {}
+    for i, t, *_ in corpus():
+        want.setdefault(i, []).append(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert own == want
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and r.length == len(r.ids) // 4 for r in got)
+    assert all(r.doc_tokens in [len(x) // 4 for x in want[r.doc_id]] for r in got)
+    joined = {r.sequence_id: r for r in sequences(pieces, 64).collect()}
+    for k, parts in by.items():
+        n, ids = sum(r.length for r in parts), b"".join(r.ids for r in sorted(parts, key=lambda r: r.offset))
+        assert joined[k].n_tokens == n and joined[k].ids == ids + bytes(0 if n & (n - 1) == 0 else 4 * (64 - n))
+    assert pack(none, path).count() == 0
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    path, folder = str(P.path("byte_bpe_50k.json")), tmp_path / "shards"
+    tokenizer = Tokenizer.from_file(path)
+    token_files.write_tokens(docs, path, str(folder), end_id=2, shard_ids=500)
+    rows = sorted(corpus(), key=lambda r: (-1 if r[0] is None else r[0], r[1] is not None, (r[1] or "").encode()))
+    want, start = [], 0
+    for i, t, *_ in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        want.append((i, start, len(ids) // 4, zlib.crc32(ids), ids))
+        start += len(ids) // 4
+    back = token_files.read_tokens(spark, str(folder)).collect()
+    assert sorted(tuple(r) for r in back if r.doc_id is not None) == sorted(w for w in want if w[0] is not None)
+    assert [tuple(r) for r in back if r.doc_id is None] == [w for w in want if w[0] is None]
+    files = sorted(f for f in folder.glob("part-*") if f.stat().st_size > 1)
+    assert len(files) > 4
+    every = [x for f in files for x in zip(*token_files.read_shard(f.read_bytes()), strict=True)]  # names sort as doc_ids do
+    assert [(i, x.astype("<u4").tobytes()) for i, x in every] == [(w[0], w[4]) for w in want]
+    token_files.write_tokens(none, path, str(tmp_path / "none"))
+    assert token_files.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_texts_of_many_parts_keep_their_ids():
+    rng = random.Random(6)
+    signs = ["word", "É", " ", "  ", "\n", "\t", "'s", "'", "12", "…", "x" * 300]
+    text = "".join(rng.choice(signs) for _ in range(4000))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        cache, tokenizer = PieceCache(str(P.path(name)), 50), Tokenizer.from_file(str(P.path(name)))  # 50: the table is emptied and grows
+        for at_once in (64, 1000, 1 << 20):
+            assert cache.encode_many([text, "", text[:99]], at_once)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_extract(spark):
