@@ -2,43 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+from .common import spread_join, stored, tune, utf8
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def normalised(text: pa.Array) -> tuple[memoryview, list[int]]:
+    """The texts' bytes with A-Z in lower case, and where each begins; null is empty."""
+    data, offsets = utf8(text)
+    return memoryview(LOWER[data]), offsets.tolist()
 
-from .common import stored, tune
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+@F.arrow_udf(StructType([StructField("h", BinaryType()), StructField("sha", StringType())]))
+def digests(text: pa.Array) -> pa.Array:
+    """128 bits of each normalised text's content, and its SHA-256."""
+    data, at = normalised(text)
+    parts = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+    h, sha = [hashlib.md5(p, usedforsecurity=False).digest() for p in parts], [hashlib.sha256(p).hexdigest() for p in parts]
+    return pa.StructArray.from_arrays([pa.array(h, pa.binary()), pa.array(sha, pa.string())], ["h", "sha"])
 
 
-def normalised(text: Column) -> Column:
-    """Lower-cases A-Z only; null is empty."""
-    return F.coalesce(F.translate(text.cast("string"), UPPER, LOWER), F.lit(""))
+@F.arrow_udf(BinaryType())
+def norm(text: pa.Array) -> pa.Array:
+    data, at = normalised(text)
+    return pa.array([data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """Each input row with keep_id, group_size, kept and text_sha256.
 
-    Rows are equal when their normalised texts are byte for byte the same (null is empty). Of a group the row with the
-    smallest doc_id stays, or the largest with keep="largest". A null doc_id loses to any other; a group of null ids only
-    has a null keep_id and keeps all its rows. Rows that repeat the kept doc_id with the same text are all marked kept
-    (distinct doc_ids are the caller's business). Other columns stay; an empty table gives no rows.
+    Rows are equal when their normalised texts are byte for byte the same (null is empty, A-Z count as a-z). Of a group the
+    row with the smallest doc_id stays, or the largest with keep="largest". A null doc_id loses to any other; a group of
+    null ids only has a null keep_id and keeps all its rows. Rows that repeat the kept doc_id with the same text are all
+    marked kept (distinct doc_ids are the caller's business). Other columns stay, whatever their names; input columns with
+    the names of the new ones are replaced. An empty table gives no rows.
 
     The fingerprints of all rows are grouped first, pre-aggregated on the map side. Only rows whose fingerprint recurs are
-    grouped by their texts, which settles collisions; Spark splits the partitions of a hot text in the joins.
+    grouped by their bytes, which settles collisions. A hot text is no single key of a join.
     """
     tune(docs.sparkSession)
     best = {"smallest": F.min, "largest": F.max}[keep]
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("h", F.unhex(F.md5("norm")))
-    prints = rows.groupBy("h").agg(F.count("*").alias("n"))
-    again = rows.join(prints.filter("n > 1").select("h"), "h")
-    groups = again.groupBy("h", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    split = groups.groupBy("h").agg(F.count("*").alias("texts"))
-    digests = groups.join(split, "h").select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    digests = stored(digests, "groups")
-    out = docs.withColumn("__norm", normalised(F.col("text"))).withColumn("__h", F.unhex(F.md5("__norm"))).withColumn("text_sha256", F.sha2("__norm", 256)).drop("__norm")
-    g = digests.select(F.col("h").alias("__h"), "text_sha256", F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    out = out.join(g, ["__h", "text_sha256"], "left")
-    keep_id = F.when(F.col("__size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
-    size = F.coalesce("__size", F.lit(1).cast("long"))
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    return out.select(*own, keep_id.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+    names = docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names of the input cannot clash with those below
+    doc, text = f"c{names.index('doc_id')}", F.col(f"c{names.index('text')}").cast("string")
+    prints = own.select(F.col(doc).alias("doc"), digests(text)["h"].alias("h"))
+    again = stored(prints.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    total = docs.count()
+    rows = spread_join(own.select(F.col(doc).alias("doc"), text.alias("text"), digests(text)["h"].alias("h")), again, ["h"], "n", total, ["doc"])
+    groups = rows.select("h", "doc", norm("text").alias("norm")).groupBy("h", "norm").agg(best("doc").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stored(groups.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups")
+    out = own.withColumn("d", digests(text)).select(*own.columns, "d.h", "d.sha")
+    out = spread_join(out, groups, ["h", "sha"], "group_size", total, [doc], "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col(doc)).otherwise(F.col("keep_id"))
+    new = {"keep_id": keep_id, "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "kept": F.col(doc).eqNullSafe(keep_id), "text_sha256": F.col("sha")}
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in new), *(v.alias(k) for k, v in new.items()))

@@ -121,14 +121,30 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).count() == 0
 
 
-def test_exact_dedup(docs, none):
-    got = {r.doc_id: r for r in exact_dedup(docs, "largest").collect()}
-    assert got[0].keep_id == 2 or got[0].group_size == 2 and got[0].keep_id == 1
-    assert (got[3].keep_id, got[4].kept) == (4, True)
-    assert got[5].group_size == 2 and got[5].kept
+def test_exact_dedup(spark, docs, none):
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    for keep, best in (("largest", max), ("smallest", min)):
+        groups = {}
+        for i, t, *_ in corpus():
+            groups.setdefault((t or "").encode().translate(low), []).append(i)
+        want = []
+        for i, t, *_ in corpus():
+            key = (t or "").encode().translate(low)
+            stays = best((x for x in groups[key] if x is not None), default=None)
+            want.append((i, stays, len(groups[key]), i == stays, hashlib.sha256(key).hexdigest()))
+        got = exact_dedup(docs, keep).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "A", 1, 2, 3, 4, 5, 6, 7), (2, "a", 1, 2, 3, 4, 5, 6, 7), (3, "b", 1, 2, 3, 4, 5, 6, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __norm int, __keep int, __h int, h int, `d.x` int, keep_id int, c1 int")
+    got = exact_dedup(d, "largest").orderBy("doc_id").collect()
+    assert [tuple(r)[:8] for r in got] == [(*r[:7], 7) for r in rows]
+    assert [(r.keep_id, r.group_size, r.kept) for r in got] == [(2, 2, False), (2, 2, True), (3, 1, True)]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for t in range(60):
