@@ -1,8 +1,9 @@
 """Removal of repeated word passages by repeated-phrase automata.
 
 :mod:`.windows` brings together the places where a passage may recur. In each shard the phrases of `length` words that
-occur in two contexts are confirmed, compiled into an Aho-Corasick automaton over the shard's word numbers, and the
-words of every document's contexts are streamed through it: each hit is an occurrence of a confirmed phrase.
+occur twice are confirmed word by word, compiled into an Aho-Corasick automaton over the shard's word numbers, and every
+context of the documents that may hold one is streamed through it: each hit is an occurrence of a confirmed phrase.
+Copies of a context, the same to 128 bits, are streamed once for all of them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import windows
 from .common import texts, utf8, words
 
-FIRST_CHAR, SURROGATES, LAST_CHAR = 1, range(0xD800, 0xE000), 0x10FFFF
+FIRST_CHAR, SURROGATES = 1, range(0xD800, 0xE000)
 
 
 def word_symbols(column: pa.Array):
@@ -29,21 +30,28 @@ def word_symbols(column: pa.Array):
 
 
 def cut_words(text: str, at: list[tuple[int, int]]) -> list[bytes]:
-    data = np.frombuffer(text.encode(), np.uint8)
-    hashes = words(data, np.array([0, len(data)]))[2]
-    return [hashes[p : p + n].tobytes() for p, n in at]
+    every = text.encode().split()
+    return [b" ".join(every[p : p + n]) for p, n in at]
+
+
+def part_of(body: bytes, a: int, b: int) -> bytes:
+    return b" ".join(body.split(b" ")[a:b])
 
 
 def numbered(bodies: list[bytes]) -> list[str]:
     """Each body as a string with one character for each word; equal words of the shard share a character."""
-    flat = np.frombuffer(b"".join(bodies), np.int64)
-    number = np.unique(flat, return_inverse=True)[1].astype(np.int64) + FIRST_CHAR
-    number[number >= SURROGATES.start] += len(SURROGATES)
-    if len(number) and number.max() > LAST_CHAR:
-        raise ValueError("a shard has more different words than there are characters")
-    text = number.astype("<u4").tobytes().decode("utf-32-le")
-    ends = np.cumsum([len(b) // 8 for b in bodies]).tolist()
-    return [text[e - len(b) // 8 : e] for e, b in zip(ends, bodies, strict=True)]
+    number: dict[bytes, str] = {}
+    out = []
+    for body in bodies:
+        own = []
+        for w in body.split(b" "):
+            c = number.get(w)
+            if c is None:
+                k = len(number) + FIRST_CHAR
+                c = number[w] = chr(k if k < SURROGATES.start else k + len(SURROGATES))  # beyond the last character: ValueError
+            own.append(c)
+        out.append("".join(own))
+    return out
 
 
 def occurrences(length: int):
@@ -92,7 +100,7 @@ def occurrences(length: int):
         a, size = 0, 0
         for r in range(1, len(keys) + 1):
             size += len(body[r - 1])
-            if r == len(keys) or (keys[r] != keys[r - 1] and size > 1 << 19):
+            if r == len(keys) or (keys[r] != keys[r - 1] and size > 1 << 18):
                 for row, i0, i1, m in shard(keys[a:r], counts[a:r], first[a:r], numbered(body[a:r])):
                     yield a + row, i0, i1, m
                 a, size = r, 0
@@ -108,7 +116,7 @@ def phrase_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     smaller nor larger than another, so such rows stay whole and take nothing from others; rows that share a doc_id take
     nothing from each other. Other columns are ignored; an empty table gives no rows.
     """
-    spans = windows.covered(docs, word_symbols, cut_words, occurrences(length), length, length // 2, earlier=True, width=8)
+    spans = windows.covered(docs, word_symbols, cut_words, part_of, occurrences(length), length, length // 2, earlier=True, every_context=True, most=1_000)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

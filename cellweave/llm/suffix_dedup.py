@@ -1,8 +1,8 @@
 """Exact removal of long repeated byte strings by a sampled suffix array with deep-shallow sorting.
 
 Suffixes are sampled where :mod:`.windows` puts the key of a window, so a repeated string has a sampled suffix at the
-same place in each copy. The suffixes to the right of a key, and the reversed ones to its left, are sorted by a multikey
-pass over 8-byte characters to a shallow depth; groups that still agree there have long common prefixes, which blind
+same place in each copy. The suffixes to the right of a key, and the reversed ones to its left, are sorted by multikey
+quicksort over 8-byte characters to a shallow depth; groups that still agree there have long common prefixes, which blind
 tries order. Neighbours' common prefixes on both sides then tell every window that occurs twice.
 """
 
@@ -73,15 +73,44 @@ def blind_trie(strings: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
+def multikey_quicksort(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of `keys` (their characters) within their groups, and which places begin a run of equal rows.
+
+    `group` is sorted. All segments of a level are parted at once, each around its own pivot (the middle one of three
+    characters) into less, equal and greater; equal ones go on to the next character.
+    """
+    n, depths = keys.shape
+    order, edge = np.arange(n), np.append(True, group[1:] != group[:-1])[:n]
+    at = np.arange(n)  # places in segments that are still open
+    depth = np.zeros(n, np.int64)
+    while True:
+        start = edge[at]
+        first = np.flatnonzero(start)
+        size = np.diff(np.append(first, len(at)))
+        part = np.cumsum(start) - 1
+        open_ = ((size > 1) & (depth[at[first]] < depths))[part]
+        at = at[open_]
+        if not len(at):
+            return order, edge
+        first = np.flatnonzero(edge[at])
+        size = np.diff(np.append(first, len(at)))
+        part = np.cumsum(edge[at]) - 1
+        c = keys[order[at], depth[at]]
+        pivot = np.sort(np.stack([c[first], c[first + size // 2], c[first + size - 1]]), axis=0)[1][part]
+        side = part * 3 + (c > pivot) - (c < pivot)
+        moved = np.argsort(side, kind="stable")
+        order[at], side = order[at][moved], side[moved]
+        depth[at] += side % 3 == 0
+        edge[at] = np.append(True, side[1:] != side[:-1])
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings within their groups, and the common prefix of each with the one before it (-1: another group)."""
     n = len(strings)
     keys = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), ">u8").reshape(n, -1).astype(np.uint64)
-    order = np.lexsort([*keys.T[::-1], group])
-    ordered, own = keys[order], group[order]
-    starts = np.append(np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (ordered[1:] != ordered[:-1]).any(axis=1))), n)
+    order, edge = multikey_quicksort(keys, group)
+    own, starts = group[order], np.append(np.flatnonzero(edge), n)
     prefix = np.zeros(n, np.int64)
-    order = order.copy()
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a > 1:
             deep = blind_trie([strings[i] for i in order[a:b]])
@@ -125,6 +154,10 @@ def recurring(window: int):
     return resolve
 
 
+def part_of(body: bytes, a: int, b: int) -> bytes:
+    return body[a:b]
+
+
 def cut_bytes(text: str, at: list[tuple[int, int]]) -> list[bytes]:
     data = text.encode()
     return [data[p : p + n] for p, n in at]
@@ -135,7 +168,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     gram = length // 2
     if not 60 < gram < 128:
         raise ValueError("length must be between 122 and 255")
-    spans = windows.covered(docs, windows.byte_symbols, cut_bytes, recurring(length), length, gram, earlier=False, width=1)
+    spans = windows.covered(docs, windows.byte_symbols, cut_bytes, part_of, recurring(length), length, gram, earlier=False, every_context=False, most=20_000)
     return windows.with_spans(docs, spans)
 
 

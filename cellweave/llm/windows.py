@@ -2,12 +2,15 @@
 
 A window of W symbols is keyed by the smallest hash among its K-grams (leftmost on ties). The key and its place in the
 window depend on the window alone, so equal windows share both. Consecutive windows with one key form a *context*: one
-row of about (W - K) / 2 windows. Only contexts whose key occurs again go further, and equal contexts are merged before
-any of their text moves. The caller's `resolve` then compares the different contexts of a key by its own method.
+row of about (W - K) / 2 windows. Only contexts whose key occurs again go further, and equal contexts (by 128 bits of
+hashes) are merged before any of their text moves. The caller's `resolve` then compares the different contexts of a key
+by its own method. A key with very many contexts is divided first: a window of it has a certain stretch in common with
+all windows that begin as far before the key or farther, or as near or nearer, and that stretch gives the new keys.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, PIECE, SECOND, U, mix, signed, stored, tune, utf8
+from .common import FIRST, PIECE, SECOND, U, discard, mix, signed, spread_join, stored, tune, utf8
 
-RUNS = "h long, ch long, geo int, doc_id long, fp int, pos long"
-CONTEXTS = "h long, ch long, geo int, cnt long, first_doc long, body binary"
-FOUND = "h long, ch long, geo int, i0 int, i1 int, first_doc long"
+ID = ["h", "ch", "geo"]
+RUNS = "h long, ch long, geo int, doc_id long, fp long, pos long"
+#: A context, or the part of it whose windows begin lo to hi symbols before the key's place; shift: the windows before that part.
+CONTEXTS = "h long, ch long, geo int, cnt long, first_doc long, body binary, key long, part int, shift int, lo int, hi int"
+FOUND = "h long, ch long, geo int, cnt long, i0 int, i1 int, first_doc long"
 POSITION = U((1 << 20) - 1)
 
 
@@ -85,59 +90,113 @@ def runs(symbols_of: Callable, window: int, gram: int) -> Callable:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and fp, a hash of the text that tells rows with one doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("fp"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), F.col("text").cast("string").alias("text"))
 
 
 def same(a: DataFrame, b: DataFrame) -> Column:
     return a.doc_id.eqNullSafe(b.doc_id) & (a.fp == b.fp)
 
 
-def covered(docs: DataFrame, symbols_of: Callable, bodies_of: Callable, resolve: Callable, window: int, gram: int, earlier: bool, width: int, most: int = 50_000) -> DataFrame:
+def covered(docs: DataFrame, symbols_of: Callable, bodies_of: Callable, cut: Callable, resolve: Callable, window: int, gram: int, earlier: bool, every_context: bool, most: int) -> DataFrame:
     """Ranges [s, e) of symbols of each (doc_id, fp) that repeated windows cover, as an array `spans`.
 
     earlier: only windows that also start in a document with a smaller doc_id count; otherwise any window that starts
-    twice. bodies_of(text, positions, lengths): the symbols of each context as bytes. resolve(h, geo, cnt, first_doc, body)
-    yields (row, i0, i1, first_doc) for its windows that recur. A key with more than `most` different contexts does
-    not go to one task: its windows are grouped by their own 128-bit hashes, spread over all tasks.
-    width: bytes of a symbol in a body.
+    twice. bodies_of(text, positions, lengths): the symbols of each context as bytes; cut(body, a, b): those from a to b.
+    resolve(key, part, cnt, first_doc, body) yields (row, i0, i1, first_doc) for its windows that recur; a task gets whole
+    keys, of `most` contexts at most. every_context: equal contexts without others under their key are resolved as well.
     """
     tune(docs.sparkSession, 500, 4)
     docs = keyed(docs)
     every = docs.mapInArrow(runs(symbols_of, window, gram), RUNS)
-    again = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    kept = stored(every.join(again, "h"), "runs")
-    merged = kept.groupBy("h", "ch", "geo").agg(F.count("*").alias("cnt"), F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "fp", "pos")).alias("at"))
+    again = stored(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    kept = stored(spread_join(every, again, ["h"], "n", total, ["doc_id", "pos"]).drop("n"), "runs")
+    discard(again)
+    merged = kept.groupBy(*ID).agg(F.count("*").alias("cnt"), F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "fp", "pos")).alias("at"))
     merged = stored(merged, "contexts")
-    kinds = merged.groupBy("h").agg(F.count("*").alias("kinds"))
-    merged = merged.join(kinds, "h")
-    alone = merged.filter("kinds = 1 and cnt > 1").select("h", "ch", "geo", F.lit(0).alias("i0"), (F.shiftright("geo", 8) - 1).alias("i1"), "first_doc")
-    mixed = merged.filter("kinds > 1").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.fp").alias("fp"))
-    mixed = mixed.agg(F.collect_list(F.struct("h", "ch", "geo", "cnt", "first_doc", F.col("at.pos").alias("pos"), (F.col("kinds") > most).alias("big"))).alias("wanted"))
+    merged = spread_join(merged, merged.groupBy("h").agg(F.count("*").alias("kinds")), ["h"], "kinds", merged.count(), ["ch"])
+    alone = merged.filter("kinds = 1 and cnt > 1").select(*ID, "cnt", F.lit(0).alias("i0"), (F.shiftright("geo", 8) - 1).alias("i1"), "first_doc")
+    mixed = merged.filter("kinds > 1 or cnt > 1" if every_context else "kinds > 1").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.fp").alias("fp"))
+    mixed = mixed.agg(F.collect_list(F.struct(*ID, "cnt", "first_doc", F.col("at.pos").alias("pos"))).alias("wanted"))
     joined = docs.join(mixed, same(docs, mixed)).select(docs.text, mixed.wanted)
-    bodies = stored(joined.mapInArrow(cutter(bodies_of, window), CONTEXTS + ", big boolean"), "bodies")
-    near = bodies.filter("not big").drop("big").repartition("h").sortWithinPartitions("h")
-    found = alone.unionByName(near.mapInArrow(resolver(resolve), FOUND))
-    far = bodies.filter("big").drop("big").dropDuplicates(["h", "ch", "geo"])
-    if not far.isEmpty():
-        found = found.unionByName(by_window(far, window, width))
-    hits = kept.join(found.withColumnRenamed("first_doc", "before"), ["h", "ch", "geo"])
+    bodies = stored(joined.mapInArrow(cutter(bodies_of, window, window - gram), CONTEXTS), "bodies")
+    near, found = divided(bodies, cut, window, most)
+    found = found.unionByName(near.repartition("key").sortWithinPartitions("key").mapInArrow(resolver(resolve), FOUND))
+    if not every_context:
+        found = found.unionByName(alone)
+    found = found.groupBy(*ID).agg(F.max("cnt").alias("cnt"), F.collect_set(F.struct("i0", "i1", "first_doc")).alias("ranges"))  # one for each window of a context at most
+    hits = spread_join(kept, stored(found, "found"), ID, "cnt", kept.count(), ["doc_id", "pos"]).withColumn("r", F.explode("ranges"))
     if earlier:
-        hits = hits.filter("before < doc_id")
-    span = F.struct((F.col("pos") + F.col("i0")).alias("s"), (F.col("pos") + F.col("i1") + window).alias("e"))
-    return stored(hits.groupBy("doc_id", "fp").agg(F.collect_list(span).alias("spans")), "spans")
+        hits = hits.filter("r.first_doc < doc_id")
+    span = F.struct((F.col("pos") + F.col("r.i0")).alias("s"), (F.col("pos") + F.col("r.i1") + window).alias("e"))
+    return stored(hits.groupBy("doc_id", "fp").agg(F.collect_set(span).alias("spans")), "spans")
 
 
-def cutter(bodies_of: Callable, window: int) -> Callable:
+def cutter(bodies_of: Callable, window: int, reach: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "ch", "geo", "cnt", "first_doc", "body", "big")}
+            out: dict[str, list] = {k: [] for k in ("h", "ch", "geo", "cnt", "first_doc", "body")}
             for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 at = [(x["pos"], (x["geo"] >> 8) + window - 1) for x in wanted]
                 out["body"] += bodies_of(text.as_py() or "", at)
-                for k in ("h", "ch", "geo", "cnt", "first_doc", "big"):
+                for k in ("h", "ch", "geo", "cnt", "first_doc"):
                     out[k] += [x[k] for x in wanted]
-            kinds = {"h": pa.int64(), "ch": pa.int64(), "geo": pa.int32(), "cnt": pa.int64(), "first_doc": pa.int64(), "body": pa.binary(), "big": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
+            zero = np.zeros(len(out["h"]), np.int32)
+            out |= {"key": out["h"], "part": out["geo"], "shift": zero, "lo": zero, "hi": zero + reach}
+            yield as_contexts(out)
+
+    return rows
+
+
+def as_contexts(out: dict[str, list]) -> pa.RecordBatch:
+    kinds = {"cnt": pa.int64(), "first_doc": pa.int64(), "body": pa.binary(), "h": pa.int64(), "ch": pa.int64(), "key": pa.int64()}
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(out[k], kinds.get(k, pa.int32())) for k in names], names=names)
+
+
+def divided(contexts: DataFrame, cut: Callable, window: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of which a key has `most` at most, and, as FOUND, the windows that came to stand alone under a key with more.
+
+    Each round halves the range of a large key's windows by how far before the key's place they begin. All windows of a half
+    cover a common stretch; its hash is the new key, so equal windows stay together. What is left of a range of one is
+    the window itself: such rows are grouped by it.
+    """
+    near, found = [], contexts.limit(0).select(*ID, "cnt", F.lit(0).alias("i0"), F.lit(0).alias("i1"), "first_doc")
+    while True:
+        sizes = stored(contexts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "large")
+        if sizes.isEmpty():
+            near.append(contexts)
+            break
+        sized = spread_join(contexts, sizes, ["key"], "n", contexts.count(), ["ch", "shift"], "left")
+        near.append(stored(sized.filter("n is null").drop("n"), "near"))
+        single = stored(sized.filter("n is not null and lo = hi").dropDuplicates(["key", *ID]), "single")
+        groups = single.groupBy("key", "body").agg(F.sum("cnt").alias("times"), F.min("first_doc").alias("least"), F.count("*").alias("n")).filter("times > 1")
+        one = spread_join(single.drop("n"), stored(groups, "groups"), ["key", "body"], "n", single.count(), ["ch"])
+        found = found.unionByName(one.select(*ID, "cnt", F.col("shift").alias("i0"), F.col("shift").alias("i1"), F.col("least").alias("first_doc")))
+        contexts = stored(sized.filter("n is not null and lo < hi").drop("n").mapInArrow(halves(cut, window), CONTEXTS), "halves")
+    out = near[0]
+    for df in near[1:]:
+        out = out.unionByName(df)
+    return out, found
+
+
+def halves(cut: Callable, window: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in batch.schema.names}
+            for x in batch.to_pylist():
+                off, n, mid = x["part"] & 255, x["part"] >> 8, (x["lo"] + x["hi"]) // 2
+                for lo, hi in ((x["lo"], mid), (mid + 1, x["hi"])):
+                    far, close = min(hi, off), max(lo, off - n + 1)
+                    if far < close:
+                        continue
+                    common = cut(x["body"], off - lo, off + window - hi)
+                    key = hashlib.blake2b(common, digest_size=8, key=x["key"].to_bytes(8, "little", signed=True) + bytes([lo, hi])).digest()
+                    body = cut(x["body"], off - far, off - close + window)
+                    own = {"body": body, "key": int.from_bytes(key, "little", signed=True), "part": (far - close + 1) << 8 | far, "shift": x["shift"] + off - far, "lo": lo, "hi": hi}
+                    for k, v in (x | own).items():
+                        out[k].append(v)
+            yield as_contexts(out)
 
     return rows
 
@@ -147,18 +206,19 @@ def resolver(resolve: Callable, most_bytes: int = 8 << 20) -> Callable:
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        key = np.stack([t.column(k).to_numpy().astype(np.int64) for k in ("h", "ch", "geo")], axis=1)
+        key = np.stack([t.column(k).to_numpy().astype(np.int64) for k in ("key", *ID, "shift")], axis=1)
         t = t.take(np.sort(np.unique(key, axis=0, return_index=True)[1]))  # repeated rows of a table bring a context twice
-        col = {k: t.column(k).to_numpy() for k in ("h", "ch", "geo", "cnt")}
+        col = {k: t.column(k).to_numpy() for k in (*ID, "cnt", "key", "part", "shift")}
         first, body = t.column("first_doc").to_pylist(), t.column("body").to_pylist()
+        order = np.argsort(col["key"], kind="stable")
         r, i0, i1, m = [], [], [], []
-        for row, a, b, least in resolve(col["h"], col["geo"].astype(np.int64), col["cnt"], first, body):
-            r.append(row)
-            i0.append(a)
-            i1.append(b)
+        for row, a, b, least in resolve(col["key"][order], col["part"][order].astype(np.int64), col["cnt"][order], [first[i] for i in order], [body[i] for i in order]):
+            r.append(order[row])
+            i0.append(a + col["shift"][order[row]])
+            i1.append(b + col["shift"][order[row]])
             m.append(least)
         take = np.asarray(r, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(col["h"][take]), pa.array(col["ch"][take]), pa.array(col["geo"][take]), pa.array(i0, pa.int32()), pa.array(i1, pa.int32()), pa.array(m, pa.int64())], names=["h", "ch", "geo", "i0", "i1", "first_doc"])
+        return pa.RecordBatch.from_arrays([*(pa.array(col[k][take]) for k in (*ID, "cnt")), pa.array(i0, pa.int32()), pa.array(i1, pa.int32()), pa.array(m, pa.int64())], names=[*ID, "cnt", "i0", "i1", "first_doc"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -170,9 +230,9 @@ def resolver(resolve: Callable, most_bytes: int = 8 << 20) -> Callable:
             size += batch.nbytes
             if size < most_bytes:
                 continue
-            h = batch.column("h").to_numpy()
+            h = batch.column("key").to_numpy()
             edge = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-            if edge == 0 and h[0] == (held[-2].column("h")[-1].as_py() if len(held) > 1 else h[0]):
+            if edge == 0 and h[0] == (held[-2].column("key")[-1].as_py() if len(held) > 1 else h[0]):
                 continue  # one key so far in this batch: wait for its end
             held[-1] = batch.slice(0, edge)
             yield flush([x for x in held if x.num_rows] or [batch.slice(0, 0)])
@@ -183,29 +243,6 @@ def resolver(resolve: Callable, most_bytes: int = 8 << 20) -> Callable:
     return rows
 
 
-def by_window(far: DataFrame, window: int, width: int) -> DataFrame:
-    """The same answer for keys with very many contexts: each window by its own hash, over all tasks."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            geo, body = batch.column("geo").to_numpy(), batch.column("body").to_pylist()
-            who, at, w1, w2 = [], [], [], []
-            for r, (g, b) in enumerate(zip(geo, body, strict=True)):
-                symbols = mix(np.frombuffer(b, np.uint8).astype(U) + U(1)) if width == 1 else np.frombuffer(b, U)
-                n = int(g) >> 8
-                who.append(np.full(n, r))
-                at.append(np.arange(n))
-                w1.append(mix(FIRST.windows(FIRST.sums(symbols), window)))
-                w2.append(mix(SECOND.windows(SECOND.sums(symbols), window)))
-            take = pa.array(np.concatenate([np.zeros(0, np.int64), *who]))
-            none = np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([none, *w1]))), pa.array(signed(np.concatenate([none, *w2]))), batch.column("h").take(take), batch.column("ch").take(take), batch.column("geo").take(take), batch.column("cnt").take(take), batch.column("first_doc").take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int32))], names=["w1", "w2", "h", "ch", "geo", "cnt", "first_doc", "i0"])
-
-    one = far.mapInArrow(rows, "w1 long, w2 long, h long, ch long, geo int, cnt long, first_doc long, i0 int")
-    total = one.groupBy("w1", "w2").agg(F.sum("cnt").alias("n"), F.min("first_doc").alias("least")).filter("n > 1")
-    return one.join(total, ["w1", "w2"]).select("h", "ch", "geo", "i0", F.col("i0").alias("i1"), F.col("least").alias("first_doc"))
-
-
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text and spans of every row of docs; null spans where nothing repeats."""
     docs = keyed(docs)

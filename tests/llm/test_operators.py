@@ -265,15 +265,50 @@ def test_license_inheritance(spark):
 
 
 def test_keys_with_many_contexts_give_the_same_ranges(docs):
+    """A key with over one context is divided until its windows stand alone."""
     from cellweave.llm import phrase_dedup, suffix_dedup, windows
 
     ways = [
-        (windows.byte_symbols, suffix_dedup.cut_bytes, suffix_dedup.recurring(200), 200, 100, False, 1),
-        (phrase_dedup.word_symbols, phrase_dedup.cut_words, phrase_dedup.occurrences(50), 50, 25, True, 8),
+        (windows.byte_symbols, suffix_dedup.cut_bytes, suffix_dedup.part_of, suffix_dedup.recurring(200), 200, 100, False, False),
+        (phrase_dedup.word_symbols, phrase_dedup.cut_words, phrase_dedup.part_of, phrase_dedup.occurrences(50), 50, 25, True, True),
     ]
     for way in ways:
-        one, two = ({(r.doc_id, r.fp): windows.union([s.asDict() for s in r.spans]) for r in windows.covered(docs, *way, most=most).collect()} for most in (50_000, 1))
-        assert one and one == two
+        one, two, three = ({(r.doc_id, r.fp): windows.union([s.asDict() for s in r.spans]) for r in windows.covered(docs, *way, most).collect()} for most in (50_000, 4, 1))
+        assert one and one == two == three
+
+
+def test_multikey_quicksort_orders_rows():
+    from cellweave.llm.suffix_dedup import multikey_quicksort
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        keys, group = rng.integers(0, 4, (n, 3)).astype(np.uint64), np.sort(rng.integers(0, 5, n))
+        order, edge = multikey_quicksort(keys, group)
+        rows = [(group[i], *keys[i]) for i in range(n)]
+        assert [rows[i] for i in order] == sorted(rows) and list(edge) == [i == 0 or rows[order[i]] != rows[order[i - 1]] for i in range(n)]
+
+
+def test_texts_beyond_a_slice(spark):
+    """Texts of several slices, a repeated passage across a slice's border, and a word longer than a slice."""
+    rng = random.Random(11)
+    make = lambda n: " ".join("%x" % rng.randrange(1 << 40) for _ in range(n))
+    passage = make(120)
+    long = make(26_000)
+    rows = [(1, long[: (1 << 18) - 600] + " " + passage + " " + long[1 << 18 :]), (2, "x " + passage + " y"), (3, long[-200_000:]), (4, "z" * 300_000), (5, "ab " + "z" * 500), (6, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seqs, n = [(t or "").encode() for _, t in rows], {}
+    for s in seqs:
+        for j in range(len(s) - 199):
+            k = hash(s[j : j + 200])
+            n[k] = n.get(k, 0) + 1
+    want = {i: sum(m) for (i, _), m in zip(rows, marked(seqs, 200, lambda i, w: n[hash(w)] > 1), strict=True)}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup(d, 200).collect()} == want and want[2] and want[3] and want[4]
+    seqs, low = [s.split() for s in seqs], {}
+    for (i, _), s in zip(rows, seqs, strict=True):
+        for j in range(len(s) - 49):
+            low.setdefault(tuple(s[j : j + 50]), i)
+    want = {i: sum(m) for (i, _), m in zip(rows, marked(seqs, 50, lambda k, w: low[tuple(w)] < rows[k][0]), strict=True)}
+    assert {r.doc_id: r.n_removed for r in phrase_dedup(d, 50).collect()} == want and want[2] and want[3]
 
 
 def test_host_suffixes_find_the_longest_prefix_on_another_page(spark):
