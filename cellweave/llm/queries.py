@@ -71,10 +71,9 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item of which the document holds half or more."""
-    from .decontaminate import overlaps
+    from .decontaminate import matches
 
-    found = overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("fp")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

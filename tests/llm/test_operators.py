@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from cellweave.llm import token_files
 from cellweave.llm.common import PieceCache
-from cellweave.llm.decontaminate import overlaps
+from cellweave.llm.decontaminate import decontaminate, overlaps
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.html_extract import extract, repeated
 from cellweave.llm.licenses import license_scan
@@ -247,6 +247,60 @@ def test_overlaps_catch_reordered_passages(spark, docs, none):
     assert overlaps(none, bench).count() == 0
 
 
+def plain_tiling(item, doc, least):
+    """Greedy string tiling as it is told: mark the longest match of unmarked words until none has `least`."""
+    a, b, out = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for q in range(len(doc)):
+                n = 0
+                while p + n < len(item) and q + n < len(doc) and item[p + n] == doc[q + n] and not a[p + n] and not b[q + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, q)
+        n, p, q = best
+        if n < least:
+            return out
+        a[p : p + n] = b[q : q + n] = [True] * n
+        out.append((p, q, n))
+
+
+def test_tiling_against_a_plain_version(spark):
+    rng = random.Random(12)
+    words = list("abcdefgh")
+    items = [(i, [rng.choice(words) for _ in range(rng.randrange(1, 25))]) for i in range(6)]
+    items.append((3, ["q%d" % i for i in range(12)]))  # another item of the same id
+    docs = []
+    for i in range(40):
+        own = [rng.choice(words) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            t = items[rng.randrange(7)][1]
+            k, at = rng.randrange(len(t)), rng.randrange(len(own) + 1)
+            own[at:at] = t[k:] + ["zz"] + t[:k]
+        docs.append((i, own))
+    want = []
+    for i, d in docs:
+        for k, t in items:
+            if len(t) >= 5:
+                found = plain_tiling(t, d, 5)
+                n = sum(x[2] for x in found)
+                if n >= len(t) / 2:
+                    want.append((i, k, n, len(t), len(found)))
+    rows = [(i, " ".join(d).upper()) for i, d in docs]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items] * 2, "item_id long, text string")
+    got = overlaps(spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(3), bench).collect()
+    assert len(got) == 43 and len(want) > 10
+    assert sorted((r.doc_id, o.item_id, o.n_matched, o.n_tokens, o.n_tiles) for r in got for o in r.overlaps) == sorted(want + [w for w in want if w[0] < 3])
+    assert sorted(r.doc_id for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()) == sorted(i for i, _ in docs if i not in {w[0] for w in want})
+
+
+def test_overlaps_replace_a_clashing_column(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    got = overlaps(spark.createDataFrame([(None, "a b c d e f", 3, 4, 5)], "doc_id long, text string, overlaps int, fp int, item_id int"), bench).collect()
+    assert [(r.doc_id, r.overlaps, r.fp, r.item_id) for r in got] == [(None, [], 4, 5)]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     words = ["word%s" % c for c in "abcdefghijklmnop"]
