@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, tune
@@ -20,7 +20,8 @@ from .common import fresh, tune
 #: Marks and verbs that frame a quotation or a mention of a word.
 QUOTES = "\"'“”„«»‘’‚‹›`"
 FRAMES = frozenset("said says quoted called quote wrote word term sagte nannte zitat wort dit cité mot dijo cita palabra".split())
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters, with digits and signs between them that may stand for letters.
+WORD = re.compile(r"[^\W\d_]+(?:[0-9@$!|+*]{1,2}[^\W\d_]+)*")
 STEMS = (6, 5, 4)
 FEATURES = ["exact", "near", "quoted", "rate", "distinct"]
 
@@ -37,7 +38,8 @@ class Lexicon(dict):
     """Terms in a trie, and as a mapping what each word met so far stands for: (term, distance) or None.
 
     A word is looked up by walking the trie with the word's Levenshtein automaton; dead states end a branch. A word that
-    shares no form with one letter less with any term cannot be within distance 1 and is spared the walk.
+    shares no form with one letter less with any term cannot be within distance 1 and is spared the walk. Two neighbours
+    that changed places are one edit.
     """
 
     LIMIT = 200_000
@@ -79,7 +81,8 @@ class Lexicon(dict):
                 hit = (word[:k] + "*", 0)
         if hit is None and self.fuzzy_from <= len(word) <= 40 and word not in self.innocent:
             if word in self.shorter or any(word[:i] + word[i + 1 :] in self.shorter for i in range(len(word))):
-                hit = self._search(word, 1)
+                swapped = (word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1))
+                hit = self._search(word, 1) or next(((w, 1) for w in swapped if w in self.terms), None)
         if len(self) > self.LIMIT:
             self.clear()
         self[word] = hit
@@ -112,6 +115,13 @@ class Lexicon(dict):
         return np.array([math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(100.0 * weight / n) if n else 0.0, math.log1p(len(met))])
 
 
+    def misspelt(self, text: str) -> str | None:
+        """The text with each whole term, long enough to be looked up so, less its middle letter; None without one."""
+        swap = lambda m: w[: len(w) // 2] + w[len(w) // 2 + 1 :] if (w := m.group()).lower() in self.terms and len(w) > self.fuzzy_from else w
+        other = WORD.sub(swap, text)
+        return other if other != text else None
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, weights: np.ndarray, bias: float):
         self.lexicon, self.weights, self.bias = lexicon, weights, bias
@@ -152,18 +162,22 @@ def fit(rows: list[tuple[str, int]], steps: int = 50, ridge: float = 1e-3) -> Mo
         return Model(Lexicon({}), np.zeros(len(FEATURES)), -3.0 if not any(y for _, y in rows) else 3.0)
     lexicon = learn_lexicon(rows)
     halves = [rows[::2], rows[1::2]]
-    x, y = [], []
+    x, y, share = [], [], []
     for own, other in (halves, halves[::-1]):
         half = learn_lexicon(own)
-        x += [half.features(t) for t, _ in other]
-        y += [label for _, label in other]
-    x, y = np.array(x), np.array(y, float)
+        for text, label in other:
+            # a toxic text stands half for itself and half for its misspelt form, which weighs misspelt terms
+            forms = [text, *([m] if label and (m := half.misspelt(text)) else [])]
+            x += [half.features(t) for t in forms]
+            y += [label] * len(forms)
+            share += [1 / len(forms)] * len(forms)
+    x, y, share = np.array(x), np.array(y, float), np.array(share)
     a = np.column_stack([x, np.ones(len(x))])
     theta = np.zeros(a.shape[1])
-    penalty = np.append(np.full(x.shape[1], ridge * len(x)), 1e-6)
+    penalty = np.append(np.full(x.shape[1], ridge * share.sum()), 1e-6)
     for _ in range(steps):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-9 * np.eye(len(theta)), a.T @ (p - y) + penalty * theta)
+        step = np.linalg.solve((a * (share * p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-9 * np.eye(len(theta)), a.T @ (share * (p - y)) + penalty * theta)
         theta = theta - step
         if np.abs(step).max() < 1e-6:
             break
@@ -171,15 +185,19 @@ def fit(rows: list[tuple[str, int]], steps: int = 50, ridge: float = 1e-3) -> Mo
     return Model(lexicon, np.maximum(theta[:-1], 0.0), float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_chars: int = 20_000) -> Model:
-    """Fit on a bounded sample of labelled rows: at most `most_rows` rows of `labels` that are not held out, in hash order,
-    whose texts have at most `most_chars` characters, so what reaches the driver has a fixed bound. Rows with a null
-    label, doc_id or text are no examples; rows with several labels count once, as toxic if any label says so."""
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_chars: int = 64 << 20) -> Model:
+    """Fit on a bounded sample of labelled rows: in hash order of doc_id, the first `most_rows` rows of `labels` that are
+    not held out and have a text, as far as their texts together have `most_chars` characters (so what reaches the driver
+    has a fixed bound; a text of any length may be among them). Rows with a null label, doc_id or text are no examples;
+    rows with several labels count once, as toxic if any label says so; rows that share a doc_id are examples each."""
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     y = y.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.filter(F.length("text") <= most_chars).select("doc_id", "text").join(F.broadcast(y), "doc_id")  # most_rows rows of two numbers
-    return fit([(r.text, r.toxic) for r in rows.select("text", "toxic", "doc_id").orderBy("doc_id", "text").limit(most_rows).toLocalIterator()])
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(y), "doc_id")  # most_rows rows of two numbers
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows)
+    some = some.withColumn("chars", F.sum(F.length("text")).over(order)).filter(F.col("chars") <= most_chars)  # most_rows rows
+    return fit([(r.text, r.toxic) for r in some.orderBy("doc_id", "text").select("text", "toxic").toLocalIterator()])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,7 +19,7 @@ from cellweave.llm.minhash_dedup import near_duplicates
 from cellweave.llm.packing import pack, sequences
 from cellweave.llm.phrase_dedup import phrase_dedup
 from cellweave.llm.suffix_dedup import blind_trie, suffix_dedup
-from cellweave.llm.toxicity import fit, toxicity
+from cellweave.llm.toxicity import fit, toxicity, train
 
 SCHEMA = "doc_id long, text string, kept string, ids int, h int"
 
@@ -312,6 +312,31 @@ def test_toxicity(spark, none):
     assert toxicity(none, model).count() == 0
 
 
+def test_toxicity_of_misspelt_terms_and_clashing_columns(spark):
+    rng = random.Random(5)
+    words = ["word%s" % c for c in "abcdefghijklmnop"]
+    make = lambda t: " ".join([*(rng.choice(words) for _ in range(30)), *t])
+    rows = [(make(["vilest"] if i % 5 == 0 else []), int(i % 5 == 0)) for i in range(400)]
+    model = fit(rows)
+    for w in ("vilezt", "v1lest", "vilets", "vielst", "vilst"):
+        assert model.lexicon[w] == ("vilest", 1) and model.score(make([w])) >= 0.3, w
+    assert model.score(make([])) < 0.3 and model.weights[1] > 0
+    d = spark.createDataFrame([(1, make(["vilest"]), "x", 7), (1, make(["vilest"]), "x", 7), (2, None, "x", 7)], "doc_id long, text string, score string, predicted int")
+    got = toxicity(d, model).collect()
+    assert sorted((r.doc_id, r.predicted) for r in got) == [(1, 1), (1, 1), (2, 0)] and all(0 <= r.score <= 1 for r in got)
+
+
+def test_training_leaves_out_held_out_rows_and_takes_long_texts(spark):
+    ids = list(range(400))
+    out = {i for i in ids if zlib.crc32(str(i).encode()) % 4 == 2}
+    text = lambda i: "clean words here " * (20_000 if i == 0 else 3) + ("heldout" if i in out else "vilest" if i % 3 == 0 else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in ids] + [(401, None), (None, "vilest")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i in out)) for i in ids] + [(401, 1), (1, None), (0, 0)], "doc_id long, toxic int")
+    terms = train(docs, labels).lexicon.terms
+    assert "vilest" in terms and "heldout" not in terms
+    assert train(docs, labels, most_chars=0).lexicon.terms == {}
+
+
 def test_license_inheritance(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("c/z", None), (None, "")]
     got = {r.path: (r.license, r.found_in) for r in license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
@@ -365,12 +390,13 @@ def test_texts_beyond_a_slice(spark):
     assert {r.doc_id: r.n_removed for r in phrase_dedup(d, 50).collect()} == want and want[2] and want[3]
 
 
-def test_host_suffixes_find_the_longest_prefix_on_another_page(spark):
+@pytest.mark.parametrize("part", [20_000, 3])
+def test_host_suffixes_find_the_longest_prefix_on_another_page(spark, part):
     rng = np.random.default_rng(5)
     rows = [(f"h{h}", page, b, " ".join(rng.choice(list("abc"), rng.integers(1, 14)))) for h in range(2) for page in range(5) for b in range(3)]
     rows += [("h0", 9, 0, "a b a b a b a b a b a b a b"), ("h2", 10, 0, "c c c c c c c c c c")]  # a page that repeats itself
     least, depth = 2, 6
-    got = {(r.page, r.block, r.at, h): r.covered for h in ("h0", "h1", "h2") for r in repeated(spark.createDataFrame([r for r in rows if r[0] == h], "host string, page long, block int, text string"), least, depth).collect()}
+    got = {(r.page, r.block, r.at, h): r.covered for h in ("h0", "h1", "h2") for r in repeated(spark.createDataFrame([r for r in rows if r[0] == h], "host string, page long, block int, text string"), least, depth, part).collect()}
     want = {}
     for host, page, block, text in rows:
         t = text.split()
@@ -404,6 +430,16 @@ import foo
 """
 
 
+def test_licenses_of_ties_repeated_paths_and_no_files(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    files = [("a/LICENSE", mit, "x"), ("a/COPYING", gpl, "x"), ("a/b", "code", "x"), ("a/b", "code", "x"), ("top", "", "x"), ("d/both", mit + "\n" + gpl, "x")]
+    got = license_scan(spark.createDataFrame(files, "path string, text string, license string")).collect()
+    of = {r.path: r for r in got}
+    assert len(got) == 6 and of["a/b"].license_from == "a/COPYING" and of["a/b"].license == "GPL-3.0"  # equal scores: the smallest path
+    assert of["top"].found_in == "none" and of["d/both"].license == "MIT" and of["d/both"].score == 1.0  # equal scores: the greater name
+    assert license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
 def test_licenses_of_wrapped_headers_and_whole_texts(spark):
     from cellweave.llm import license_texts
 
@@ -428,6 +464,13 @@ def test_runs_of_short_blocks_on_other_pages_are_removed(spark):
     assert got == {i: f"{i} says x{i} y{i}\n\nend {i}" for i in range(3)}
 
 
+def test_extract_of_no_pages_repeated_pages_and_clashing_columns(spark):
+    kind = "page_id long, url string, html string, text int, found int"
+    assert extract(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "http://h/1", "<article>one</article>", 1, 2)] * 2 + [(2, "http://h/2", "<div>just some words</div>", 1, 2)] * 2
+    assert sorted((r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, kind)).collect()) == [(1, "one", 3)] * 2 + [(2, "just some words", 15)] * 2
+
+
 def test_marks_inside_an_article_count_only_as_whole_names_of_containers():
     from cellweave.llm.html_extract import decided
 
