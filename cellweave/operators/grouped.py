@@ -101,17 +101,18 @@ def optimal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def balanced_folds(groups: DataFrame, folds: int) -> DataFrame:
-    """groups(group, pos, size): the largest first, each to the fold with fewest positive groups, positives, rows, then number. Groups are a few thousand at most."""
+    """groups(group, pos, size). Groups with positives go first, most positives first, each to the fold with fewest of such groups,
+    positives, rows; then the others, largest first, each to the fold with fewest rows. Equal groups go by name (as text),
+    equal folds by number. Groups are a few thousand at most."""
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        load = [[0, 0, 0, k] for k in range(folds)]
-        out = []
-        for r in pdf.sort_values(["pos", "size", "group"], ascending=[False, False, True]).itertuples():
-            best = min(load)
-            best[0] += r.pos > 0
-            best[1] += r.pos
-            best[2] += r.size
-            out.append((r.group, best[3]))
+        load, out = np.zeros((folds, 3), np.int64), []
+        named = pdf.assign(name=pdf.group.astype(str))
+        for own, by, ranked in ((named[named.pos > 0], "pos", (2, 1, 0)), (named[named.pos == 0], "size", (2,))):
+            for r in own.sort_values([by, "name"], ascending=[False, True]).itertuples():
+                fold = int(np.lexsort(load[:, ranked].T)[0])
+                load[fold] += (r.pos > 0, r.pos, r.size)
+                out.append((r.group, fold))
         return pd.DataFrame(out, columns=["group", "fold"])
 
     return groups.groupBy().applyInPandas(deal, "group long, fold long")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .graph import _cut, components
 
@@ -120,12 +123,35 @@ def lattice(mask: DataFrame, nx: Side, ny: Side) -> DataFrame:
 
 
 def squared_distance(mask: DataFrame, nx: Side, ny: Side) -> DataFrame:
-    """Exact squared pixel distance to the nearest mask pixel, by columns and then by rows: nx * ny * (nx + ny) steps for
-    each sample in place of a comparison of all pixels with all."""
-    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)).alias("t")
-    down = sided(mask, side=ny).select("sample", "ix", "iy", number("side")).groupBy("sample", "ix", F.col("t").alias("iy")).agg(F.min((F.col("t") - F.col("iy")) * (F.col("t") - F.col("iy"))).alias("g"))
-    across = sided(down, side=nx).select("sample", "iy", "ix", "g", number("side"))
-    return across.groupBy("sample", "iy", F.col("t").alias("ix")).agg(F.min(F.col("g") + (F.col("t") - F.col("ix")) * (F.col("t") - F.col("ix"))).alias("d2"))
+    """Exact squared pixel distance to the nearest mask pixel of the lattice. A scan up and one down each column give the distance
+    within it; then each row of the lattice is one array, in which `across` looks for a nearer column. So a lattice pixel is
+    one row in each of two shuffles, however large the mask."""
+    every = lattice(mask, nx, ny).withColumn("own", F.lit(None).cast("long")).unionByName(mask.select(*KEY, F.col("iy").cast("long").alias("own")))
+    column = Window.partitionBy("sample", "ix")
+    below, above = (F.last("own", ignorenulls=True).over(column.orderBy(o)) for o in (F.asc("iy"), F.desc("iy")))
+    near = every.withColumn("below", below).withColumn("above", above).filter("own is null")
+    g = F.least(F.col("iy") - F.col("below"), F.col("above") - F.col("iy"))
+    rows = near.select(*KEY, F.coalesce(g * g, F.lit(FAR)).alias("g")).groupBy("sample", "iy").agg(F.array_sort(F.collect_list(F.struct("ix", "g"))).alias("r"))
+    return rows.select("sample", "iy", F.posexplode(across(F.col("r.g"))).alias("ix", "d2")).withColumn("ix", F.col("ix").cast("long"))
+
+
+#: Stands for no mask pixel in a column.
+FAR = 1 << 40
+
+
+def nearest_column(g: np.ndarray) -> np.ndarray:
+    """min over j of g[j] + (i - j)², by steps as far as the largest distance left."""
+    d, k = g.copy(), 1
+    while k < len(g) and k * k < d.max():
+        np.minimum(d[k:], g[:-k] + k * k, out=d[k:])
+        np.minimum(d[:-k], g[k:] + k * k, out=d[:-k])
+        k += 1
+    return d
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def across(rows: pd.Series) -> pd.Series:
+    return rows.map(nearest_column)
 
 
 def signed_distance(mask: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:

@@ -62,7 +62,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "x3_anchors_per_square": f"WITH {CELLS} SELECT sample, qy, qx, cell_id FROM (SELECT sample, cell_id, CAST(floor(y / 50) AS BIGINT) AS qy, CAST(floor(x / 100) AS BIGINT) AS qx, row_number() OVER (PARTITION BY sample, floor(y / 50), floor(x / 100) ORDER BY cell_id % 97 DESC, cell_id) AS k FROM cells) t WHERE k = 1",
     "x14_gap_rescue": f"""WITH {CELLS}, r AS (SELECT sample, cell_type, avg(x) AS cx, avg(y) AS cy FROM cells GROUP BY sample, cell_type), m AS (SELECT a.sample + 1 AS sample, a.cell_type, (a.cx + b.cx) / 2 AS cx, (a.cy + b.cy) / 2 AS cy FROM r a JOIN r b ON b.sample = a.sample + 2 AND b.cell_type = a.cell_type)
       SELECT m.sample, m.cell_type, count(*) AS n FROM m JOIN cells c ON c.sample = m.sample AND sqrt((c.x - m.cx) * (c.x - m.cx) + (c.y - m.cy) * (c.y - m.cy)) <= 30 GROUP BY m.sample, m.cell_type HAVING count(*) >= 8""",
-    "g6_bridged_ends": f"""WITH {CELLS}, r AS (SELECT sample AS z, cell_type, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM cells WHERE sample % 3 > 0 GROUP BY 1, 2), p AS (SELECT a.z AS z, a.cell_type AS a, b.z AS z2, b.cell_type AS b, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d FROM r a JOIN r b ON b.z = a.z + 2 WHERE least(a.area, b.area) >= 0.3 * greatest(a.area, b.area)),
+    "g6_bridged_ends": f"""WITH {CELLS}, r AS (SELECT sample AS z, cell_type, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM cells GROUP BY 1, 2), p AS (SELECT a.z AS z, a.cell_type AS a, b.z AS z2, b.cell_type AS b, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d FROM r a JOIN r b ON b.z = a.z + 2 WHERE least(a.area, b.area) >= 0.3 * greatest(a.area, b.area)),
       k AS (SELECT *, row_number() OVER (PARTITION BY z, a ORDER BY round(d, 9), b) AS i, row_number() OVER (PARTITION BY z2, b ORDER BY round(d, 9), a) AS j FROM p) SELECT z, a, z2, b, round(d, 6) AS d FROM k WHERE i = 1 AND j = 1""",
     "s13_row_count": "SELECT count(*) AS n FROM lineitem",
     "s2_sample_scan": "SELECT event_id, user_id FROM events WHERE user_id = 7",

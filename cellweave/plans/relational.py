@@ -8,7 +8,11 @@ from __future__ import annotations
 CELLS = "cells AS (SELECT event_id AS cell_id, value AS x, CAST(user_id AS DOUBLE) AS y, event_type AS cell_type, CAST(day(ts) AS BIGINT) AS sample FROM events)"
 SCORES = """scores AS (SELECT l.doc_id, l.quality AS y, d.source AS patient, d.lang AS cancer, (d.n_chars % 997) / 997.0 AS p
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+BINNED = "g AS (SELECT p, CAST(floor(p * 1024) AS BIGINT) AS bin, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM scores GROUP BY p), bins AS (SELECT bin, sum(pos) AS pos, sum(neg) AS neg FROM g GROUP BY bin)"
 PRED = "pred AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS yhat FROM scores)"
+#: z ~ c + ax x + ay y by least squares for each sample, from centred moments; a sample whose points lie on one line has no plane.
+PLANE = """v AS (SELECT sample, x, y, CAST(cell_id % 97 AS DOUBLE) AS z FROM cells), moments AS (SELECT sample, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM v GROUP BY sample),
+  slopes AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS ax, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS ay FROM moments WHERE xx * yy - xy * xy > 0.000000001 * xx * yy), plane AS (SELECT sample, mz, ax, ay, mz - ax * mx - ay * my AS c FROM slopes)"""
 
 SQL: dict[str, str | tuple[str, str]] = {
     # projections, filters, predicates
@@ -24,7 +28,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "p8_quadrants": "SELECT s_suppkey, CASE WHEN s_acctbal >= 4000 AND s_nationkey >= 12 THEN 'both' WHEN s_acctbal >= 4000 THEN 'b_only' WHEN s_nationkey >= 12 THEN 'dc_only' ELSE 'neither' END AS state FROM supplier",
     "p9_zone_majority": f"""WITH {CELLS}, f AS (SELECT sample, count(*) AS n, avg(CASE WHEN x < 150 THEN 1.0 ELSE 0.0 END) AS intra, avg(CASE WHEN x >= 150 AND x < 300 THEN 1.0 ELSE 0.0 END) AS peri, avg(CASE WHEN x >= 300 THEN 1.0 ELSE 0.0 END) AS distant FROM cells GROUP BY sample)
       SELECT sample, n, CASE WHEN n = 0 THEN 'mixed' WHEN intra >= 0.5 THEN 'intra' WHEN peri >= 0.5 THEN 'peri' WHEN distant >= 0.8 THEN 'distant' WHEN intra + peri >= 0.7 THEN 'peri' ELSE 'mixed' END AS zone FROM f""",
-    "p10_three_way_label": "SELECT l_orderkey, avg(l_discount) AS frac, CASE WHEN avg(l_discount) IS NULL THEN -1 WHEN count(*) < 2 THEN -1 WHEN avg(l_discount) >= 0.06 THEN 1 WHEN avg(l_discount) <= 0.03 THEN 0 ELSE -1 END AS label FROM (SELECT l_orderkey, round(l_discount * 100) / 100 AS l_discount FROM lineitem) t GROUP BY l_orderkey HAVING count(*) < 2".replace("avg(l_discount) AS frac", "round(avg(l_discount), 6) AS frac"),
+    "p10_three_way_label": "SELECT l_orderkey, round(hundredths / 100.0, 6) AS frac, CASE WHEN hundredths IS NULL OR n < 2 THEN -1 WHEN hundredths >= 6 THEN 1 WHEN hundredths <= 3 THEN 0 ELSE -1 END AS label FROM (SELECT l_orderkey, count(*) AS n, avg(round(l_discount * 100)) AS hundredths FROM lineitem GROUP BY l_orderkey) t",
     "p11_quality_gates": "SELECT c_custkey, (c_acctbal IS NOT NULL AND c_acctbal < 0) AS drop_flat, coalesce(c_acctbal > 9000, false) AS drop_blur, NOT (coalesce(c_acctbal < 0, false) OR coalesce(c_acctbal > 9000, false)) AS keep FROM customer",
     "p12_distance_band": "SELECT event_id, CASE WHEN value - 100 <= 0 THEN 'inside' WHEN value - 100 <= 50 THEN '0-50' WHEN value - 100 <= 100 THEN '50-100' ELSE '>100' END AS band FROM events",
     "p13_rectangle_assignment": f"""WITH {CELLS}, rect AS (SELECT * FROM (VALUES (1, 0.0, 200.0, 0.0, 80.0), (2, 100.0, 300.0, 40.0, 120.0), (3, 250.0, 400.0, 0.0, 150.0)) AS t(k, x0, x1, y0, y1))
@@ -46,7 +50,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "j6_three_way": "SELECT r.r_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
     "j7_map_join": "SELECT c.c_custkey, m.code FROM customer c LEFT JOIN (SELECT * FROM (VALUES ('BUILDING', 1), ('MACHINERY', 2)) AS t(seg, code)) m ON c.c_mktsegment = m.seg",
     "j8_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
-    "j9_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "j9_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "j10_first_missing": """WITH k AS (SELECT c_custkey AS k FROM customer), a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000)
       SELECT CASE WHEN a.k IS NULL THEN 'no_pending' WHEN b.k IS NULL THEN 'no_large' ELSE 'kept' END AS outcome, count(*) AS n FROM k LEFT JOIN a ON k.k = a.k LEFT JOIN b ON k.k = b.k GROUP BY 1""",
     "j11_point_lookup": f"""WITH {CELLS}, g AS (SELECT sample, floor(y / 10) AS iy, floor(x / 10) AS ix, count(*) AS n FROM cells WHERE cell_type = 'error' GROUP BY 1, 2, 3)
@@ -54,8 +58,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "j17_adjacent_keys": "SELECT z, nz FROM (SELECT z, lead(z) OVER (ORDER BY z) AS nz FROM (SELECT DISTINCT CAST(day(ts) AS BIGINT) AS z FROM events) t) u WHERE nz - z <= 3",
     "j20_best_overlap": """WITH m AS (SELECT l_suppkey AS a, l_partkey % 50 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT a, sum(n) AS size FROM m GROUP BY a), r AS (SELECT m.a, m.b, CAST(m.n AS DOUBLE) / t.size AS frac, row_number() OVER (PARTITION BY m.a ORDER BY m.n DESC, m.b) AS k FROM m JOIN t ON m.a = t.a)
       SELECT a, b, round(frac, 8) AS frac FROM r WHERE k = 1""",
-    "j22_ring_neighbours": f"""WITH {CELLS}, t AS (SELECT DISTINCT CAST(floor(y / 10) AS BIGINT) AS iy, CAST(floor(x / 10) AS BIGINT) AS ix FROM cells WHERE sample = 1), o AS (SELECT CAST(a.d AS BIGINT) AS dy, CAST(b.d AS BIGINT) AS dx FROM (VALUES (-2), (-1), (0), (1), (2)) AS a(d) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS b(d) WHERE a.d <> 0 OR b.d <> 0)
-      SELECT t.iy, t.ix, o.dy, o.dx, coalesce(u.iy * 1000 + u.ix, -1) AS neighbour FROM t CROSS JOIN o LEFT JOIN t u ON u.iy = t.iy + o.dy AND u.ix = t.ix + o.dx""",
+    "j22_ring_neighbours": f"""WITH {CELLS}, t AS (SELECT DISTINCT sample, CAST(floor(y / 10) AS BIGINT) AS iy, CAST(floor(x / 10) AS BIGINT) AS ix FROM cells), o AS (SELECT CAST(a.d AS BIGINT) AS dy, CAST(b.d AS BIGINT) AS dx FROM (VALUES (-2), (-1), (0), (1), (2)) AS a(d) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS b(d) WHERE a.d <> 0 OR b.d <> 0)
+      SELECT t.sample, t.iy, t.ix, o.dy, o.dx, coalesce(u.iy * 1000 + u.ix, -1) AS neighbour FROM t CROSS JOIN o LEFT JOIN t u ON u.sample = t.sample AND u.iy = t.iy + o.dy AND u.ix = t.ix + o.dx""",
     # aggregations
     "a1_value_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "a2_composition": f"WITH {CELLS} SELECT sample, count(*) AS n, round(avg(CASE WHEN cell_type = 'click' THEN 1.0 ELSE 0.0 END), 4) AS frac_click, round(avg(CASE WHEN cell_type = 'error' THEN 1.0 ELSE 0.0 END), 4) AS frac_error, round(avg(CASE WHEN cell_type = 'view' THEN 1.0 ELSE 0.0 END), 4) AS frac_view FROM cells GROUP BY sample".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"),
@@ -66,19 +70,30 @@ SQL: dict[str, str | tuple[str, str]] = {
     "a7_weak_fraction": "SELECT o_custkey, count(*) AS n, CAST(count_if(o_totalprice < 50000) AS DOUBLE) / count(*) AS weak_frac, CASE WHEN count(*) >= 5 AND CAST(count_if(o_totalprice < 50000) AS DOUBLE) / count(*) > 0.5 THEN 'drop' WHEN count(*) >= 5 THEN 'keep' END AS verdict FROM orders GROUP BY o_custkey",
     "a8_median_mad": f"WITH {CELLS}, m AS (SELECT sample, percentile(x, 0.5) AS mx, percentile(y, 0.5) AS my FROM cells GROUP BY sample) SELECT c.sample, round(hypot(percentile(abs(x - mx), 0.5), percentile(abs(y - my), 0.5)), 6) AS spread FROM cells c JOIN m ON c.sample = m.sample GROUP BY c.sample".replace("hypot(percentile(abs(x - mx), 0.5), percentile(abs(y - my), 0.5))", "sqrt(pow(percentile(abs(x - mx), 0.5), 2) + pow(percentile(abs(y - my), 0.5), 2))"),
     "a10_percentiles": "SELECT o_orderpriority, round(percentile(o_totalprice, 0.01), 4) AS p1, round(percentile(o_totalprice, 0.5), 4) AS p50, round(percentile(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY o_orderpriority",
-    "a11_least_squares": f"WITH {CELLS} SELECT sample, round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM cells GROUP BY sample",
-    "a12_model_choice": f"WITH {CELLS}, f AS (SELECT cell_type, regr_r2(y, x) AS r2, stddev_pop(y) AS sd FROM cells GROUP BY cell_type) SELECT cell_type, CASE WHEN r2 > 0.5 THEN 'affine' WHEN sd < 1 THEN 'constant' ELSE 'none' END AS model FROM f",
-    "a13_total_row": "SELECT coalesce(n.n_name, '__TOTAL__') AS name, count(*) AS n, round(avg(c.c_acctbal), 6) AS bal FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY GROUPING SETS ((n.n_name), ())",
+    "a11_least_squares": f"WITH {CELLS}, {PLANE} SELECT v.sample, round(max(ax), 8) AS ax, round(max(ay), 8) AS ay, round(max(c), 6) AS c, count(*) AS n, round(percentile(abs(z - (c + ax * x + ay * y)), 0.9), 6) AS p90 FROM v JOIN plane ON v.sample = plane.sample GROUP BY v.sample",
+    "a12_model_choice": f"""WITH {CELLS}, {PLANE}, r AS (SELECT v.sample, count(*) AS n, percentile(abs(z - (c + ax * x + ay * y)), 0.9) AS affine, percentile(abs(z - mz), 0.9) AS constant FROM v JOIN plane ON v.sample = plane.sample GROUP BY v.sample)
+      SELECT sample, n, CASE WHEN n < 3 THEN 'none' WHEN affine < 0.98 * constant THEN 'affine' ELSE 'constant' END AS model FROM r""",
+    "a13_total_row": "SELECT coalesce(n.n_name, '__TOTAL__') AS name, count(*) AS n, count_if(c.c_acctbal > 0) AS done, round(CAST(count_if(c.c_acctbal > 0) AS DOUBLE) / count(*), 8) AS done_share, round(avg(c.c_acctbal), 6) AS bal FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY GROUPING SETS ((n.n_name), ())",
     "a14_overview": "SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderpriority",
     "a15_confusion": f"WITH {SCORES}, {PRED} SELECT patient, y, yhat, count(*) AS n FROM pred GROUP BY patient, y, yhat",
     "a16_class_f1": f"""WITH {SCORES}, {PRED}, c AS (SELECT count_if(y = 1 AND yhat = 1) AS tp, count_if(y = 0 AND yhat = 1) AS fp, count_if(y = 1 AND yhat = 0) AS fn FROM pred)
       SELECT round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 8) AS prec, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 8) AS recall, round(coalesce(2.0 * CAST(tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 8) AS f1 FROM c""",
-    "a17_auroc": f"""WITH {SCORES}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM scores)
+    # a17, a19, w5: counts of equal scores first, then running sums within bins of the score upon the totals of the bins before
+    "a17_auroc": (
+        f"""WITH {SCORES}, {BINNED}, o AS (SELECT bin, sum(neg) OVER (ORDER BY bin) - neg AS below FROM bins), c AS (SELECT g.pos, g.neg, o.below + sum(g.neg) OVER (PARTITION BY g.bin ORDER BY g.p) AS upto FROM g JOIN o ON g.bin = o.bin)
+      SELECT round(sum(pos * (upto - CAST(neg AS DOUBLE) / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 8) AS auroc FROM c""",
+        f"""WITH {SCORES}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM scores)
       SELECT round((CAST(sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS DOUBLE) - CAST(count_if(y = 1) AS DOUBLE) * (count_if(y = 1) + 1) / 2) / (CAST(count_if(y = 1) AS DOUBLE) * count_if(y = 0)), 8) AS auroc FROM r""",
+    ),
     "a18_binned_roc": f"""WITH {SCORES}, b AS (SELECT floor(CAST(p AS DOUBLE) * 100) AS bin, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM scores GROUP BY 1)
       SELECT CAST(bin AS BIGINT) AS bin, CAST(sum(pos) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, CAST(sum(neg) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM b""",
-    "a19_average_precision": f"""WITH {SCORES}, g AS (SELECT p, count(*) AS n, count_if(y = 1) AS pos FROM scores GROUP BY p), c AS (SELECT pos, sum(pos) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(n) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS k, sum(pos) OVER () AS total FROM g)
+    "a19_average_precision": (
+        f"""WITH {SCORES}, {BINNED}, o AS (SELECT bin, sum(pos) OVER (ORDER BY bin DESC) - pos AS pos, sum(pos + neg) OVER (ORDER BY bin DESC) - pos - neg AS n FROM bins),
+      c AS (SELECT g.pos, o.pos + sum(g.pos) OVER (PARTITION BY g.bin ORDER BY g.p DESC) AS tp, o.n + sum(g.pos + g.neg) OVER (PARTITION BY g.bin ORDER BY g.p DESC) AS k FROM g JOIN o ON g.bin = o.bin)
+      SELECT round(sum(CAST(pos AS DOUBLE) * tp / k) / sum(pos), 8) AS ap FROM c""",
+        f"""WITH {SCORES}, g AS (SELECT p, count(*) AS n, count_if(y = 1) AS pos FROM scores GROUP BY p), c AS (SELECT pos, sum(pos) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(n) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS k, sum(pos) OVER () AS total FROM g)
       SELECT round(sum(CAST(pos AS DOUBLE) / total * (CAST(tp AS DOUBLE) / k)), 8) AS ap FROM c""",
+    ),
     "a20_dice": f"WITH {SCORES}, {PRED}, c AS (SELECT patient, count_if(y = 1 AND yhat = 1) AS tp, count_if(y = 0 AND yhat = 1) AS fp, count_if(y = 1 AND yhat = 0) AS fn FROM pred GROUP BY patient) SELECT patient, round(2.0 * CAST(tp AS DOUBLE) / greatest(2 * tp + fp + fn, 1), 8) AS dice_zero, CASE WHEN tp + fp + fn = 0 THEN CAST(1 AS DOUBLE) ELSE round(CAST(tp AS DOUBLE) / (tp + fp + fn), 8) END AS iou_one FROM c",
     "a22_patient_equal": f"WITH {SCORES}, {PRED}, c AS (SELECT patient, avg(CASE WHEN y = yhat THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS acc, count(*) AS n FROM pred GROUP BY patient) SELECT round(avg(acc), 8) AS patient_equal, round(sum(acc * n) / sum(n), 8) AS pooled FROM c",
     "a23_composition_error": f"""WITH {SCORES}, {PRED}, m AS (SELECT cancer, avg(CAST(y AS DOUBLE)) AS s, avg(CAST(yhat AS DOUBLE)) AS t FROM pred GROUP BY cancer)
@@ -96,7 +111,11 @@ SQL: dict[str, str | tuple[str, str]] = {
     "w2_lowest_hash": "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha2(CAST(event_id AS STRING), 256), event_id) AS k FROM events) t WHERE k <= 20",
     "w3_capped_merge": "SELECT o_orderpriority, count(*) AS n, max(o_orderkey) AS edge FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) t WHERE k <= 1000 GROUP BY o_orderpriority",
     "w4_local_offsets": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS local FROM orders",
-    "w5_cumulative_tp": f"WITH {SCORES} SELECT doc_id, CAST(sum(y) OVER (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp FROM scores",
+    "w5_cumulative_tp": (
+        f"""WITH {SCORES}, s AS (SELECT doc_id, y, p, CAST(floor(p * 1024) AS BIGINT) AS bin FROM scores), t AS (SELECT bin, sum(y) AS tp FROM s GROUP BY bin), o AS (SELECT bin, sum(tp) OVER (ORDER BY bin DESC) - tp AS above FROM t)
+      SELECT s.doc_id, CAST(o.above + sum(s.y) OVER (PARTITION BY s.bin ORDER BY s.p DESC, s.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp FROM s JOIN o ON s.bin = o.bin""",
+        f"WITH {SCORES} SELECT doc_id, CAST(sum(y) OVER (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp FROM scores",
+    ),
     "w6_tie_rank": "SELECT l_orderkey, l_partkey, l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS tie_rank FROM lineitem".replace("/ 2.0 AS", "/ CAST(2 AS DOUBLE) AS"),
     "w7_serpentine": f"WITH {CELLS}, b AS (SELECT *, CAST(floor(y / 30) AS BIGINT) AS band FROM cells) SELECT cell_id, row_number() OVER (PARTITION BY sample ORDER BY band, CASE WHEN band % 2 = 0 THEN x ELSE -x END, cell_id) AS place FROM b",
     "w8_area_numbering": "SELECT p_type, p_brand, row_number() OVER (ORDER BY CASE WHEN p_type = 'PROMO' THEN 0 ELSE 1 END, n DESC, p_type, p_brand) AS region_id FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand) t",
@@ -125,8 +144,12 @@ SQL: dict[str, str | tuple[str, str]] = {
     "m4_nested_split": "SELECT n_nationkey, c_custkey, k <= greatest(1, least(n - 1, CAST(round(n * 0.2) AS BIGINT))) AS inner_val FROM (SELECT c_nationkey AS n_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha2(CAST(c_custkey AS STRING), 256)) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) t",
     "m5_two_caps": "SELECT patient, cell_type, count(*) AS n FROM (SELECT user_id AS patient, event_type AS cell_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sha2(CAST(event_id AS STRING), 256)) AS k FROM events) t WHERE k <= 5 GROUP BY patient, cell_type",
     "m6_duplicate_content": "SELECT sha2(text, 256) AS h, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY sha2(text, 256) HAVING count(*) > 1",
-    "m7_group_weight": "SELECT o_orderkey, round(CAST(count(*) OVER () AS DOUBLE) / (5 * count(*) OVER (PARTITION BY o_orderpriority)), 8) AS w FROM orders",
-    "e1_linear_score": "SELECT l_orderkey, round(regr_slope(l_extendedprice, CASE WHEN l_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS slope, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey % 2) = 2",
+    "m7_group_weight": (
+        "WITH g AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority), t AS (SELECT CAST(sum(n) AS DOUBLE) / count(*) AS fair FROM g) SELECT o.o_orderkey, round(t.fair / g.n, 8) AS w FROM orders o JOIN g ON o.o_orderpriority <=> g.o_orderpriority CROSS JOIN t",
+        "SELECT o_orderkey, round(CAST(count(*) OVER () AS DOUBLE) / ((SELECT count(DISTINCT o_orderpriority) FROM orders) * count(*) OVER (PARTITION BY o_orderpriority)), 8) AS w FROM orders",
+    ),
+    "e1_linear_score": """WITH net AS (SELECT * FROM (VALUES (0), (1), (2)) AS t(gene_set)), s AS (SELECT l.l_suppkey AS cell, n.gene_set, count(*) AS genes, count_if(l.l_partkey % 3 = n.gene_set) AS targets, corr(CAST(l.l_extendedprice AS DOUBLE), CASE WHEN l.l_partkey % 3 = n.gene_set THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS r FROM lineitem l CROSS JOIN net n GROUP BY l.l_suppkey, n.gene_set)
+      SELECT cell, gene_set, targets, round(r * sqrt((genes - 2) / ((1 - r) * (1 + r))), 6) AS t FROM s WHERE targets >= 5 AND genes > targets AND genes > 2""",
     "e3_marker_argmax": "SELECT l_orderkey, CASE WHEN total < 10 OR best <= 0 THEN 'Unknown' WHEN a >= b THEN 'A' ELSE 'B' END AS typed FROM (SELECT l_orderkey, sum(l_quantity) AS total, avg(ln(1 + 100 * CASE WHEN l_linenumber <= 3 THEN l_quantity ELSE 0 END)) AS a, avg(ln(1 + 100 * CASE WHEN l_linenumber > 3 THEN l_quantity ELSE 0 END)) AS b, max(l_quantity) AS best FROM lineitem GROUP BY l_orderkey) t",
     "e4_method_guard": "SELECT count(DISTINCT l_returnflag) = 1 AS one_method FROM lineitem",
     "e5_maturity_rungs": "SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'mature' WHEN p_size >= 20 AND p_retailprice >= 950 THEN 'primary' WHEN p_size >= 20 THEN 'early' ELSE 'none' END AS rung FROM part",

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from cellweave.operators.grouped import balanced_folds
 from cellweave.plans.catalog import QUERIES
 
 
@@ -17,7 +18,7 @@ def test_groups_of_all_orders(spark, tmp_path):
         a, b = groups.get(customer, {customer}), groups.get(-1 - key % 5000, {-1 - key % 5000})
         for node in a | b:
             groups[node] = a | b
-    assert {r.node: r.component for r in run(spark, tmp_path, "g2_bipartite_groups_all")} == {node: min(g) for node, g in groups.items()}
+    assert {r.node: r.component for r in run(spark, tmp_path, "g2_bipartite_groups")} == {node: min(g) for node, g in groups.items()}
 
 
 def test_rings_and_bridges_of_all_sections(spark, tmp_path):
@@ -26,6 +27,14 @@ def test_rings_and_bridges_of_all_sections(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, value double, user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     tiles = {(d, int(y // 10), int(x // 10)) for d, x, y in at}
     want = {(d, y, x, dy, dx, (y + dy) * 1000 + x + dx if (d, y + dy, x + dx) in tiles else -1) for d, y, x in tiles for dy in range(-2, 3) for dx in range(-2, 3) if dy or dx}
-    got = run(spark, tmp_path, "j22_ring_neighbours_all")
+    got = run(spark, tmp_path, "j22_ring_neighbours")
     assert len(got) == len(want) and {(r.sample, r.iy, r.ix, r.dy, r.dx, r.neighbour) for r in got} == want
-    assert [(r.z, r.a, r.z2, r.b, r.d) for r in run(spark, tmp_path, "g6_bridged_ends_all")] == [(1, "view", 3, "view", 5.0)]
+    assert [(r.z, r.a, r.z2, r.b, r.d) for r in run(spark, tmp_path, "g6_bridged_ends")] == [(1, "view", 3, "view", 5.0)]
+
+
+def test_folds_of_groups_without_positives_go_by_rows(spark):
+    groups = spark.createDataFrame([(1, 1, 1), (2, 0, 100), (3, 0, 50), (10, 1, 5)], "group long, pos long, size long")
+    # 1 and 10 have as many positives: "1" is before "10". Then the largest to the smaller fold each time.
+    assert {r.group: r.fold for r in balanced_folds(groups, 2).collect()} == {1: 0, 10: 1, 2: 0, 3: 1}
+    few = groups.filter("group < 10")
+    assert {r.group: r.fold for r in balanced_folds(few, 2).collect()} == {1: 0, 2: 1, 3: 0}
