@@ -154,6 +154,18 @@ def across(rows: pd.Series) -> pd.Series:
     return rows.map(nearest_column)
 
 
+def window_sum(counts: DataFrame, half: int, nx: Side, ny: Side) -> DataFrame:
+    """For each pixel of the lattice the sum of n over the square `half` pixels around it, what lies beyond the border left out:
+    running totals along the rows, then along the columns, each taken at a window's two ends."""
+    every = lattice(counts, nx, ny).join(counts.select(*KEY, "n"), KEY, "left").withColumn("total", F.coalesce("n", F.lit(0)))
+    for line, along in (("iy", "ix"), ("ix", "iy")):
+        w = Window.partitionBy("sample", line).orderBy(along)
+        every = every.withColumn("upto", F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        end = F.coalesce(F.lead("upto", half).over(w), F.last("upto").over(w.rowsBetween(0, half)))
+        every = every.withColumn("end", end).withColumn("total", F.col("end") - F.coalesce(F.lag("upto", half + 1).over(w), F.lit(0)))
+    return every.select(*KEY, "total")
+
+
 def signed_distance(mask: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
     """(distance to the mask - distance to its complement) * size: negative inside."""
     grid = lattice(mask, nx, ny)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import regions, spatial
 
-from .catalog import GRID, QUERIES, _sql, framed_cells, framed_density, framed_mask
+from .catalog import GRID, QUERIES, _sql, framed_cells, framed_density, framed_mask, query
 from .region_queries import SQL as REGION_SQL
 from .relational import CELLS, SQL, oracle
 from .section_queries import FRAME
@@ -111,6 +111,12 @@ def x15_thickest_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.thickest(*framed_mask(spark, sf_dir)).withColumn("diameter", F.round("diameter", 6))
 
 
+@query(f"WITH {FRAMED}, n AS (SELECT sample, CAST(floor(y / 10) AS BIGINT) AS iy, CAST(floor(x / 10) AS BIGINT) AS ix, count(*) AS n FROM cells GROUP BY 1, 2, 3), {FRAMED_GRID.replace('FROM mask', 'FROM n')} SELECT g.sample, g.iy, g.ix, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS total FROM grid g LEFT JOIN n ON n.sample = g.sample AND n.iy BETWEEN g.iy - 2 AND g.iy + 2 AND n.ix BETWEEN g.ix - 2 AND g.ix + 2 GROUP BY 1, 2, 3")
+def w12_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nx, ny = framed_cells(spark, sf_dir)
+    return spatial.window_sum(spatial.rasterise(points, nx, ny), 2, nx, ny)
+
+
 def r3_gaussian_density_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without SQL, whose kernel tables are of one size."""
     d = framed_density(spark, sf_dir)[0]

@@ -59,7 +59,10 @@ SQL: dict[str, str | tuple[str, str]] = {
       WHERE abs(atan(a.m) - atan(b.m)) <= radians(5) AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 150""",
     "x1_feature_match": f"""WITH {CELLS}, r AS (SELECT sample, cell_type, CAST(floor(y / 40) AS BIGINT) AS lane, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM cells GROUP BY 1, 2, 3), p AS (SELECT a.sample, a.cell_type, a.lane AS a, b.lane AS b, (1 - sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) / 300) * least(1, sqrt(CAST(least(a.area, b.area) AS DOUBLE) / 20)) AS score FROM r a JOIN r b ON b.sample = a.sample + 1 AND b.cell_type = a.cell_type WHERE least(a.area, b.area) >= 0.3 * greatest(a.area, b.area)),
       k AS (SELECT *, row_number() OVER (PARTITION BY sample, cell_type, a ORDER BY round(score, 9) DESC, b) AS i, row_number() OVER (PARTITION BY sample, cell_type, b ORDER BY round(score, 9) DESC, a) AS j FROM p WHERE score > 0) SELECT sample, cell_type, a, b, round(score, 6) AS score FROM k WHERE i = 1 AND j = 1""",
-    "x3_anchors_per_square": f"WITH {CELLS} SELECT sample, qy, qx, cell_id FROM (SELECT sample, cell_id, CAST(floor(y / 50) AS BIGINT) AS qy, CAST(floor(x / 100) AS BIGINT) AS qx, row_number() OVER (PARTITION BY sample, floor(y / 50), floor(x / 100) ORDER BY cell_id % 97 DESC, cell_id) AS k FROM cells) t WHERE k = 1",
+    "j16_adaptive_links": f"""WITH {CELLS}, r AS (SELECT sample AS z, cell_type, CAST(floor(y / 40) AS BIGINT) AS lane, avg(x) AS cx, avg(y) AS cy, 10 * sqrt(count(*) / pi()) AS rad FROM cells GROUP BY 1, 2, 3), p AS (SELECT a.z, a.cell_type, a.lane AS a, b.lane AS b, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d, greatest(15 + 2 * (b.z - a.z), 0.8 * (a.rad + b.rad)) AS tolerance FROM r a JOIN r b ON b.z = a.z + 1 AND b.cell_type = a.cell_type),
+      k AS (SELECT *, row_number() OVER (PARTITION BY z, cell_type, a ORDER BY round(d, 9), b) AS i, row_number() OVER (PARTITION BY z, cell_type, b ORDER BY round(d, 9), a) AS j, lead(d) OVER (PARTITION BY z, cell_type, a ORDER BY round(d, 9), b) AS second FROM p)
+      SELECT z, cell_type, a, b, round(d, 6) AS d, round(tolerance, 6) AS tolerance, round(second / nullif(d, 0), 6) AS margin FROM k WHERE i = 1 AND j = 1 AND d <= tolerance""",
+    "x3_anchors_per_square":f"WITH {CELLS} SELECT sample, qy, qx, cell_id FROM (SELECT sample, cell_id, CAST(floor(y / 50) AS BIGINT) AS qy, CAST(floor(x / 100) AS BIGINT) AS qx, row_number() OVER (PARTITION BY sample, floor(y / 50), floor(x / 100) ORDER BY cell_id % 97 DESC, cell_id) AS k FROM cells) t WHERE k = 1",
     "x14_gap_rescue": f"""WITH {CELLS}, r AS (SELECT sample, cell_type, avg(x) AS cx, avg(y) AS cy FROM cells GROUP BY sample, cell_type), m AS (SELECT a.sample + 1 AS sample, a.cell_type, (a.cx + b.cx) / 2 AS cx, (a.cy + b.cy) / 2 AS cy FROM r a JOIN r b ON b.sample = a.sample + 2 AND b.cell_type = a.cell_type)
       SELECT m.sample, m.cell_type, count(*) AS n FROM m JOIN cells c ON c.sample = m.sample AND sqrt((c.x - m.cx) * (c.x - m.cx) + (c.y - m.cy) * (c.y - m.cy)) <= 30 GROUP BY m.sample, m.cell_type HAVING count(*) >= 8""",
     "g6_bridged_ends": f"""WITH {CELLS}, r AS (SELECT sample AS z, cell_type, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM cells GROUP BY 1, 2), p AS (SELECT a.z AS z, a.cell_type AS a, b.z AS z2, b.cell_type AS b, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d FROM r a JOIN r b ON b.z = a.z + 2 WHERE least(a.area, b.area) >= 0.3 * greatest(a.area, b.area)),

@@ -79,6 +79,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "a16_class_f1": f"""WITH {SCORES}, {PRED}, c AS (SELECT count_if(y = 1 AND yhat = 1) AS tp, count_if(y = 0 AND yhat = 1) AS fp, count_if(y = 1 AND yhat = 0) AS fn FROM pred)
       SELECT round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 8) AS prec, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 8) AS recall, round(coalesce(2.0 * CAST(tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 8) AS f1 FROM c""",
     # a17, a19, w5: counts of equal scores first, then running sums within bins of the score upon the totals of the bins before
+    "a16_macro_f1": f"""WITH {CELLS}, c AS (SELECT cell_type AS t, CASE WHEN cell_id % 10 < 7 THEN cell_type WHEN cell_id % 10 < 9 THEN 'click' ELSE 'error' END AS p, count(*) AS n FROM cells GROUP BY 1, 2),
+      k AS (SELECT t AS label, CASE WHEN t = p THEN n ELSE 0 END AS tp, 0 AS fp, CASE WHEN t <> p THEN n ELSE 0 END AS fn FROM c UNION ALL SELECT p, 0, CASE WHEN t <> p THEN n ELSE 0 END, 0 FROM c), f AS (SELECT label, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fp) AS DOUBLE) AS fp, CAST(sum(fn) AS DOUBLE) AS fn FROM k GROUP BY label),
+      m AS (SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS prec, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM f)
+      SELECT label, round(prec, 8) AS prec, round(recall, 8) AS recall, round(f1, 8) AS f1 FROM m UNION ALL SELECT '__MACRO__', round(avg(prec), 8), round(avg(recall), 8), round(avg(f1), 8) FROM m""",
     "a17_auroc": (
         f"""WITH {SCORES}, {BINNED}, o AS (SELECT bin, sum(neg) OVER (ORDER BY bin) - neg AS below FROM bins), c AS (SELECT g.pos, g.neg, o.below + sum(g.neg) OVER (PARTITION BY g.bin ORDER BY g.p) AS upto FROM g JOIN o ON g.bin = o.bin)
       SELECT round(sum(pos * (upto - CAST(neg AS DOUBLE) / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 8) AS auroc FROM c""",
@@ -124,7 +128,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "w11_change_points": "SELECT user_id, count_if(event_type <> prev) AS changes FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) t GROUP BY user_id",
     "w12_summed_area": f"""WITH {CELLS}, g AS (SELECT CAST(floor(y / 10) AS BIGINT) AS iy, CAST(floor(x / 10) AS BIGINT) AS ix, count(*) AS n FROM cells GROUP BY 1, 2), r AS (SELECT iy, ix, sum(n) OVER (PARTITION BY iy ORDER BY ix ROWS UNBOUNDED PRECEDING) AS n FROM g)
       SELECT iy, ix, CAST(n AS BIGINT) AS row_sum FROM r""",
-    "w14_bracketing": "SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) IGNORE NULLS OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS prev_p FROM orders",
+    "w14_bracketing": f"""WITH {CELLS}, m AS (SELECT cell_type, CAST(floor(y / 5) AS BIGINT) AS lane, sample AS z, avg(x) AS cx FROM cells GROUP BY 1, 2, 3 HAVING count(*) >= 3), t AS (SELECT DISTINCT cell_type, lane FROM m), s AS (SELECT DISTINCT sample AS z FROM cells),
+      a AS (SELECT t.cell_type, t.lane, s.z, m.z AS mz FROM t CROSS JOIN s LEFT JOIN m ON m.cell_type = t.cell_type AND m.lane = t.lane AND m.z = s.z),
+      b AS (SELECT *, max(mz) OVER (PARTITION BY cell_type, lane ORDER BY z ROWS UNBOUNDED PRECEDING) AS lo, min(mz) OVER (PARTITION BY cell_type, lane ORDER BY z DESC ROWS UNBOUNDED PRECEDING) AS hi FROM a)
+      SELECT b.cell_type, b.lane, b.z, b.lo, b.hi, round(l.cx + (h.cx - l.cx) * (b.z - b.lo) / (b.hi - b.lo), 6) AS cx, 30 + 2 * (b.hi - b.lo) AS tolerance FROM b JOIN m l ON l.cell_type = b.cell_type AND l.lane = b.lane AND l.z = b.lo JOIN m h ON h.cell_type = b.cell_type AND h.lane = b.lane AND h.z = b.hi WHERE b.mz IS NULL""",
     "w15_pinned_mode": "SELECT c_nationkey, c_mktsegment FROM (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS k FROM customer GROUP BY c_nationkey, c_mktsegment) t WHERE k = 1",
     "o3_nlargest": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "o4_topk_distance": f"WITH {CELLS} SELECT sample, cell_id FROM (SELECT sample, cell_id, row_number() OVER (PARTITION BY sample ORDER BY abs(x - 100), cell_id) AS k FROM cells) t WHERE k <= 5",
@@ -140,7 +147,11 @@ SQL: dict[str, str | tuple[str, str]] = {
     "f1_strings": "SELECT p_partkey, upper(p_name) AS u, replace(lower(p_brand), '#', '_') AS b, trim(p_type) AS t, substr(p_name, 1, 3) AS s FROM part",
     "f2_numeric": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(sqrt(l_quantity), 8) AS sq, round(ln(l_extendedprice), 8) AS lg, round(exp(l_discount), 8) AS ex, round(atan2(l_tax, l_quantity), 8) AS at, greatest(1, least(40, l_quantity)) AS clip FROM lineitem",
     "f3_sigmoid": "SELECT s_suppkey, round(1 / (1 + exp(-s_acctbal / 5000)), 8) AS p FROM supplier",
-    "f4_hash": "SELECT s_suppkey, sha2(s_name, 256) AS h FROM supplier",
+    "f3_softmax": "WITH l AS (SELECT s_suppkey, s_acctbal / 5000 AS a, s_nationkey / CAST(10 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS c FROM supplier), e AS (SELECT *, greatest(a, b, c) AS top FROM l), s AS (SELECT *, exp(a - top) + exp(b - top) + exp(c - top) AS total FROM e) SELECT s_suppkey, round(exp(a - top) / total, 8) AS p_a, round(exp(b - top) / total, 8) AS p_b, round(exp(c - top) / total, 8) AS p_c, CASE WHEN a = top THEN 0 WHEN b = top THEN 1 ELSE 2 END AS first_best FROM s",
+    "f5_shoelace": f"""WITH {CELLS}, v AS (SELECT sample, cell_type, x, y, coalesce(lead(x) OVER (PARTITION BY sample, cell_type ORDER BY cell_id), first_value(x) OVER (PARTITION BY sample, cell_type ORDER BY cell_id)) AS nx, coalesce(lead(y) OVER (PARTITION BY sample, cell_type ORDER BY cell_id), first_value(y) OVER (PARTITION BY sample, cell_type ORDER BY cell_id)) AS ny FROM cells),
+      a AS (SELECT sample, cell_type, count(*) AS n, sum(x * ny - nx * y) / 2 AS area, sum((x + nx) * (x * ny - nx * y)) / 6 AS sx, sum((y + ny) * (x * ny - nx * y)) / 6 AS sy FROM v GROUP BY sample, cell_type)
+      SELECT sample, cell_type, n, round(abs(area), 3) AS area, CASE WHEN abs(area) > 1 THEN round(sx / area, 3) END AS cx, CASE WHEN abs(area) > 1 THEN round(sy / area, 3) END AS cy FROM a""",
+    "f4_hash":"SELECT s_suppkey, sha2(s_name, 256) AS h FROM supplier",
     "m4_nested_split": "SELECT n_nationkey, c_custkey, k <= greatest(1, least(n - 1, CAST(round(n * 0.2) AS BIGINT))) AS inner_val FROM (SELECT c_nationkey AS n_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha2(CAST(c_custkey AS STRING), 256)) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) t",
     "m5_two_caps": "SELECT patient, cell_type, count(*) AS n FROM (SELECT user_id AS patient, event_type AS cell_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sha2(CAST(event_id AS STRING), 256)) AS k FROM events) t WHERE k <= 5 GROUP BY patient, cell_type",
     "m6_duplicate_content": "SELECT sha2(text, 256) AS h, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY sha2(text, 256) HAVING count(*) > 1",
