@@ -13,7 +13,8 @@ from pyspark.sql.types import ArrayType, LongType
 from .graph import _cut, components
 
 KEY = ["sample", "iy", "ix"]
-#: A lattice's number of rows or columns: one for all samples, a table (sample, n), or None for a plane without a rim (rasterise only).
+#: A lattice's number of rows or columns: one for all samples, a table (sample, n), or None for a plane without a rim, if both are None
+#: (rasterise, cut and what is made of them, gaussian); there `sample` may be of any type.
 Side = int | DataFrame | None
 
 
@@ -50,7 +51,9 @@ def rasterise(points: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> Data
 
 
 def cut(df: DataFrame, nx: Side, ny: Side) -> DataFrame:
-    """The rows inside the lattice."""
+    """The rows inside the lattice; a plane without a rim has all."""
+    if nx is None and ny is None:
+        return df
     inside = F.col("iy").between(0, F.col("__ny") - 1) & F.col("ix").between(0, F.col("__nx") - 1)
     return sided(df, __nx=nx, __ny=ny).filter(inside).drop("__nx", "__ny")
 
@@ -92,26 +95,35 @@ def disk_count(counts: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     return cut(moved, nx, ny).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
-def kernel(n: int, sigma: float) -> list[tuple[int, int, float]]:
-    """(target, source, weight) of a 1-D Gaussian cut at 4 sigma with reflected borders."""
+def weights(sigma: float) -> list[tuple[int, float]]:
+    """(step, weight) of a 1-D Gaussian cut at 4 sigma."""
     r = int(4 * sigma + 0.5)
     w = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
+    return [(d, v / sum(w)) for d, v in zip(range(-r, r + 1), w, strict=True)]
+
+
+def kernel(n: int, sigma: float) -> list[tuple[int, int, float]]:
+    """(target, source, weight) of a 1-D Gaussian cut at 4 sigma with reflected borders."""
     out = []
     for t in range(n):
-        for d, v in zip(range(-r, r + 1), w, strict=True):
+        for d, w in weights(sigma):
             s = (t + d) % (2 * n)
-            out.append((t, s if s < n else 2 * n - 1 - s, v / sum(w)))
+            out.append((t, s if s < n else 2 * n - 1 - s, w))
     return out
 
 
 def gaussian(counts: DataFrame, sigma: float, nx: Side, ny: Side) -> DataFrame:
-    """Separable density: one join and sum along each axis with a kernel table whose size is the lattice's side times the kernel."""
+    """Separable density: one join and sum along each axis with a kernel table whose size is the lattice's side times the kernel;
+    on a plane without a rim, one explode and sum, nothing reflected."""
     d = counts
-    for c, n in (("ix", nx), ("iy", ny)):
+    for c, n, other in (("ix", nx, "iy"), ("iy", ny, "ix")):
+        if n is None:
+            steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in weights(sigma)])).alias("s")
+            d = d.select(*KEY, "n", steps).groupBy("sample", other, (F.col(c) + F.col("s.k")).alias(c)).agg(F.sum(F.col("n") * F.col("s.w")).alias("n"))
+            continue
         sizes = [n] if isinstance(n, int) else [r.n for r in n.select("n").distinct().collect()]
         rows = [(size, *k) for size in sizes for k in kernel(size, sigma)]
         along = F.broadcast(counts.sparkSession.createDataFrame(rows, f"side long, t long, {c} long, w double"))
-        other = "iy" if c == "ix" else "ix"
         d = sided(d, side=n).join(along, ["side", c]).groupBy("sample", other, F.col("t").alias(c)).agg(F.sum(F.col("n") * F.col("w")).alias("n"))
     return d.select(*KEY, F.col("n").alias("density"))
 
