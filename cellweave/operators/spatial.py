@@ -69,7 +69,13 @@ def _spread(mask: DataFrame, radius: int) -> DataFrame:
     return moved.select("sample", (F.col("iy") + F.col("o.dy")).alias("iy"), (F.col("ix") + F.col("o.dx")).alias("ix"))
 
 
+#: Disks wider than this go by distances, whose cost does not grow with the radius; smaller ones by copies of the mask's pixels.
+BY_COPIES = 4
+
+
 def dilate(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
+    if radius > BY_COPIES and nx is not None:
+        return squared_distance(mask.select(*KEY), nx, ny).filter(F.col("d2") <= radius * radius).select(*KEY)
     return cut(_spread(mask, radius), nx, ny).select(*KEY).distinct()
 
 
@@ -79,12 +85,27 @@ def erode(mask: DataFrame, radius: int) -> DataFrame:
     return _spread(mask, radius).groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") == whole).select(*KEY)
 
 
+def _eroded(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
+    """`erode` of a mask inside the lattice, a large disk by the distance to what is outside: rest of the lattice, or beyond its rim."""
+    if radius <= BY_COPIES or nx is None:
+        return erode(mask, radius)
+    mask = mask.select(*KEY)
+    near = squared_distance(lattice(mask, nx, ny).join(mask, KEY, "left_anti"), nx, ny).filter(F.col("d2") <= radius * radius)
+    rim = F.least("iy", "ix", F.col("__ny") - 1 - F.col("iy"), F.col("__nx") - 1 - F.col("ix"))
+    return sided(mask, __nx=nx, __ny=ny).filter(rim >= radius).select(*KEY).join(near, KEY, "left_anti")
+
+
 def opening(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
-    return dilate(erode(mask, radius), radius, nx, ny)
+    return dilate(_eroded(mask, radius, nx, ny), radius, nx, ny)
 
 
 def closing(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     """Dilation on an unbounded plane, so that erosion does not see the border, then cut to the lattice."""
+    if radius > BY_COPIES and nx is not None:
+        moved = lambda df, by: df.select("sample", (F.col("iy") + by).alias("iy"), (F.col("ix") + by).alias("ix"))
+        wider = lambda n: n + 2 * radius if isinstance(n, int) else n.select("sample", (F.col("n") + 2 * radius).alias("n"))
+        sides = wider(nx), wider(ny)
+        return cut(moved(_eroded(dilate(moved(mask, radius), radius, *sides), radius, *sides), -radius), nx, ny).select(*KEY)
     return cut(erode(_spread(mask, radius).distinct(), radius), nx, ny).select(*KEY)
 
 

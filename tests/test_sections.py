@@ -27,12 +27,14 @@ def as_sets(df):
     return out
 
 
-def test_depth_is_the_distance_to_the_outside():
-    mask = RNG.random((13, 17)) < 0.8
-    outside = np.argwhere(~mask)
-    want = [[np.hypot(*(outside - (y, x)).T).min() for x in range(17)] for y in range(13)]
-    assert np.allclose(pieces.depth(mask), want)
-    assert np.isinf(pieces.depth(np.ones((3, 3), bool))).all()
+def test_depth_is_the_distance_to_the_outside(spark):
+    masks = {1: RNG.random((13, 17)) < 0.8, 2: np.ones((3, 3), bool)}
+    rows = [(1, k, y, x, bool(m[y, x])) for k, m in masks.items() for y, x in np.ndindex(m.shape)]
+    got = pieces.deepened(spark.createDataFrame(rows, "sample long, region long, iy long, ix long, inside boolean"), ["sample", "region"]).collect()
+    outside = np.argwhere(~masks[1])
+    want = {(y, x): np.hypot(*(outside - (y, x)).T).min() for y, x in np.ndindex(13, 17)}
+    assert len(got) == len(rows) and all(np.isclose(r.depth, want[r.iy, r.ix]) for r in got if r.region == 1)
+    assert min(r.depth for r in got if r.region == 2) > 1000
 
 
 def test_fill_and_label():
