@@ -1,4 +1,4 @@
-"""The ten operators as queries over the shared test tables, with SQL where SQL can tell the answer."""
+"""The operators as queries over the shared test tables, with SQL where SQL can tell the answer."""
 
 from __future__ import annotations
 
@@ -93,8 +93,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(files).select("doc_id", "path", "license", "score", "found_in", "license_from")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import cross_tokenizer
+
+    return cross_tokenizer(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_phrase_dedup, op4_minhash, op5_token_files, op6_exact_dedup, op7_html_extract, op8_decontaminate, op9_toxicity, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_phrase_dedup, op4_minhash, op5_token_files, op6_exact_dedup, op7_html_extract, op8_decontaminate, op9_toxicity, op10_licenses, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
