@@ -93,6 +93,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(files).select("doc_id", "path", "license", "score", "found_in", "license_from")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage, by a checksum of conversation and turn; a dropped turn stays as a row with `gone`."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn"))) % 20
+    text = F.when(how == 1, F.lit("")).when(how == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    copies = F.explode(F.when(how == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return conversations.select("conv_id", "turn", F.when(how == 4, F.lit("user")).otherwise(blank("role")).alias("role"), text.alias("text"), (how == 0).alias("gone"), copies.alias("copy")).drop("copy")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_alignment import cross_tokenizer
 
@@ -100,7 +115,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_phrase_dedup, op4_minhash, op5_token_files, op6_exact_dedup, op7_html_extract, op8_decontaminate, op9_toxicity, op10_licenses, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_phrase_dedup, op4_minhash, op5_token_files, op6_exact_dedup, op7_html_extract, op8_decontaminate, op9_toxicity, op10_licenses, op12_turn_repair, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
