@@ -93,6 +93,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(files).select("doc_id", "path", "license", "score", "found_in", "license_from")
 
 
+def op11_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contextual_pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))[0]
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The contract's damage, by a checksum of conversation and turn; a dropped turn stays as a row with `gone`."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -115,7 +121,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_phrase_dedup, op4_minhash, op5_token_files, op6_exact_dedup, op7_html_extract, op8_decontaminate, op9_toxicity, op10_licenses, op12_turn_repair, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_phrase_dedup, op4_minhash, op5_token_files, op6_exact_dedup, op7_html_extract, op8_decontaminate, op9_toxicity, op10_licenses, op11_contextual_pii, op12_turn_repair, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
