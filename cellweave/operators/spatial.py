@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .graph import _cut, components
+from .runs import gaps, labelled, pixels, runs
 
 KEY = ["sample", "iy", "ix"]
 #: A lattice's number of rows or columns: one for all samples, a table (sample, n), or None for a plane without a rim, if both are None
@@ -26,7 +28,7 @@ def pixel(v: str, size: float, n: int) -> Column:
 def sided(df: DataFrame, **sides: Side) -> DataFrame:
     """df with a column for each side."""
     for name, n in sides.items():
-        df = df.withColumn(name, F.lit(n)) if isinstance(n, int) else df.join(F.broadcast(n.select("sample", F.col("n").alias(name))), "sample")
+        df = df.withColumn(name, F.lit(n)) if isinstance(n, int) else df.join(n.select("sample", F.col("n").alias(name)), "sample")
     return df
 
 
@@ -35,7 +37,7 @@ def framed(points: DataFrame, size: float = 10.0, pad: float = 100.0) -> tuple[D
     x0, y0 = F.min("x") - pad, F.min("y") - pad
     side = lambda c: F.ceil((F.max(c) - F.min(c) + 2 * pad) / size).cast("long")
     frame = points.groupBy("sample").agg(x0.alias("x0"), y0.alias("y0"), side("x").alias("nx"), side("y").alias("ny"))
-    moved = points.join(F.broadcast(frame.select("sample", "x0", "y0")), "sample").withColumn("x", F.col("x") - F.col("x0")).withColumn("y", F.col("y") - F.col("y0")).drop("x0", "y0")
+    moved = points.join(frame.select("sample", "x0", "y0"), "sample").withColumn("x", F.col("x") - F.col("x0")).withColumn("y", F.col("y") - F.col("y0")).drop("x0", "y0")
     return moved, frame.select("sample", F.col("nx").alias("n")), frame.select("sample", F.col("ny").alias("n"))
 
 
@@ -75,7 +77,7 @@ BY_COPIES = 4
 
 def dilate(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     if radius > BY_COPIES and nx is not None:
-        return squared_distance(mask.select(*KEY), nx, ny).filter(F.col("d2") <= radius * radius).select(*KEY)
+        return distance_fields(mask, nx, ny, within=radius).select(*KEY)
     return cut(_spread(mask, radius), nx, ny).select(*KEY).distinct()
 
 
@@ -89,18 +91,20 @@ def _eroded(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     """`erode` of a mask inside the lattice, a large disk by the distance to what is outside: rest of the lattice, or beyond its rim."""
     if radius <= BY_COPIES or nx is None:
         return erode(mask, radius)
-    mask = mask.select(*KEY)
-    near = squared_distance(lattice(mask, nx, ny).join(mask, KEY, "left_anti"), nx, ny).filter(F.col("d2") <= radius * radius)
     rim = F.least("iy", "ix", F.col("__ny") - 1 - F.col("iy"), F.col("__nx") - 1 - F.col("ix"))
-    return sided(mask, __nx=nx, __ny=ny).filter(rim >= radius).select(*KEY).join(near, KEY, "left_anti")
+    inner = distance_fields(mask, nx, ny, own=True).filter(F.col("i2").isNull() | (F.col("i2") > radius * radius))
+    return sided(inner.select(*KEY), __nx=nx, __ny=ny).filter(rim >= radius).select(*KEY)
 
 
 def opening(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
     return dilate(_eroded(mask, radius, nx, ny), radius, nx, ny)
 
 
-def closing(mask: DataFrame, radius: int, nx: Side, ny: Side) -> DataFrame:
-    """Dilation on an unbounded plane, so that erosion does not see the border, then cut to the lattice."""
+def closing(mask: DataFrame, radius: int, nx: Side, ny: Side, rim: bool = False) -> DataFrame:
+    """Dilation on an unbounded plane, so that erosion does not see the border, then cut to the lattice; with `rim` what is beyond it
+    counts as background, so pixels within `radius` of the border go."""
+    if rim:
+        return _eroded(dilate(mask, radius, nx, ny), radius, nx, ny)
     if radius > BY_COPIES and nx is not None:
         moved = lambda df, by: df.select("sample", (F.col("iy") + by).alias("iy"), (F.col("ix") + by).alias("ix"))
         wider = lambda n: n + 2 * radius if isinstance(n, int) else n.select("sample", (F.col("n") + 2 * radius).alias("n"))
@@ -133,19 +137,35 @@ def kernel(n: int, sigma: float) -> list[tuple[int, int, float]]:
     return out
 
 
+def blur(at: np.ndarray, n: np.ndarray, side: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that a line's values reach and what arrives there; the borders of the line 0..side-1 reflect."""
+    r = len(w) // 2
+    to = ((at[:, None] + np.arange(-r, r + 1)) % (2 * side)).ravel()
+    to = np.where(to < side, to, 2 * side - 1 - to)
+    where, back = np.unique(to, return_inverse=True)
+    return where, np.bincount(back, (n[:, None] * w).ravel(), len(where))
+
+
 def gaussian(counts: DataFrame, sigma: float, nx: Side, ny: Side) -> DataFrame:
-    """Separable density: one join and sum along each axis with a kernel table whose size is the lattice's side times the kernel;
-    on a plane without a rim, one explode and sum, nothing reflected."""
+    """Separable density: each row's pixels are one array, then each column's, so a pixel is one row in each of two shuffles
+    whatever sigma; on a plane without a rim, one explode and sum along each axis, nothing reflected."""
     d = counts
+    w = np.array([v for _, v in weights(sigma)])
+
+    @F.arrow_udf(ArrayType(StructType([StructField("at", LongType()), StructField("n", DoubleType())])))
+    def blurred(line: pa.Array, side: pa.Array) -> pa.Array:
+        at, n, cut = line.flatten().field(0).to_numpy(), line.flatten().field(1).to_numpy(), (line.offsets.to_numpy() - line.offsets[0].as_py()).tolist()
+        done = [blur(at[a:b], n[a:b], s, w) for a, b, s in zip(cut, cut[1:], side.to_pylist(), strict=False)]
+        cat = lambda k, t: np.concatenate([np.zeros(0, t), *(x[k] for x in done)])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in done)]), pa.int32()), pa.StructArray.from_arrays([pa.array(cat(0, np.int64)), pa.array(cat(1, float))], ["at", "n"]))
+
     for c, n, other in (("ix", nx, "iy"), ("iy", ny, "ix")):
         if n is None:
-            steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in weights(sigma)])).alias("s")
+            steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("w")) for k, v in weights(sigma)])).alias("s")
             d = d.select(*KEY, "n", steps).groupBy("sample", other, (F.col(c) + F.col("s.k")).alias(c)).agg(F.sum(F.col("n") * F.col("s.w")).alias("n"))
             continue
-        sizes = [n] if isinstance(n, int) else [r.n for r in n.select("n").distinct().collect()]
-        rows = [(size, *k) for size in sizes for k in kernel(size, sigma)]
-        along = F.broadcast(counts.sparkSession.createDataFrame(rows, f"side long, t long, {c} long, w double"))
-        d = sided(d, side=n).join(along, ["side", c]).groupBy("sample", other, F.col("t").alias(c)).agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+        lines = d.groupBy("sample", other).agg(F.collect_list(F.struct(F.col(c).cast("long").alias("at"), F.col("n").cast("double").alias("n"))).alias("line"))
+        d = sided(lines, side=n).select("sample", other, F.inline(blurred("line", F.col("side").cast("long")))).withColumnRenamed("at", c)
     return d.select(*KEY, F.col("n").alias("density"))
 
 
@@ -155,17 +175,113 @@ def lattice(mask: DataFrame, nx: Side, ny: Side) -> DataFrame:
     return samples.withColumn("iy", number("__ny")).withColumn("ix", number("__nx")).select(*KEY)
 
 
+def column_nearest(iy: np.ndarray, ny: int, within: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column with mask pixels at iy: places, the nearest mask pixel of each (the upper of two), and how far the nearest other pixel is, -1 without one."""
+    iy = np.sort(iy)
+    y = np.arange(ny)
+    after = np.minimum(np.searchsorted(iy, y), len(iy) - 1)
+    before = np.maximum(after - 1, 0)
+    own = np.where(np.abs(y - iy[before]) <= np.abs(y - iy[after]), iy[before], iy[after])
+    if within is not None:
+        near = np.abs(y - own) <= within
+        return y[near], own[near], np.zeros(int(near.sum()), np.int64)
+    rest, free = np.zeros(ny, np.int64), np.setdiff1d(y, iy, assume_unique=True)
+    if len(free):
+        k = np.minimum(np.searchsorted(free, iy), len(free) - 1)
+        rest[iy] = np.minimum(np.abs(free[k] - iy), np.abs(free[np.maximum(k - 1, 0)] - iy))
+    else:
+        rest[iy] = -1
+    return y, own, rest
+
+
+def envelope(at: list[int], f: list[int], scale: int, n: int) -> np.ndarray:
+    """For i in 0..n-1 the index of the parabola scale (i - at)² + f that is lowest there; no two are equal at an integer, or the left one wins."""
+    kept, begins = [], []
+    for k, (q, h) in enumerate(zip(at, f, strict=True)):
+        begin = 0
+        while kept:
+            p = kept[-1]
+            begin = (h + scale * q * q - f[p] - scale * at[p] * at[p]) // (2 * scale * (q - at[p])) + 1
+            if begin > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+            begin = 0
+        if begin < n:
+            kept.append(k)
+            begins.append(max(begin, 0))
+    return np.array(kept, np.int64)[np.searchsorted(np.array(begins), np.arange(n), "right") - 1]
+
+
+#: Row and column numbers stay under this.
+WIDE = 1 << 21
+
+
+def row_nearest(ix: np.ndarray, own: np.ndarray, rest: np.ndarray, iy: int, nx: int, within: int | None, inside: bool) -> tuple[np.ndarray, ...]:
+    """Of a row: ix, squared distance to the mask, to the rest (-1 without one), and the nearest mask pixel; of equally near ones the first by iy and ix."""
+    order = np.argsort(ix)
+    ix, own, rest = ix[order], own[order], rest[order]
+    g = (own - iy) ** 2
+    scale = WIDE * WIDE
+    key = [int(d) * scale + int(y) * WIDE + int(x) for d, y, x in zip(g, own, ix, strict=True)]
+    k = envelope(ix.tolist(), key, scale, nx)
+    i = np.arange(nx)
+    o2 = g[k] + (i - ix[k]) ** 2
+    i2 = np.zeros(nx, np.int64)
+    hit = ix[g == 0]
+    if within is not None:
+        show = o2 <= within * within
+    else:
+        show = np.isin(i, hit) if inside else np.ones(nx, bool)
+        if len(hit):
+            away = np.zeros(nx, np.int64)
+            away[hit] = rest[g == 0]
+            free = np.flatnonzero(away >= 0)  # columns with anything that is not mask
+            if len(free):
+                j = free[envelope(free.tolist(), (away[free] ** 2).tolist(), 1, nx)]
+                i2[hit] = (away[j] ** 2 + (i - j) ** 2)[hit]
+            else:
+                i2[hit] = -1
+    return i[show], o2[show], i2[show], own[k][show], ix[k][show]
+
+
+def _listed(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.Array:
+    flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)])) for k in range(len(names))]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p[0]) for p in parts)]), pa.int32()), pa.StructArray.from_arrays(flat, names))
+
+
+def _fields(*names: str) -> ArrayType:
+    return ArrayType(StructType([StructField(n, LongType()) for n in names]))
+
+
+def distance_fields(mask: DataFrame, nx: Side, ny: Side, within: int | None = None, own: bool = False) -> DataFrame:
+    """(sample, iy, ix, o2, i2, jy, jx) for each pixel of a lattice with mask pixels: squared pixel distance to the mask, to its complement
+    (null without one), and the nearest mask pixel, of equally near ones the first by iy and ix.
+
+    A column with mask pixels is one array, and so is a row of what the columns tell; empty columns are never made. The row pass is a lower
+    envelope of parabolas, linear in the row. within: only pixels so near the mask (i2 is not looked for); own: only the mask's.
+    """
+
+    @F.arrow_udf(_fields("iy", "own", "rest"))
+    def down(pixels: pa.Array, side: pa.Array) -> pa.Array:
+        return _listed([column_nearest(np.array(v, np.int64), n, within) for v, n in zip(pixels.to_pylist(), side.to_pylist(), strict=True)], ["iy", "own", "rest"])
+
+    @F.arrow_udf(_fields("ix", "o2", "i2", "jy", "jx"))
+    def across_row(line: pa.Array, iy: pa.Array, side: pa.Array) -> pa.Array:
+        flat, cut = line.flatten(), (line.offsets.to_numpy() - line.offsets[0].as_py()).tolist()
+        x, o, r = (flat.field(k).to_numpy() for k in range(3))
+        return _listed([row_nearest(x[a:b], o[a:b], r[a:b], y, n, within, own) for a, b, y, n in zip(cut, cut[1:], iy.to_pylist(), side.to_pylist(), strict=False)], ["ix", "o2", "i2", "jy", "jx"])
+
+    columns = mask.groupBy("sample", F.col("ix").cast("long").alias("ix")).agg(F.collect_set(F.col("iy").cast("long")).alias("pixels"))
+    told = sided(columns, side=ny).select("sample", "ix", F.inline(down("pixels", F.col("side").cast("long"))))
+    rows = told.groupBy("sample", "iy").agg(F.collect_list(F.struct("ix", "own", "rest")).alias("line"))
+    out = sided(rows, side=nx).select("sample", "iy", F.inline(across_row("line", "iy", F.col("side").cast("long"))))
+    return out.select(*KEY, "o2", F.when(F.col("i2") >= 0, F.col("i2")).alias("i2"), "jy", "jx")
+
+
 def squared_distance(mask: DataFrame, nx: Side, ny: Side) -> DataFrame:
-    """Exact squared pixel distance to the nearest mask pixel of the lattice. A scan up and one down each column give the distance
-    within it; then each row of the lattice is one array, in which `across` looks for a nearer column. So a lattice pixel is
-    one row in each of two shuffles, however large the mask."""
-    every = lattice(mask, nx, ny).withColumn("own", F.lit(None).cast("long")).unionByName(mask.select(*KEY, F.col("iy").cast("long").alias("own")))
-    column = Window.partitionBy("sample", "ix")
-    below, above = (F.last("own", ignorenulls=True).over(column.orderBy(o)) for o in (F.asc("iy"), F.desc("iy")))
-    near = every.withColumn("below", below).withColumn("above", above).filter("own is null")
-    g = F.least(F.col("iy") - F.col("below"), F.col("above") - F.col("iy"))
-    rows = near.select(*KEY, F.coalesce(g * g, F.lit(FAR)).alias("g")).groupBy("sample", "iy").agg(F.array_sort(F.collect_list(F.struct("ix", "g"))).alias("r"))
-    return rows.select("sample", "iy", F.posexplode(across(F.col("r.g"))).alias("ix", "d2")).withColumn("ix", F.col("ix").cast("long"))
+    """Exact squared pixel distance to the nearest mask pixel of the lattice."""
+    return distance_fields(mask, nx, ny).select(*KEY, F.col("o2").alias("d2"))
 
 
 #: Stands for no mask pixel in a column.
@@ -201,39 +317,30 @@ def window_sum(counts: DataFrame, half: int, nx: Side, ny: Side) -> DataFrame:
 
 def signed_distance(mask: DataFrame, nx: Side, ny: Side, size: float = 10.0) -> DataFrame:
     """(distance to the mask - distance to its complement) * size: negative inside."""
-    grid = lattice(mask, nx, ny)
-    outside = grid.join(mask, KEY, "left_anti")
-    to_mask = squared_distance(mask, nx, ny).withColumnRenamed("d2", "o2")
-    to_rest = squared_distance(outside, nx, ny).withColumnRenamed("d2", "i2")
-    both = grid.join(to_mask, KEY).join(to_rest, KEY, "left")
-    return both.select(*KEY, ((F.sqrt("o2") - F.sqrt(F.coalesce("i2", F.lit(0)))) * size).alias("sdf"))
+    return distance_fields(mask, nx, ny).select(*KEY, ((F.sqrt("o2") - F.sqrt(F.coalesce("i2", F.lit(0)))) * size).alias("sdf"))
 
 
 def lattice_components(mask: DataFrame, eight: bool = False) -> DataFrame:
     """mask with region: the smallest pixel number of its 4- or 8-connected component within a sample."""
-    number = F.col("sample") * F.lit(1 << 40) + F.col("iy") * F.lit(1 << 20) + F.col("ix")
-    m = mask.select(*KEY, number.alias("node"))
-    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
-    moved = m.select("node", "sample", F.explode(F.array(*[F.struct((F.col("iy") + dy).alias("iy"), (F.col("ix") + dx).alias("ix")) for dy, dx in steps])).alias("p")).select(F.col("node").alias("a"), "sample", "p.iy", "p.ix")
-    edges = moved.join(m.withColumnRenamed("node", "b"), KEY).select("a", "b")
-    return m.join(components(m.select("node"), edges), "node").select(*KEY, F.col("component").alias("region"))
+    return pixels(labelled(runs(mask), eight), "region")
 
 
 def remove_small(mask: DataFrame, least: int, eight: bool = False) -> DataFrame:
-    labelled = lattice_components(mask, eight)
-    big = labelled.groupBy("region").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    return labelled.join(big, "region")
+    of = labelled(runs(mask), eight)
+    big = of.groupBy("region").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size")).filter(F.col("size") >= least)
+    return pixels(of.join(big, "region"), "region", "size")
 
 
 def fill_holes(mask: DataFrame, nx: Side, ny: Side, most: int | None = None) -> DataFrame:
-    """Adds background components that do not touch the border, all or those of at most `most` pixels. The mask is
-    checkpointed, because its plan would otherwise run once for each use."""
+    """Adds background components that do not touch the border, all or those of at most `most` pixels. The background is
+    known by its runs, a few for each row. The mask is checkpointed, because its plan would otherwise run once for each use."""
     mask = _cut(mask.select(*KEY))
-    empty = sided(lattice_components(lattice(mask, nx, ny).join(mask, KEY, "left_anti")), __nx=nx, __ny=ny)
-    edge = (F.col("iy") == 0) | (F.col("iy") == F.col("__ny") - 1) | (F.col("ix") == 0) | (F.col("ix") == F.col("__nx") - 1)
-    holes = empty.groupBy("region").agg(F.max(edge).alias("open"), F.count("*").alias("size")).filter("not open")
+    sides = sided(mask.select("sample").distinct(), nx=nx, ny=ny)
+    empty = labelled(gaps(runs(mask), sides)).join(sides, "sample")
+    edge = (F.col("iy") == 0) | (F.col("iy") == F.col("ny") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("nx") - 1)
+    holes = empty.groupBy("region").agg(F.max(edge).alias("open"), F.sum(F.col("x1") - F.col("x0") + 1).alias("size")).filter("not open")
     holes = holes.filter(F.col("size") <= most) if most is not None else holes
-    return mask.select(*KEY).unionByName(empty.join(holes, "region").select(*KEY))
+    return mask.unionByName(pixels(empty.join(holes, "region", "left_semi")))
 
 
 def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
