@@ -66,7 +66,7 @@ def _joined_strips(rooted: DataFrame, reach: int) -> DataFrame:
     """Runs whose strips' roots are joined where they touch across a border."""
     rooted = _cut(rooted)
     upper = F.pmod("iy", F.lit(STRIP)) == STRIP - 1
-    border = rooted.filter(upper | (F.pmod("iy", F.lit(STRIP)) == 0)).select("sample", F.floor((F.col("iy") + 1) / STRIP).alias("pair"), upper.alias("upper"), F.when(upper, F.col("x0") - reach).otherwise(F.col("x0")).alias("x0"), F.when(upper, F.col("x1") + reach).otherwise(F.col("x1")).alias("x1"), "root")
+    border = rooted.filter(upper | (F.pmod("iy", F.lit(STRIP)) == 0)).select("sample", F.floor((F.col("iy") + 1) / STRIP).alias("pair"), upper.alias("upper"), (2 * F.col("x0") - reach).alias("x0"), (2 * F.col("x1") + reach).alias("x1"), "root")  # half a pixel more on all sides: runs of a row stay apart
     before = Window.partitionBy("sample", "pair").orderBy("x0")
     other = lambda side: F.last(F.when(F.col("upper") == side, F.struct("root", "x1")), ignorenulls=True).over(before)
     seen = border.withColumn("other", F.when(F.col("upper"), other(False)).otherwise(other(True))).filter("other.x1 >= x0")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import compositions
+from cellweave.operators import compositions, spatial, structures
 from cellweave.operators.compositions import BoundaryRules
+from cellweave.operators.structures import CoreRules
 from cellweave.sources.tables import cells
 
 from . import raster_sql as sql
@@ -66,3 +67,59 @@ AREA = f"""WITH RECURSIVE {boundary_layers(RULES)}, {sql.parts('tp', 'tumor')},
 @query(AREA)
 def c1_tumor_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compositions.tumor_area(compositions.layers(kinds(spark, sf_dir), RULES), RULES)
+
+
+#: Clicks stand for B cells, purchases for T cells, errors for plasma cells, signups for lymph vessels. The gates are met by some and failed by others.
+CORES = CoreRules(pad=100.0, tissue_sigma=2, tissue_least=0.1, tissue_close=3, sigma=1.5, share=0.3, close=2, hole=12, open_=1, apart=4, saddle=0.8, fine=1.0, broad=1.5, big=0.02, rel=0.3, core_close=1, core_open=1, core_hole=3, neck=1.0, resplit_apart=3, points=6, area=0.002, density=1_800, big_density=1_200, halo=40.0, region_area=0.012, partners=8, all_density=3_000, region_density=900)
+LETTERS = {"click": "B", "purchase": "T", "error": "P", "signup": "L"}
+
+
+def lettered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.lit("O")
+    for word, letter in LETTERS.items():
+        kind = F.when(F.col("cell_type") == word, letter).otherwise(kind)
+    return cells(spark, sf_dir).withColumn("kind", kind)
+
+
+@query()
+def c2_lymphoid_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole recipe. Without SQL: a watershed; its gates are c2_gated_cores."""
+    return structures.lymphoid_structures(lettered(spark, sf_dir), CORES)[0]
+
+
+@query()
+def c3_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores of T cells; those are aggregates that pass both gates and touch no lymphoid structure. Without SQL: a watershed."""
+    points = lettered(spark, sf_dir)
+    found = structures.aggregates(points, "T", CORES, structures.lymphoid_structures(points, CORES)[1])
+    return found.withColumn("aggregate", F.col("gate").isNull() & ~F.col("touches"))
+
+
+PLAIN = CoreRules(halo=30.0, axis_ratio=0.0, circularity=0.0, points=5, area=0.0015, density=2_600, big_density=3_000, region_area=0.011, partners=20, all_density=5_900, region_density=2_050)
+COUNTED = ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS n_{k.lower()}" for k in "BTPL")
+LETTER = " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in LETTERS.items())
+GATED = f"""WITH RECURSIVE {FRAMED}, placed AS (SELECT sample, CAST(floor(y / 10) AS BIGINT) AS iy, CAST(floor(x / 10) AS BIGINT) AS ix, CASE cell_type {LETTER} ELSE 'O' END AS kind FROM cells),
+  click AS (SELECT DISTINCT sample, iy, ix FROM placed WHERE kind = 'B'), {sql.dilate('wide', 'click', 1)}, {sql.parts('p', 'wide')}, every AS (SELECT DISTINCT sample, iy, ix FROM placed), {sql.dilate('ground', 'every', 2)},
+  core AS (SELECT sample, iy, ix, dense_rank() OVER (PARTITION BY sample ORDER BY part) AS core FROM p), n AS (SELECT sample, iy, ix, {COUNTED}, count(*) AS n_all FROM placed GROUP BY 1, 2, 3),
+  c AS (SELECT sample, core, count(*) > 60 AS big, count(*) AS core_px, coalesce(sum(n_b), 0) AS n_b FROM core LEFT JOIN n USING (sample, iy, ix) GROUP BY 1, 2),
+  g AS (SELECT *, CASE WHEN n_b < {PLAIN.points} OR core_px < {int(PLAIN.area * 1e4)} THEN 'size' WHEN n_b / (core_px * 0.0001::DOUBLE) < CASE WHEN big THEN {PLAIN.big_density} ELSE {PLAIN.density} END THEN 'density' END AS early FROM c),
+  {sql._disk('halo', 3)}, region AS (SELECT DISTINCT c.sample, c.core, c.iy + dy AS iy, c.ix + dx AS ix FROM core c JOIN g ON g.sample = c.sample AND g.core = c.core AND g.early IS NULL CROSS JOIN halo_disk JOIN ground r ON r.sample = c.sample AND r.iy = c.iy + dy AND r.ix = c.ix + dx),
+  a AS (SELECT sample, core, count(*) AS px, coalesce(sum(n_b), 0) AS n_b_around, coalesce(sum(n_t), 0) AS n_t_around, coalesce(sum(n_p), 0) AS n_p_around FROM region LEFT JOIN n USING (sample, iy, ix) GROUP BY 1, 2),
+  j AS (SELECT g.sample, g.core, big, core_px, n_b, coalesce(px, 0) AS px, coalesce(n_b_around, 0) AS n_b_around, coalesce(n_t_around, 0) AS n_t_around, coalesce(n_p_around, 0) AS n_p_around,
+    CASE WHEN early IS NOT NULL THEN early WHEN coalesce(px, 0) < {int(PLAIN.region_area * 1e4)} THEN 'region_area' WHEN coalesce(n_t_around, 0) < {PLAIN.partners} THEN 'partners' WHEN (n_b_around + n_t_around + n_p_around) / (px * 0.0001::DOUBLE) < {PLAIN.all_density} THEN 'all_density' WHEN n_b_around / (px * 0.0001::DOUBLE) < {PLAIN.region_density} THEN 'region_density' END AS gate FROM g LEFT JOIN a USING (sample, core)),
+  i AS (SELECT sample, core, row_number() OVER (PARTITION BY sample ORDER BY core) AS id FROM j WHERE gate IS NULL), o AS (SELECT sample, iy, ix, min(id) AS id FROM region JOIN i USING (sample, core) GROUP BY 1, 2, 3),
+  w AS (SELECT sample, id, count(*) AS owned_px, coalesce(sum(n_b), 0) AS n_b_owned, coalesce(sum(n_t), 0) AS n_t_owned, coalesce(sum(n_p), 0) AS n_p_owned, coalesce(sum(n_l), 0) AS n_l_owned, coalesce(sum(n_all), 0) AS n_all_owned FROM o LEFT JOIN n USING (sample, iy, ix) GROUP BY 1, 2)
+  SELECT j.*, id, {', '.join(f'CASE WHEN id IS NOT NULL THEN coalesce({c}, 0) END AS {c}' for c in ('owned_px', 'n_b_owned', 'n_t_owned', 'n_p_owned', 'n_l_owned', 'n_all_owned'))}, CASE WHEN id IS NOT NULL THEN CASE WHEN coalesce(n_l_owned, 0) > 0 THEN 'mature' ELSE 'immature' END END AS status
+  FROM j LEFT JOIN i USING (sample, core) LEFT JOIN w USING (sample, id)"""
+
+
+@query(GATED)
+def c2_gated_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade, ownership and recount on cores that SQL can find: components of pixels near clicks. No core counts as long or ragged."""
+    moved, nx, ny = spatial.framed(lettered(spark, sf_dir))
+    at = spatial.at_pixel(moved, nx, ny).select("kind", *spatial.KEY)
+    parts = spatial.lattice_components(spatial.dilate(at.filter("kind = 'B'").select(*spatial.KEY).distinct(), 1, nx, ny))
+    number = F.dense_rank().over(Window.partitionBy("sample").orderBy("region")).cast("long")
+    cores = parts.select("sample", number.alias("core"), (F.count("*").over(Window.partitionBy("sample", "region")) > 60).alias("big"), "iy", "ix")
+    ground = spatial.dilate(at.select(*spatial.KEY).distinct(), 2, nx, ny)
+    return structures.structures(cores, at, ground, nx, ny, PLAIN)[0]
