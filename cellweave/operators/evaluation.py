@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _cut
 from .spatial import KEY
 
 
@@ -139,3 +140,60 @@ def spread_anchors(candidates: DataFrame, square: float = 600.0, first: float =
         return own.iloc[sorted(chosen)][["sample", "id", "x", "y", "score", "best"]]
 
     return ranked.groupBy("sample").applyInPandas(choose, "sample long, id long, x double, y double, score double, best boolean")
+
+
+#: The steps tried along one coordinate, in this order.
+STEPS = (-0.5, -0.3, -0.15, -0.07, 0.07, 0.15, 0.3, 0.5)
+
+
+def macro_f1(confusion: np.ndarray, scored: int) -> float:
+    """Mean F1 of the first `scored` classes of confusion[truth, predicted]; 0 for a class that never occurs on either side."""
+    tp, both = np.diag(confusion), confusion.sum(0) + confusion.sum(1)
+    return float(np.mean(np.where(both > 0, 2 * tp / np.maximum(both, 1), 0.0)[:scored]))
+
+
+def class_offsets(scores: DataFrame, classes: int, scored: int | None = None, rounds: int = 20) -> tuple[list[float], float]:
+    """Offsets of the log scores by coordinate ascent on the macro F1 of their argmax (ties to the first class), and that F1. scores(y, lf): class and array of `classes` numbers.
+
+    All steps along a coordinate are judged from one aggregation: by truth, by the best of the other classes, and by the first
+    step that is enough for this one to win. So a round reads the rows once for each class and brings classes² x steps counts to the driver.
+    """
+    scored = classes if scored is None else scored
+    order = sorted(STEPS)
+    rows = _cut(scores.select(F.col("y").cast("int").alias("y"), "lf"))
+    offsets = [0.0] * classes
+
+    def table(c: int) -> np.ndarray:
+        """counts[truth, other, k]: rows of which the steps order[k:] let class c win; k = len(order) for none."""
+        score = lambda j: F.col("lf")[j] + F.lit(offsets[j])
+        others = F.array(*[F.struct(score(j).alias("s"), F.lit(-j).alias("j")) for j in range(classes) if j != c])
+        best = F.array_max(others)
+        wins = lambda d: (score(c) + F.lit(d) > best["s"]) | ((score(c) + F.lit(d) == best["s"]) & (F.lit(c) < -best["j"]))
+        with_zero = sorted([*order, 0.0])
+        k = F.lit(len(with_zero))
+        for i in reversed(range(len(with_zero))):
+            k = F.when(wins(with_zero[i]), i).otherwise(k)
+        out = np.zeros((classes, classes, len(with_zero) + 1))
+        for r in rows.groupBy("y", (-best["j"]).alias("o"), k.alias("k")).agg(F.count("*").alias("n")).collect():
+            out[r.y, r.o, r.k] = r.n
+        return out
+
+    def judged(counts: np.ndarray, c: int, d: float) -> float:
+        at = sorted([*order, 0.0]).index(d) + 1
+        confusion = counts[:, :, at:].sum(2)
+        confusion[:, c] += counts[:, :, :at].sum((1, 2))
+        return macro_f1(confusion, scored)
+
+    now = None
+    for _ in range(rounds):
+        better = False
+        for c in range(classes):
+            counts = table(c)
+            now = judged(counts, c, 0.0) if now is None else now
+            gains = [(judged(counts, c, d), d) for d in STEPS]
+            f, d = max(gains, key=lambda g: g[0])  # the first of equal ones
+            if f > now:
+                offsets[c], now, better = offsets[c] + d, f, True
+        if not better:
+            break
+    return offsets, now or 0.0

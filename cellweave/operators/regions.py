@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _cut, components
@@ -95,6 +95,37 @@ def nearest_any(a: DataFrame, b: DataFrame, radius: float, limit: float) -> Data
         rest, radius = rest.join(found.select("sample", F.col("a").alias("cell_id")), ["sample", "cell_id"], "left_anti"), min(2 * radius, limit)
 
 
+def nearest_k(a: DataFrame, b: DataFrame, k: int, radius: float) -> DataFrame:
+    """(sample, a, b, d, rank): the k nearest points b of each a but itself (same cell_id), ties to the smaller id; fewer where the sample has fewer.
+
+    Points with k neighbours within `radius` are certain of them; the radius doubles for the others alone, so a dense layer never
+    meets wide buckets. Each round is checkpointed."""
+    first = Window.partitionBy("sample", "a").orderBy("d", "b")
+    there = b.groupBy("sample").agg(F.count("*").alias("there"))
+    mine = a.join(b.select("sample", "cell_id", F.lit(1).alias("own")).distinct(), ["sample", "cell_id"], "left").join(there, "sample")
+    rest = _cut(mine.withColumn("want", F.least(F.lit(k), F.col("there") - F.coalesce("own", F.lit(0)))).filter("want > 0").select("sample", "cell_id", "x", "y", "want"))
+    out = None
+    while True:
+        found = near_pairs(rest, b, radius).filter("a <> b").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+        sure = rest.select("sample", F.col("cell_id").alias("a"), "want").join(found.groupBy("sample", "a").agg(F.count("*").alias("n")), ["sample", "a"]).filter("n >= want")
+        done = _cut(found.join(sure.select("sample", "a"), ["sample", "a"], "left_semi"))
+        out = done if out is None else out.unionByName(done)
+        rest = _cut(rest.join(done.select("sample", F.col("a").alias("cell_id")).distinct(), ["sample", "cell_id"], "left_anti"))
+        if rest.isEmpty():
+            return out
+        radius *= 2
+
+
+def density_features(points: DataFrame, radii: tuple[float, ...] = (10.0, 20.0, 50.0), k: int = 5) -> DataFrame:
+    """For each point of points(sample, cell_id, x, y) the other points of its sample within each radius, and the mean distance of its k nearest
+    (of all, where there are fewer; null alone)."""
+    pairs = near_pairs(points, points, max(radii)).filter("a <> b")
+    counts = pairs.groupBy("sample", "a").agg(*[F.count_if(F.col("d") <= r).alias(f"n_{r:g}") for r in radii])
+    mean = nearest_k(points, points, k, max(radii)).groupBy("sample", "a").agg(F.avg("d").alias("mean_d"))
+    key = [F.col("sample"), F.col("cell_id").alias("a")]
+    return points.select(*key).join(counts, ["sample", "a"], "left").join(mean, ["sample", "a"], "left").fillna(0, [f"n_{r:g}" for r in radii]).withColumnRenamed("a", "cell_id")
+
+
 def dense_components(points: DataFrame, radius: float, degree: int) -> DataFrame:
     """Components of links within `radius` of which one end has at least `degree` neighbours; others stand alone."""
     pairs = near_pairs(points, points, radius).filter("a <> b")

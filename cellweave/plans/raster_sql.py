@@ -18,7 +18,10 @@ def blur(name: str, counts: str, sigma: float) -> str:
     return f"{name}_w(d, w) AS (VALUES {steps}), {half(name + '_x', counts, 'ix', 'nx', 'iy')}, {half(name, name + '_x', 'iy', 'ny', 'ix')}"
 
 
-def dilate(name: str, src: str, r: int) -> str:
+def dilate(name: str, src: str, r: int, rim: bool = True) -> str:
+    """Cut to the lattice, or on a plane without a rim."""
+    if not rim:
+        return f"{_disk(name, r)}, {name} AS (SELECT DISTINCT sample, iy + dy AS iy, ix + dx AS ix FROM {src} CROSS JOIN {name}_disk)"
     return f"{_disk(name, r)}, {name} AS (SELECT DISTINCT s.sample, s.iy + dy AS iy, s.ix + dx AS ix FROM {src} s CROSS JOIN {name}_disk JOIN frame f ON f.sample = s.sample AND s.iy + dy BETWEEN 0 AND f.ny - 1 AND s.ix + dx BETWEEN 0 AND f.nx - 1)"
 
 
@@ -26,8 +29,11 @@ def erode(name: str, src: str, r: int) -> str:
     return f"{_disk(name, r)}, {name} AS (SELECT sample, iy, ix FROM (SELECT s.sample, s.iy + dy AS iy, s.ix + dx AS ix FROM {src} s CROSS JOIN {name}_disk) t GROUP BY 1, 2, 3 HAVING count(*) = {len(offsets(r))})"
 
 
-def closed(name: str, src: str, r: int) -> str:
-    return f"{dilate(name + '_d', src, r)}, {erode(name, name + '_d', r)}"
+def closed(name: str, src: str, r: int, rim: bool = True) -> str:
+    """With a rim beyond which all is background, or on a plane without one, then cut to the lattice."""
+    if rim:
+        return f"{dilate(name + '_d', src, r)}, {erode(name, name + '_d', r)}"
+    return f"{dilate(name + '_d', src, r, False)}, {erode(name + '_c', name + '_d', r)}, {name} AS (SELECT c.sample, iy, ix FROM {name}_c c JOIN frame f ON f.sample = c.sample AND iy BETWEEN 0 AND ny - 1 AND ix BETWEEN 0 AND nx - 1)"
 
 
 def opened(name: str, src: str, r: int) -> str:
