@@ -7,15 +7,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, tune
+from .common import discard, fresh, stored, tune
 
 #: Marks and verbs that frame a quotation or a mention of a word.
 QUOTES = "\"'“”„«»‘’‚‹›`"
@@ -130,74 +129,100 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.lexicon.features(text) @ self.weights + self.bias, -30, 30))))
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, most: int = 2000) -> Lexicon:
-    """Words and stems (`abcd*`) that mark toxic texts: in at least `least` of them, and with a log-odds ratio that its own standard error supports."""
-    toxic, clean, n = {}, {}, [0, 0]
-    for text, y in rows:
-        n[y] += 1
-        into = toxic if y else clean
-        found = set(WORD.findall(text.lower()))
-        for w in found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}:
-            into[w] = into.get(w, 0) + 1
-    completions = Counter(w[:k] + "*" for w in toxic if w[-1] != "*" for k in STEMS if len(w) > k)
-    scored = []
-    for w, a in toxic.items():
-        b = clean.get(w, 0)
-        odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
-        error = math.sqrt(1 / (a + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (b + 0.5) + 1 / (n[0] - b + 0.5))
-        if w[-1] == "*" and (completions[w] < 3 or b * 50 > a or a < 2 * least):
-            continue
-        if a >= least and len(w) >= 3 and odds - 2.0 * error > 1.0 and a > 4 * b:
-            scored.append((odds - 2.0 * error, w))
-    top = sorted(scored, reverse=True)[:most]
-    # only words close to a term need to be known as innocent
-    lexicon = Lexicon({w: s for s, w in top})
-    known = frozenset(w for w in clean if w[-1] != "*" and w not in lexicon.terms and len(w) >= lexicon.fuzzy_from and clean[w] > toxic.get(w, 0) / 4 and lexicon[w])
-    return Lexicon(lexicon.terms, known)
-
-
-def fit(rows: list[tuple[str, int]], steps: int = 50, ridge: float = 1e-3) -> Model:
-    """The lexicon of one half of the rows weighs the other half, so rare chance terms get no credit; then all rows give the lexicon."""
-    if len({y for _, y in rows}) < 2:
-        return Model(Lexicon({}), np.zeros(len(FEATURES)), -3.0 if not any(y for _, y in rows) else 3.0)
-    lexicon = learn_lexicon(rows)
-    halves = [rows[::2], rows[1::2]]
-    x, y, share = [], [], []
-    for own, other in (halves, halves[::-1]):
-        half = learn_lexicon(own)
-        for text, label in other:
-            # a toxic text stands half for itself and half for its misspelt form, which weighs misspelt terms
-            forms = [text, *([m] if label and (m := half.misspelt(text)) else [])]
-            x += [half.features(t) for t in forms]
-            y += [label] * len(forms)
-            share += [1 / len(forms)] * len(forms)
-    x, y, share = np.array(x), np.array(y, float), np.array(share)
+LEAST, MOST = 3, 2_000
+
+
+def forms(text: str) -> set[str]:
+    """The different words of a text and their stems (`abcd*`)."""
+    found = set(WORD.findall(text.lower()))
+    return found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}
+
+
+def newton(x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression."""
     a = np.column_stack([x, np.ones(len(x))])
     theta = np.zeros(a.shape[1])
     penalty = np.append(np.full(x.shape[1], ridge * share.sum()), 1e-6)
-    for _ in range(steps):  # Newton's method
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
         step = np.linalg.solve((a * (share * p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-9 * np.eye(len(theta)), a.T @ (share * (p - y)) + penalty * theta)
         theta = theta - step
         if np.abs(step).max() < 1e-6:
             break
     # a misspelt or quoted term never speaks against toxicity
-    return Model(lexicon, np.maximum(theta[:-1], 0.0), float(theta[-1]))
+    return np.maximum(theta[:-1], 0.0), float(theta[-1])
+
+
+def learn_lexicon(counts: DataFrame, toxic: int, clean: int, fuzzy_from: int = 5) -> Lexicon:
+    """Words and stems that mark toxic texts, from counts(w, a, b): in how many toxic and clean texts each stands.
+
+    In at least LEAST toxic ones, and with a log-odds ratio that its own standard error supports; the MOST best. A stem needs three words of toxic
+    texts that it begins, and hardly any clean one. Words met in clean texts that are within reach of a term are known as innocent."""
+    a, b, n1, n0 = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(clean))
+    stems = counts.filter("a > 0 and not endswith(w, '*')").select("w", F.explode(F.array(*map(F.lit, STEMS))).alias("k")).filter("length(w) > k")
+    ends = stems.groupBy(F.expr("concat(substring(w, 1, k), '*')").alias("w")).agg(F.count("*").alias("ends"))
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    error = F.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
+    good = counts.filter((a >= LEAST) & (F.length("w") >= 3) & (a > 4 * b)).join(ends, "w", "left").withColumn("score", odds - 2.0 * error).filter(odds - 2.0 * error > 1.0)
+    good = good.filter(~F.col("w").endswith("*") | ((F.coalesce("ends", F.lit(0)) >= 3) & (b * 50 <= a) & (a >= 2 * LEAST)))
+    lexicon = Lexicon({r.w: r.score for r in good.orderBy(F.desc("score"), F.desc("w")).select("w", "score").limit(MOST).collect()}, frozenset(), fuzzy_from)
 
+    @F.pandas_udf("boolean")
+    def near(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: lexicon[w] is not None)
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_chars: int = 64 << 20) -> Model:
-    """Fit on a bounded sample of labelled rows: in hash order of doc_id, the first `most_rows` rows of `labels` that are
-    not held out and have a text, as far as their texts together have `most_chars` characters (so what reaches the driver
-    has a fixed bound; a text of any length may be among them). Rows with a null label, doc_id or text are no examples;
-    rows with several labels count once, as toxic if any label says so; rows that share a doc_id are examples each."""
+    innocent = counts.filter(~F.col("w").endswith("*") & (b > a / 4) & (F.length("w") >= fuzzy_from) & (F.length("w") <= 40)).filter(near("w"))  # at one edit from MOST terms
+    return Lexicon(lexicon.terms, frozenset(r.w for r in innocent.select("w").collect() if r.w not in lexicon.terms), fuzzy_from)
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
+    """(doc_id, text, toxic, half) of at most `most_rows` labelled rows, in hash order of doc_id."""
     y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     y = y.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    y = y.join(docs.filter("text is not null and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(y), "doc_id")  # most_rows rows of two numbers
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows)
-    some = some.withColumn("chars", F.sum(F.length("text")).over(order)).filter(F.col("chars") <= most_chars)  # most_rows rows
-    return fit([(r.text, r.toxic) for r in some.orderBy("doc_id", "text").select("text", "toxic").toLocalIterator()])
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("half", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int"))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000) -> Model:
+    """Fit on at most `most_rows` labelled rows: in hash order of doc_id those of `labels` that are not held out and have a text of any length.
+
+    Rows with a null label, doc_id or text are no examples; rows with several labels count once, as toxic if any label says so; of rows that
+    share a doc_id one is an example. The lexicon of one half of the rows weighs the other half, so rare chance terms get no credit; then
+    all rows give the lexicon. Words are counted in Spark; only the MOST terms of a lexicon and the features of each row reach the driver.
+    """
+    rows = stored(sample(docs, labels, most_rows), "toxic-sample")
+    n = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    size = lambda y, halves=(0, 1): sum(n.get((h, y), 0) for h in halves)
+    if not size(0) or not size(1):
+        return Model(Lexicon({}), np.zeros(len(FEATURES)), 3.0 if size(1) else -3.0)
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for text, toxic, half in part.itertuples(index=False):
+                yield pd.DataFrame({"w": sorted(forms(text)), "toxic": toxic, "half": half})
+
+    every = rows.select("text", "toxic", "half").mapInPandas(counted, "w string, toxic int, half int").groupBy("w")
+    of = lambda y, h: F.count_if((F.col("toxic") == y) & (F.col("half") == h)).alias(f"n{y}{h}")
+    words = stored(every.agg(*[of(y, h) for y in (0, 1) for h in (0, 1)]), "toxic-words")
+    lexicon = learn_lexicon(words.select("w", (F.col("n10") + F.col("n11")).alias("a"), (F.col("n00") + F.col("n01")).alias("b")), size(1), size(0))
+    halves = [learn_lexicon(words.select("w", F.col(f"n1{h}").alias("a"), F.col(f"n0{h}").alias("b")), size(1, (h,)), size(0, (h,))) for h in (0, 1)]
+
+    def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for text, label, half in part.itertuples(index=False):
+                other = halves[1 - half]
+                # a toxic text stands half for itself and half for its misspelt form, which weighs misspelt terms
+                kinds = [text, *([m] if label and (m := other.misspelt(text)) else [])]
+                out += [(label, 1 / len(kinds), other.features(t).tolist()) for t in kinds]
+            yield pd.DataFrame(out, columns=["y", "share", "x"])
+
+    got = rows.select("text", "toxic", "half").mapInPandas(measured, "y int, share double, x array<double>").collect()  # two rows for an example at most
+    got.sort(key=lambda r: (r.y, r.share, r.x))  # sums do not depend on the order of tasks
+    weights, bias = newton(np.array([r.x for r in got]), np.array([r.y for r in got], float), np.array([r.share for r in got]))
+    discard(rows, words)
+    return Model(lexicon, weights, bias)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,12 +1,15 @@
 """Each operator against a plain version on small tables with nulls, empty texts, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cellweave.llm import token_files
@@ -19,7 +22,7 @@ from cellweave.llm.minhash_dedup import near_duplicates
 from cellweave.llm.packing import pack, sequences
 from cellweave.llm.phrase_dedup import phrase_dedup
 from cellweave.llm.suffix_dedup import blind_trie, suffix_dedup
-from cellweave.llm.toxicity import fit, toxicity, train
+from cellweave.llm.toxicity import LEAST, forms, learn_lexicon, sample, toxicity, train
 
 SCHEMA = "doc_id long, text string, kept string, ids int, h int"
 
@@ -301,11 +304,41 @@ def test_overlaps_replace_a_clashing_column(spark):
     assert [(r.doc_id, r.overlaps, r.fp, r.item_id) for r in got] == [(None, [], 4, 5)]
 
 
+def labelled(spark, rows):
+    """Documents and labels of (text, label), none of them held out."""
+    ids = [i for i in range(3 * len(rows)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows)], "doc_id long, toxic int")
+
+
+def test_lexicon_against_plain_counts(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    rows = [(" ".join(rng.choice(words) for _ in range(6)) + rng.choice(["", " vilest", " vilely", " vilers", " vilesta"]) * (i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    n, counts = Counter(y for _, y in rows), {0: Counter(), 1: Counter()}
+    for t, y in rows:
+        counts[y].update(forms(t))
+    df = spark.createDataFrame([(w, counts[1][w], counts[0][w]) for w in {*counts[0], *counts[1]}], "w string, a long, b long")
+    want = {}
+    for w, a in counts[1].items():
+        b = counts[0][w]
+        odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
+        score = odds - 2 * math.sqrt(1 / (a + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (b + 0.5) + 1 / (n[0] - b + 0.5))
+        ends = sum(v[-1] != "*" and len(v) > len(w) - 1 and v.startswith(w[:-1]) for v in counts[1])
+        if a >= LEAST and score > 1 and a > 4 * b and (w[-1] != "*" or ends >= 3 and b * 50 <= a and a >= 2 * LEAST):
+            want[w] = round(score, 9)
+    got = learn_lexicon(df, n[1], n[0])
+    assert {w: round(s, 9) for w, s in got.terms.items()} == want and "vilest" in want and "vile*" in want
+    edits = lambda v, w: len(v) == len(w) and sum(x != y for x, y in zip(v, w)) == 1 or abs(len(v) - len(w)) == 1 and any(max(v, w, key=len)[:i] + max(v, w, key=len)[i + 1 :] == min(v, w, key=len) for i in range(9))
+    near = {w for w in counts[0] if w[-1] != "*" and len(w) >= 5 and w not in want and counts[0][w] > counts[1][w] / 4 and any(edits(w, t) for t in want if t[-1] != "*")}
+    assert near <= got.innocent
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     words = ["word%s" % c for c in "abcdefghijklmnop"]
     rows = [(" ".join(rng.choice(words) for _ in range(30)) + (" vilest" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
-    model = fit(rows)
+    model = train(*labelled(spark, rows))
     d = spark.createDataFrame([(1, "worda vilest wordb"), (2, "worda wordb"), (3, None), (4, ""), (None, "worda vilezt wordb")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity(d, model).collect()}
     assert got[1].predicted == 1 and not any(got[i].predicted for i in (2, 3, 4)) and model.lexicon["vilezt"] == ("vilest", 1)
@@ -317,7 +350,7 @@ def test_toxicity_of_misspelt_terms_and_clashing_columns(spark):
     words = ["word%s" % c for c in "abcdefghijklmnop"]
     make = lambda t: " ".join([*(rng.choice(words) for _ in range(30)), *t])
     rows = [(make(["vilest"] if i % 5 == 0 else []), int(i % 5 == 0)) for i in range(400)]
-    model = fit(rows)
+    model = train(*labelled(spark, rows))
     for w in ("vilezt", "v1lest", "vilets", "vielst", "vilst"):
         assert model.lexicon[w] == ("vilest", 1) and model.score(make([w])) >= 0.3, w
     assert model.score(make([])) < 0.3 and model.weights[1] > 0
@@ -334,7 +367,17 @@ def test_training_leaves_out_held_out_rows_and_takes_long_texts(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0 or i in out)) for i in ids] + [(401, 1), (1, None), (0, 0)], "doc_id long, toxic int")
     terms = train(docs, labels).lexicon.terms
     assert "vilest" in terms and "heldout" not in terms
-    assert train(docs, labels, most_chars=0).lexicon.terms == {}
+
+
+def test_training_with_a_very_long_text_first(spark):
+    """Whatever text comes first in hash order, the others teach the same."""
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice(["one", "two", "three"]) for _ in range(5)) + " vilest" * (i % 3 == 0), int(i % 3 == 0)) for i in range(120)]
+    docs, labels = labelled(spark, rows)
+    first = sample(docs, labels, 1).first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.repeat(F.lit(" one two three"), 200_000))).otherwise(F.col("text")))
+    assert set(train(long, labels).lexicon.terms) == set(train(docs, labels).lexicon.terms) == {"vilest"}
+    assert sample(docs, labels, 50).count() == 50 and sample(docs.union(docs), labels, 500).count() == 120
 
 
 def test_license_inheritance(spark):
