@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import compositions, spatial, structures
+from cellweave.operators import bodies, compositions, spatial, structures
+from cellweave.operators.bodies import BodyRules
 from cellweave.operators.compositions import BoundaryRules
 from cellweave.operators.structures import CoreRules
 from cellweave.sources.tables import cells
@@ -123,3 +124,24 @@ def c2_gated_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = parts.select("sample", number.alias("core"), (F.count("*").over(Window.partitionBy("sample", "region")) > 60).alias("big"), "iy", "ix")
     ground = spatial.dilate(at.select(*spatial.KEY).distinct(), 2, nx, ny)
     return structures.structures(cores, at, ground, nx, ny, PLAIN)[0]
+
+
+BODIES = BodyRules(pad=100.0, sigma=1.5, least=5, peak=0.12, count_radius=20.0, count=5, close=10.0, apart=3, gap=40.0, split=4, aspect=1.8, minor=20.0, major=60.0, small_density=900.0, large_density=1_200.0, linear=30.0, reference=600.0, link=12.0, loose_all=0.0, loose_high=700.0, loose_low=100.0, tract_major=60.0, tract_aspect=1.8, tract_wide=1, reach=20.0, reach_share=0.5)
+
+
+@query()
+def c5_region_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are the marked points. Without SQL: a watershed and spanning trees; tests hold it against planted shapes."""
+    out = bodies.region_operator(cells(spark, sf_dir).withColumn("marked", F.col("cell_type") == "click"), BODIES)
+    return out.select("sample", "cluster", "n", *[F.round(c, 6).alias(c) for c in ("area_mm2", "areal_density", "linear_density", "aspect", "solidity", "median_nn")], "shape", "confidence", "kind")
+
+
+LINKS = """WITH n AS (SELECT o_custkey AS sample, count(*) AS n, sum(o_totalprice) / 100000 AS area_mm2 FROM orders GROUP BY 1), d AS (SELECT sample, n / area_mm2 AS density FROM n),
+  l AS (SELECT *, 50 * greatest(0.9::DOUBLE, least(1.8::DOUBLE, pow(90 / greatest(density, 0.000001), 0.165))) AS link FROM d) SELECT sample, round(density, 6) AS density, round(link, 6) AS link, round(link * greatest(0, least(1, (25 - density) / 22)), 6) AS halo FROM l"""
+
+
+@query(LINKS)
+def c5_adapted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The power law of links and halos, customers' orders for a section's points."""
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("sample")).agg(F.count("*").alias("n"), (F.sum("o_totalprice") / 100000).alias("area_mm2"))
+    return bodies.adapted(n, BodyRules()).select("sample", *[F.round(c, 6).alias(c) for c in ("density", "link", "halo")])

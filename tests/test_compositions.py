@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cellweave.operators import compositions, runs, spatial, structures
+from cellweave.operators import bodies, compositions, runs, spatial, structures
 from cellweave.operators.graph import components, merged
 
 RNG = np.random.default_rng(4)
@@ -135,3 +135,44 @@ def test_gates_and_ownership(spark):
         if q.id:
             own = taken == q.id
             assert (q.owned_px, q.n_b_owned, q.n_t_owned, q.n_p_owned, q.n_l_owned) == (own.sum(), *(n[k][own].sum() for k in "BTPL"))
+
+
+def planted(rng):
+    """A compact blob, a thick bar, two bars in line with a gap, and a thin chain, far from each other; others are scattered."""
+    blob = rng.normal(0, 14, (40, 2)) + [200, 200]
+    bar = np.stack([np.linspace(600, 900, 60), 200 + rng.uniform(-14, 14, 60)], 1)
+    pair = np.concatenate([np.stack([np.linspace(a, a + 160, 34), 600 + rng.uniform(-14, 14, 34)], 1) for a in (100, 320)])
+    chain = np.stack([np.linspace(600, 820, 14), np.full(14, 700.0)], 1)
+    marked = np.concatenate([blob, bar, pair, chain])
+    rest = np.stack([rng.uniform(0, 1100, 400), rng.uniform(0, 900, 400)], 1)
+    return [(1, k, float(x), float(y), k < len(marked)) for k, (x, y) in enumerate(np.concatenate([marked, rest]))]
+
+
+def test_bodies_and_tracts(spark):
+    rows = planted(np.random.default_rng(12)) + [(2, 5000 + k, 10.0 * k, 0.0, k < 4) for k in range(30)]
+    df = spark.createDataFrame(rows, "sample long, cell_id long, x double, y double, marked boolean")
+    got = bodies.region_operator(df, bodies.BodyRules(sigma=2, peak=0.05, loose_all=500.0)).collect()
+    assert {r["sample"] for r in got} == {1}
+    by = sorted((r.kind, r["shape"], r.n, r.confidence) for r in got)
+    # each of the two bars in line is too short for a long one; the chain is too thin for a body
+    assert by == [("body", "compact", 34, "high"), ("body", "compact", 34, "high"), ("body", "compact", 40, "high"), ("body", "elongated", 60, "high"), ("tract", "elongated", 14, "low")]
+    assert [r.cluster for r in sorted(got, key=lambda r: r.cluster)] == list(range(1, len(got) + 1))
+
+
+def test_shapes_part_by_their_branch(spark):
+    """A long part with two groups of points is split at its middle; a round one at the valley between its peaks."""
+    long = [(1, 7, y, x) for y in range(20, 24) for x in range(10, 60)]
+    round_ = [(1, 9, y, x) for y in range(40, 60) for x in range(10, 34)]
+    at = [(1, k, 21, x) for k, x in enumerate([10, 11, 12, 13, 14, 15, 50, 51, 52, 53, 54, 55])]
+    peaks = {(50, 14): 1.0, (50, 29): 0.9}
+    density = [(1, y, x, max(v - 0.05 * (abs(y - a) + abs(x - b)) for (a, b), v in peaks.items())) for _, _, y, x in round_]
+    side = spark.createDataFrame([(1, 80)], "sample long, n long")
+    out = bodies.parts_by_shape(
+        spark.createDataFrame(long + round_, "sample long, region long, iy long, ix long"), spark.createDataFrame(at, "sample long, cell_id long, iy long, ix long"),
+        spark.createDataFrame(density, "sample long, iy long, ix long, density double"), side, side, bodies.BodyRules(peak=0.5),
+    ).collect()
+    assert len(out) == len(long) + len(round_)
+    piece = {(r.region, r.iy, r.ix): r.piece for r in out}
+    for y in range(20, 24):
+        assert [piece[7, y, x] for x in range(10, 33)] == [1] * 23 and [piece[7, y, x] for x in range(33, 60)] == [2] * 27
+    assert piece[9, 50, 14] != piece[9, 50, 29] and {v for k, v in piece.items() if k[0] == 9} == {1, 2}
