@@ -7,8 +7,10 @@ import heapq
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .spatial import Side, sided
+from .graph import _cut, components
+from .spatial import Side, near_pairs, sided
 
 
 def watershed(density: DataFrame, nx: Side, ny: Side) -> DataFrame:
@@ -57,6 +59,11 @@ def greedy_iou(pairs: DataFrame, least: float) -> DataFrame:
 
 def assignment(cost: np.ndarray) -> list[int]:
     """Columns of the cheapest one-to-one assignment of rows, by shortest augmenting paths."""
+    return priced(cost)[0]
+
+
+def priced(cost: np.ndarray) -> tuple[list[int], float]:
+    """`assignment`, and the highest row price plus the highest column price: no pair dearer than that could improve it."""
     n, m = cost.shape
     u, v, p = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -83,21 +90,55 @@ def assignment(cost: np.ndarray) -> list[int]:
     for j in range(1, m + 1):
         if p[j]:
             out[p[j] - 1] = j - 1
-    return out
-
-
-def optimal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per sample, the assignment of points a to points b with the least total distance; only where both have as many."""
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) != len(right) or not len(left):
-            return pd.DataFrame(columns=["sample", "a", "b", "d"])
-        left, right = left.sort_values("cell_id"), right.sort_values("cell_id")
-        cost = np.hypot(left.x.values[:, None] - right.x.values, left.y.values[:, None] - right.y.values)
-        to = assignment(cost)
-        return pd.DataFrame({"sample": left["sample"].values, "a": left.cell_id.values, "b": right.cell_id.values[to], "d": cost[np.arange(len(left)), to]})
-
-    return a.groupBy("sample").cogroup(b.groupBy("sample")).applyInPandas(match, "sample long, a long, b long, d double")
+    return out, float(u[1:].max() + v[1:].max())
+
+
+def optimal_pairs(a: DataFrame, b: DataFrame, radius: float = 20.0, weight: float = 0.0) -> DataFrame:
+    """Per sample, the assignment of points a to points b of least total cost; only where both have as many. (sample, a, b, d), d the cost: the distance, plus
+    `weight` times the difference of the column `area` on request. cell_id is unique on each side.
+
+    Candidates are pairs of which neither term is over `radius`, found by buckets; a connected component of them is solved alone. Its prices prove that no dearer
+    pair would help, or the sample's radius doubles. So a task holds a component, a whole sample only if its pairs are all candidates.
+    """
+    counted = lambda df, name: df.groupBy("sample").agg(F.count("*").alias(name))
+    rest = _cut(counted(a, "n").join(counted(b, "m"), "sample").filter("n = m").select("sample", "n"))
+    out = None
+    while True:
+        x, y = a.join(rest, "sample", "left_semi"), b.join(rest, "sample", "left_semi")
+        pairs = near_pairs(x, y, radius)
+        if weight:
+            area = lambda df, k: df.select(F.col("cell_id").alias(k), F.col("area").alias(f"{k}_area"))
+            gap = F.abs(F.col("a_area") - F.col("b_area")) * weight
+            pairs = pairs.join(area(x, "a"), "a").join(area(y, "b"), "b").withColumn("gap", gap).filter(F.col("gap") <= radius).select("sample", "a", "b", (F.col("d") + F.col("gap")).alias("d"))
+        pairs = _cut(pairs)
+        edges = pairs.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"))
+        label = components(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), edges)
+        grouped = pairs.withColumn("node", F.col("a") * 2).join(label, "node").drop("node")
+
+        limit = radius
+
+        def match(pdf: pd.DataFrame) -> pd.DataFrame:
+            left, right = np.unique(pdf.a), np.unique(pdf.b)
+            cost = np.full((len(left), len(right)), np.inf)
+            cost[np.searchsorted(left, pdf.a), np.searchsorted(right, pdf.b)] = pdf.d
+            if len(left) != len(right):
+                return pd.DataFrame(columns=["sample", "a", "b", "d", "sure", "pairs"])
+            missing = (len(left) + 1) * (pdf.d.max() + 1)  # dearer than any whole assignment of candidates
+            to, price = priced(np.where(np.isinf(cost), missing, cost))
+            d = cost[np.arange(len(left)), to]
+            if np.isinf(d).any():
+                return pd.DataFrame(columns=["sample", "a", "b", "d", "sure", "pairs"])
+            return pd.DataFrame({"sample": pdf["sample"].iloc[0], "a": left, "b": right[to], "d": d, "sure": price <= limit, "pairs": [len(pdf)] + [0] * (len(left) - 1)})
+
+        found = _cut(grouped.groupBy("component").applyInPandas(match, "sample long, a long, b long, d double, sure boolean, pairs long"))
+        whole = found.groupBy("sample").agg(F.count("*").alias("k"), F.min(F.col("sure").cast("int")).alias("sure"), F.sum("pairs").alias("pairs")).join(rest, "sample")
+        done = _cut(whole.filter((F.col("k") == F.col("n")) & ((F.col("sure") == 1) | (F.col("pairs") == F.col("n") * F.col("n")))).select("sample"))
+        part = found.join(done, "sample", "left_semi").select("sample", "a", "b", "d")
+        out = part if out is None else out.unionByName(part)
+        rest = _cut(rest.join(done, "sample", "left_anti"))
+        if rest.isEmpty():
+            return out
+        radius *= 2
 
 
 def balanced_folds(groups: DataFrame, folds: int) -> DataFrame:

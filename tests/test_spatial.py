@@ -61,3 +61,22 @@ def test_manifests_trees_and_partitions(spark, tmp_path):
     assert sorted(map(tuple, tree.collect())) == [(1, "x", "s"), (1, "y", "s")]
     tables.write_partitioned(spark.createDataFrame([(1, "p"), (2, "q")], "k long, project string"), f"{tmp_path}/out", ["project"])
     assert {f.name for f in (tmp_path / "out").iterdir() if f.is_dir()} == {"project=p", "project=q"}
+
+
+@pytest.mark.parametrize("weight", [0.0, 40.0])
+def test_assignment_by_components_equals_the_dense_one(spark, weight):
+    """Near pairs, a sample whose points are far apart, a shifted row whose cheapest pairs would leave one out, and unequal numbers."""
+    rng = np.random.default_rng(3)
+    a = [(1, k, *rng.uniform(0, 300, 2).tolist(), float(rng.uniform(0, 1))) for k in range(40)]
+    b = [(s, 100 + k, x + float(rng.normal(0, 6)), y + float(rng.normal(0, 6)), z) for s, k, x, y, z in a]
+    a += [(2, 50 + k, float(k), 0.0, 0.5) for k in range(4)] + [(3, 60 + k, 10.0 * k, 0.0, 0.5) for k in range(5)] + [(4, 70, 0.0, 0.0, 0.5)]
+    b += [(2, 150 + k, 900.0 + k * k, 5.0, 0.1) for k in range(4)] + [(3, 160 + k, 10.0 * k + 9.0, 0.0, 0.5) for k in range(5)]
+    schema = "sample long, cell_id long, x double, y double, area double"
+    got = grouped.optimal_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 8.0, weight).collect()
+    for s in (1, 2, 3):
+        p, q = [r for r in a if r[0] == s], [r for r in b if r[0] == s]
+        cost = np.array([[np.hypot(i[2] - j[2], i[3] - j[3]) + weight * abs(i[4] - j[4]) for j in q] for i in p])
+        mine = [r for r in got if r["sample"] == s]
+        assert len(mine) == len({r.b for r in mine}) == len(p)
+        assert np.isclose(sum(r.d for r in mine), sum(cost[i, j] for i, j in enumerate(grouped.assignment(cost))))
+    assert not any(r["sample"] == 4 for r in got)
