@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .graph import _cut, components
 from .spatial import KEY
@@ -106,78 +107,121 @@ def _some(work, columns: list[str]):
     return run
 
 
+END = StructType([StructField(n, DoubleType()) for n in ("z0", "x0", "x1", "x2", "y0", "y1", "y2")] + [StructField("degree", IntegerType())])
+
+
+@F.pandas_udf(END)
+def through(zs: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    """A curve by least squares through a few planes: of degree 2 from four on, 1 from two on, else a point; coefficients count z from the first."""
+    out = []
+    for z, x, y in zip(zs, xs, ys, strict=True):
+        t = np.asarray(z, float) - z[0]
+        degree = 2 if len(t) >= 4 else min(len(t) - 1, 1)
+        cx, cy = (np.pad(np.polyfit(t, v, degree)[::-1], (0, 2 - degree)) for v in (x, y))
+        out.append((z[0], *cx, *cy, degree))
+    return pd.DataFrame(out, columns=END.names)
+
+
+def _value(curve: str, axis: str, z: Column) -> Column:
+    t = z - F.col(f"{curve}.z0")
+    return F.col(f"{curve}.{axis}0") + t * (F.col(f"{curve}.{axis}1") + t * F.col(f"{curve}.{axis}2"))
+
+
+def ends(lines: DataFrame, planes: int, top: bool) -> DataFrame:
+    """(sample, g, z, x, y, curve) of the upper or lower end of each line of lines(sample, g, z, x, y)."""
+    from_end = Window.partitionBy("sample", "g").orderBy(F.desc("z") if top else F.asc("z"))
+    few = lines.withColumn("k", F.row_number().over(from_end)).filter(F.col("k") <= planes).groupBy("sample", "g").agg(F.array_sort(F.collect_list(F.struct("z", "x", "y"))).alias("p"))
+    last = F.element_at("p", -1 if top else 1)
+    return few.select("sample", "g", last["z"].alias("z"), last["x"].alias("x"), last["y"].alias("y"), through("p.z", "p.x", "p.y").alias("curve"))
+
+
+def _near(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], reach: float) -> DataFrame:
+    """Rows that agree on `on` and whose places a and b fall in the same or neighbouring squares of side `reach`."""
+    square = lambda c: F.floor(F.col(c) / reach)
+    steps = F.explode(F.array(*[F.struct((square(b[0]) + i).alias("qx"), (square(b[1]) + j).alias("qy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    spread = right.withColumn("q", steps).select(*right.columns, "q.qx", "q.qy")
+    return left.withColumn("qx", square(a[0])).withColumn("qy", square(a[1])).join(spread, [*on, "qx", "qy"]).drop("qx", "qy")
+
+
+def meetings(upper: DataFrame, lower: DataFrame, farthest: float, reach: float) -> DataFrame:
+    """Pairs of an upper and a lower end above it that can meet within `reach`: the ends are near, or their curves at the gap's middle.
+
+    An upper end is carried to the middle of the gap to each level in range, a lower end to that from each level below; only
+    those of the same two levels and neighbouring squares are paired."""
+    up = upper.select("sample", F.col("g").alias("a"), F.col("z").alias("za"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("curve").alias("ca"))
+    low = lower.select("sample", F.col("g").alias("b"), F.col("z").alias("zb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("curve").alias("cb"))
+    gap = (F.col("zb") > F.col("za")) & (F.col("zb") <= F.col("za") + farthest)
+    starts, stops = low.select("sample", "zb").distinct(), up.select("sample", "za").distinct()
+    between = stops.join(starts, "sample").filter(gap)  # two rows of levels, not of ends
+    middle = (F.col("za") + F.col("zb")) / 2
+    up = up.join(between, ["sample", "za"]).withColumn("mxa", _value("ca", "x", middle)).withColumn("mya", _value("ca", "y", middle))
+    low = low.join(between, ["sample", "zb"]).withColumn("mxb", _value("cb", "x", middle)).withColumn("myb", _value("cb", "y", middle))
+    on = ["sample", "za", "zb"]
+    keys = lambda a, b: _near(up.select(*on, "a", *a), low.select(*on, "b", *b), on, a, b, reach).select(*on, "a", "b")
+    pairs = keys(("xa", "ya"), ("xb", "yb")).union(keys(("mxa", "mya"), ("mxb", "myb"))).distinct().filter("a <> b")
+    return pairs.join(up, [*on, "a"]).join(low, [*on, "b"])
+
+
+def support_of(pairs: DataFrame, points: DataFrame, levels: DataFrame, radius: float, full: int) -> DataFrame:
+    """(sample, a, b, support): on each level of a gap, points within `radius` of the path from one curve to the other, full at `full`; their mean over the levels, 0 without one."""
+    empty = pairs.join(levels, "sample").filter((F.col("z") > F.col("za")) & (F.col("z") < F.col("zb")))
+    w = (F.col("z") - F.col("za")) / (F.col("zb") - F.col("za"))
+    at = lambda v: ((1 - w) * _value("ca", v, F.col("z")) + w * _value("cb", v, F.col("z"))).alias(f"p{v}")
+    path = empty.select("sample", "a", "b", "z", at("x"), at("y"))
+    near = _near(points.select("sample", "z", "x", "y"), path, ["sample", "z"], ("x", "y"), ("px", "py"), radius).filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= radius)
+    seen = near.groupBy("sample", "a", "b", "z").agg(F.least(F.lit(1.0), F.count("*") / full).alias("s"))
+    return path.join(seen, ["sample", "a", "b", "z"], "left").groupBy("sample", "a", "b").agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("support"))
+
+
+def best_first(pairs: DataFrame) -> DataFrame:
+    """Of pairs(sample, a, b, ratio) those that a walk by rising ratio (ties to smaller a, then b) takes, each a and each b once: pairs that
+    are best for both of their ends are taken together, and the search goes on among what is left."""
+    out, left = None, _cut(pairs.select("sample", "a", "b", "ratio"))
+    order = lambda k: F.row_number().over(Window.partitionBy("sample", k).orderBy("ratio", "a", "b"))
+    while not left.isEmpty():
+        taken = _cut(left.withColumn("i", order("a")).withColumn("j", order("b")).filter("i = 1 and j = 1").select("sample", "a", "b"))
+        out = taken if out is None else out.unionByName(taken)
+        left = _cut(left.join(taken.select("sample", "a"), ["sample", "a"], "left_anti").join(taken.select("sample", "b"), ["sample", "b"], "left_anti"))
+    return pairs.select("sample", "a", "b").limit(0) if out is None else out
+
+
 def stitch(
     curves: DataFrame, points: DataFrame, base: float = 150.0, drift: float = 1.5, farthest: float = 60.0, bend: float = 60.0, gain: float = 1.0, planes: int = 5, radius: float = 150.0, full: int = 8, rounds: int = 8
 ) -> DataFrame:
     """sample, object and stitched (the smallest object of its group): upper ends joined to lower ends that begin above them.
 
-    curves(sample, object, z, x, y) are centre lines, points(sample, z, x, y) what may support a gap. In a round every upper
-    end, continued by a curve through its last `planes` planes, meets every lower end within `farthest`; the distance at the
+    curves(sample, object, z, x, y) are centre lines, points(sample, z, x, y) what may support a gap; objects are unique. In a round every upper
+    end, continued by a curve through its last `planes` planes, meets the lower ends within `farthest`; the distance at the
     gap's middle, or of the ends if less, must keep base + drift * dz, widened by `gain` times the mean support of the
     empty planes (points within `radius` of the path, full at `full`). Ends further apart than `base` must not bend by more than
-    `bend` degrees. The best ratio to its tolerance goes first, each end once; rounds go on until none joins. A sample is a
-    case, and its points without rows in curves are ignored.
+    `bend` degrees. The best ratio to its tolerance goes first, each end once; rounds go on until none joins. Ends, gaps and
+    supporting points are tables that meet by level and square; an end's few planes are all that a function sees. A join leads upwards, so none closes a ring.
     """
-
-    def fit(c: pd.DataFrame, top: bool):
-        c = c.tail(planes) if top else c.head(planes)
-        z = c.z.to_numpy(float)
-        degree = (2 if len(c) >= 4 else 1 if len(c) >= 2 else 0) if z[-1] - z[0] > 1e-6 else 0
-        return [np.poly1d(np.polyfit(z - z[0], c[k], degree)) for k in ("x", "y")], z[0], degree
-
-    def at(f, z: float) -> np.ndarray:
-        return np.array([p(z - f[1]) for p in f[0]])
-
-    def angle(f, z: float, chord: np.ndarray) -> float:
-        t = np.array([p.deriv()(z - f[1]) for p in f[0]] + [1.0])
-        return float(np.degrees(np.arccos(np.clip(t @ chord / (np.linalg.norm(t) * np.linalg.norm(chord)), -1, 1)))) if f[2] else 0.0
-
-    def join(own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        group = {int(o): int(o) for o in own.object.unique()}
-        levels = np.unique(np.concatenate([own.z, around.z]))
-        cloud = {z: g[["x", "y"]].to_numpy(float) for z, g in around.groupby("z")}
-        for _ in range(rounds):
-            lines = {g: c for g, c in own.assign(g=own.object.map(group)).groupby(["g", "z"], as_index=False)[["x", "y"]].mean().groupby("g")}
-            lows = sorted((c.z.iloc[0], g) for g, c in lines.items())
-            starts = [z for z, _ in lows]
-            upper, lower = {g: fit(c, True) for g, c in lines.items()}, {g: fit(c, False) for g, c in lines.items()}
-            found = []
-            for a, c in lines.items():
-                za, pa = float(c.z.iloc[-1]), c[["x", "y"]].to_numpy()[-1]
-                for zb, b in lows[np.searchsorted(starts, za, "right") : np.searchsorted(starts, za + farthest, "right")]:
-                    pb, dz = lines[b][["x", "y"]].to_numpy()[0], zb - za
-                    apart = float(np.hypot(*(pb - pa)))
-                    if apart > base and max(angle(upper[a], za, np.array([*(pb - pa), dz])), angle(lower[b], zb, np.array([*(pb - pa), dz]))) > bend:
-                        continue
-                    middle = (za + zb) / 2
-                    d = min(apart, float(np.hypot(*(at(lower[b], middle) - at(upper[a], middle)))))
-                    support = []
-                    for z in levels[(levels > za) & (levels < zb)]:
-                        w = (z - za) / dz
-                        path = (1 - w) * at(upper[a], z) + w * at(lower[b], z)
-                        near = np.hypot(*(cloud[z] - path).T) <= radius if z in cloud else np.zeros(0)
-                        support.append(min(1.0, near.sum() / full))
-                    tolerance = (base + drift * dz) * (1 + gain * (float(np.mean(support)) if support else 0.0))
-                    if d <= tolerance:
-                        found.append((d / tolerance, a, b))
-            tops, bottoms, to = set(), set(), {}
-
-            def root(g: int, to=to) -> int:
-                while g in to:
-                    g = to[g]
-                return g
-
-            for _, a, b in sorted(found):
-                if a not in tops and b not in bottoms and root(a) != root(b):
-                    tops.add(a)
-                    bottoms.add(b)
-                    to[max(root(a), root(b))] = min(root(a), root(b))
-            if not to:
-                break
-            group = {o: root(g) for o, g in group.items()}
-        return pd.DataFrame([(own["sample"].iloc[0], o, g) for o, g in group.items()], columns=["sample", "object", "stitched"])
-
-    return curves.groupBy("sample").cogroup(points.groupBy("sample")).applyInPandas(_some(join, ["sample", "object", "stitched"]), "sample long, object long, stitched long")
+    group = _cut(curves.select("sample", "object").distinct().withColumn("g", F.col("object")))
+    levels = _cut(curves.select("sample", "z").union(points.select("sample", "z")).distinct())
+    reach = (base + drift * farthest) * (1 + gain)
+    for _ in range(rounds):
+        lines = _cut(curves.join(group, ["sample", "object"]).groupBy("sample", "g", "z").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+        met = _cut(meetings(ends(lines, planes, True), ends(lines, planes, False), farthest, reach))
+        dz = F.col("zb") - F.col("za")
+        chord = (F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya"), dz)
+        apart = F.hypot(chord[0], chord[1])
+
+        def angle(c: str, z: Column) -> Column:
+            slope = [F.col(f"{c}.{v}1") + 2 * F.col(f"{c}.{v}2") * (z - F.col(f"{c}.z0")) for v in "xy"]  # noqa: B023
+            dot, long = slope[0] * chord[0] + slope[1] * chord[1] + chord[2], F.sqrt(slope[0] * slope[0] + slope[1] * slope[1] + 1) * F.sqrt(chord[0] * chord[0] + chord[1] * chord[1] + chord[2] * chord[2])  # noqa: B023
+            return F.when(F.col(f"{c}.degree") > 0, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / long))))).otherwise(0.0)
+
+        straight = (apart <= base) | (F.greatest(angle("ca", F.col("za")), angle("cb", F.col("zb"))) <= bend)
+        held = met.filter(straight).join(support_of(met, points, levels, radius, full), ["sample", "a", "b"], "left")
+        d = F.least(apart, F.hypot(F.col("mxb") - F.col("mxa"), F.col("myb") - F.col("mya")))
+        ratio = d / ((base + drift * dz) * (1 + gain * F.coalesce("support", F.lit(0.0))))
+        joined = _cut(best_first(held.withColumn("ratio", ratio).filter(F.col("ratio") <= 1)))
+        if joined.isEmpty():
+            break
+        label = components(group.select(F.col("g").alias("node")).distinct(), joined)
+        group = _cut(group.join(label, F.col("g") == F.col("node")).select("sample", "object", F.col("component").alias("g")))
+    return group.withColumnRenamed("g", "stitched")
 
 
 def affine(pairs: DataFrame) -> DataFrame:

@@ -150,6 +150,69 @@ def test_stitching_follows_the_curve(spark):
     assert {r.object: r.stitched for r in linking.stitch(off, none).collect()} == {1: 1, 9: 1, 3: 3}
 
 
+def test_stitching_equals_a_walk_over_all_pairs(spark):
+    """Supported gaps, bends, conflicts for an end, and joins of later rounds, against all ends compared with all others."""
+    rng = np.random.default_rng(5)
+    lines, number = {}, 0
+    for x0, y0 in rng.uniform(0, 500, (9, 2)):
+        slope, z, cut = rng.normal(0, 1.2, 2), 0, 0
+        while z < 30:
+            n = int(rng.integers(1, 7))
+            number += 1
+            lines[number] = [(10.0 * k, x0 + slope[0] * 10 * k + rng.normal(0, 3), y0 + slope[1] * 10 * k + rng.normal(0, 3)) for k in range(z, z + n)]
+            z += n + int(rng.integers(1, 4))
+    cloud = [(10.0 * int(rng.integers(0, 30)), *rng.uniform(0, 500, 2)) for _ in range(900)]
+    how = dict(base=14.0, drift=0.6, farthest=40.0, bend=35.0, gain=1.0, planes=4, radius=40.0, full=4, rounds=6)
+    levels = sorted({z for c in lines.values() for z, _, _ in c} | {z for z, _, _ in cloud})
+
+    def curve(part):
+        z, xy = np.array([p[0] for p in part]), np.array([p[1:] for p in part])
+        degree = 2 if len(z) >= 4 else min(len(z) - 1, 1)
+        c = np.polyfit(z - z[0], xy, degree)
+        slope = np.polyder(np.poly1d(c[:, 0])), np.polyder(np.poly1d(c[:, 1]))
+        return (lambda t: np.array([np.polyval(c[:, 0], t - z[0]), np.polyval(c[:, 1], t - z[0])])), (lambda t: np.array([slope[0](t - z[0]), slope[1](t - z[0]), 1.0]) if degree else None)
+
+    group = {k: k for k in lines}
+    for _ in range(how["rounds"]):
+        whole = {}
+        for g in set(group.values()):
+            by = {}
+            for p in (p for k, c in lines.items() if group[k] == g for p in c):
+                by.setdefault(p[0], []).append(p)
+            whole[g] = [tuple(np.mean(by[z], 0)) for z in sorted(by)]
+        found = []
+        for (a, p), (b, q) in ((u, v) for u in whole.items() for v in whole.items() if u[0] != v[0]):
+            dz, gap = q[0][0] - p[-1][0], np.subtract(q[0][1:], p[-1][1:])
+            if not 0 < dz <= how["farthest"]:
+                continue
+            (f, df), (h, dh) = curve(p[-4:]), curve(q[:4])
+            angles = [np.degrees(np.arccos(np.clip(t @ [*gap, dz] / np.linalg.norm(t) / np.linalg.norm([*gap, dz]), -1, 1))) for t in (df(p[-1][0]), dh(q[0][0])) if t is not None]
+            if np.hypot(*gap) > how["base"] and max(angles, default=0) > how["bend"]:
+                continue
+            support = []
+            for z in (z for z in levels if p[-1][0] < z < q[0][0]):
+                w = (z - p[-1][0]) / dz
+                at = (1 - w) * f(z) + w * h(z)
+                support.append(min(1.0, sum(np.hypot(x - at[0], y - at[1]) <= 40 for t, x, y in cloud if t == z) / 4))
+            middle = p[-1][0] + dz / 2
+            ratio = min(np.hypot(*gap), np.hypot(*(h(middle) - f(middle)))) / ((14 + 0.6 * dz) * (1 + np.mean(support or [0])))
+            if ratio <= 1:
+                found.append((ratio, a, b))
+        tops, lows = set(), set()
+        for _, a, b in sorted(found):
+            if a not in tops and b not in lows:
+                tops.add(a)
+                lows.add(b)
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+        if not tops:
+            break
+    curves = spark.createDataFrame([(0, k, *map(float, p)) for k, c in lines.items() for p in c], "sample long, object long, z double, x double, y double")
+    points = spark.createDataFrame([(0, *map(float, p)) for p in cloud], "sample long, z double, x double, y double")
+    assert 3 < len(set(group.values())) < len(lines) - 5
+    assert {r.object: r.stitched for r in linking.stitch(curves, points, **how).collect()} == group
+
+
 def test_affine_is_refitted_without_outliers(spark):
     p = RNG.random((12, 2)) * 100
     m = np.array([[1.1, -0.2], [0.3, 0.9]])
