@@ -521,3 +521,17 @@ def test_marks_inside_an_article_count_only_as_whole_names_of_containers():
     kept += ['<div aria-hidden="false">e</div>', '<div data-state="hidden">f</div>', "<p>g <math>h</math> <label>i</label></p>", '<div title="x hidden class=comments">j</div>']
     cut = ['<div class="wide comments">x</div>', "<div hidden>x</div>", '<ul id="share">x</ul>', '<div style="display: none">x</div>', '<p hidden="">x</p>']
     assert decided(f"<article>{''.join(kept + cut)}</article>") == ["a", "b", "c", "d", "e", "f", "g h i", "j"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>Story.</p><div class='comment-list'>great post!</div><div class='user-comments'>me too</div><ul class='x newsletter-signup'><li>Join</li></ul></article>", "Story."),
+        ("<article><p>Lunch.</p><div class='menu'>Soup 5 EUR</div><ul class='related'><li>Work</li></ul><section id='search'>How search works</section><div class='promo'>A trailer</div></article>", "Lunch.\n\nSoup 5 EUR\n\nWork\n\nHow search works\n\nA trailer"),
+        ("<body><div class='content-header'><h1>Title</h1></div><div class='search-results-article'>Found.</div><div class='site-header'>Home</div><div class='main-nav'>About</div></body>", "Title\n\nFound."),
+        ("<body><div class='article-comments'>great</div><p>Text.</p></body>", "Text."),
+    ],
+)
+def test_names_that_mark_and_names_that_do_not(spark, page, want):
+    got = extract(spark.createDataFrame([(1, "http://a.com/x", page)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [want]
