@@ -31,8 +31,8 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT s_suppkey, CAST(unnest(list_distinct(list_append(range(0, n - 19, 12), n - 20))) AS BIGINT) AS start FROM (SELECT s_suppkey, CAST(greatest(20, 15 + s_nationkey) AS BIGINT) AS n FROM supplier) s",
     ),
     "r25_region_tiles": (
-        f"WITH {CELLS}, b AS (SELECT sample, cell_type, min(x) AS x0, max(x) AS x1 FROM cells GROUP BY 1, 2) SELECT sample, cell_type, CAST(k AS BIGINT) AS tile, round(x0 + 64 * k, 6) AS centre FROM (SELECT *, explode(sequence(0, 20)) AS k FROM b) t WHERE x0 + 64 * k < x1",
-        f"WITH {CELLS}, b AS (SELECT sample, cell_type, min(x) AS x0, max(x) AS x1 FROM cells GROUP BY 1, 2) SELECT sample, cell_type, CAST(k AS BIGINT) AS tile, round(x0 + 64 * k, 6) AS centre FROM b, range(0, 21) r(k) WHERE x0 + 64 * k < x1",
+        f"WITH {CELLS}, b AS (SELECT sample, cell_type, min(x) AS x0, max(x) AS x1 FROM cells GROUP BY 1, 2) SELECT sample, cell_type, CAST(k AS BIGINT) AS tile, round(x0 + 64 * k, 6) AS centre FROM (SELECT *, explode(sequence(0, CAST(ceil((x1 - x0) / 64) AS INT))) AS k FROM b) t WHERE x0 + 64 * k < x1",
+        f"WITH {CELLS}, b AS (SELECT sample, cell_type, min(x) AS x0, max(x) AS x1 FROM cells GROUP BY 1, 2) SELECT sample, cell_type, CAST(k AS BIGINT) AS tile, round(x0 + 64 * k, 6) AS centre FROM (SELECT *, unnest(range(0, CAST(ceil((x1 - x0) / 64) AS BIGINT) + 1)) AS k FROM b) t WHERE x0 + 64 * k < x1",
     ),
     "r28_bivariate_moran": f"""WITH {PX}, {AROUND}, g AS (SELECT sample, iy, ix, CAST(count_if(cell_type = 'click') AS DOUBLE) AS a, CAST(count_if(cell_type = 'error') AS DOUBLE) AS b FROM px GROUP BY 1, 2, 3),
       s AS (SELECT sample, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM g GROUP BY sample HAVING count(*) >= 4 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0),

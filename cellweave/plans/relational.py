@@ -59,7 +59,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "j20_best_overlap": """WITH m AS (SELECT l_suppkey AS a, l_partkey % 50 AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT a, sum(n) AS size FROM m GROUP BY a), r AS (SELECT m.a, m.b, CAST(m.n AS DOUBLE) / t.size AS frac, row_number() OVER (PARTITION BY m.a ORDER BY m.n DESC, m.b) AS k FROM m JOIN t ON m.a = t.a)
       SELECT a, b, round(frac, 8) AS frac FROM r WHERE k = 1""",
     "j22_ring_neighbours": f"""WITH {CELLS}, t AS (SELECT DISTINCT sample, CAST(floor(y / 10) AS BIGINT) AS iy, CAST(floor(x / 10) AS BIGINT) AS ix FROM cells), o AS (SELECT CAST(a.d AS BIGINT) AS dy, CAST(b.d AS BIGINT) AS dx FROM (VALUES (-2), (-1), (0), (1), (2)) AS a(d) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS b(d) WHERE a.d <> 0 OR b.d <> 0)
-      SELECT t.sample, t.iy, t.ix, o.dy, o.dx, coalesce(u.iy * 1000 + u.ix, -1) AS neighbour FROM t CROSS JOIN o LEFT JOIN t u ON u.sample = t.sample AND u.iy = t.iy + o.dy AND u.ix = t.ix + o.dx""",
+      SELECT t.sample, t.iy, t.ix, o.dy, o.dx, u.ix IS NOT NULL AS neighbour FROM t CROSS JOIN o LEFT JOIN t u ON u.sample = t.sample AND u.iy = t.iy + o.dy AND u.ix = t.ix + o.dx""",
     # aggregations
     "a1_value_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "a2_composition": f"WITH {CELLS} SELECT sample, count(*) AS n, round(avg(CASE WHEN cell_type = 'click' THEN 1.0 ELSE 0.0 END), 4) AS frac_click, round(avg(CASE WHEN cell_type = 'error' THEN 1.0 ELSE 0.0 END), 4) AS frac_error, round(avg(CASE WHEN cell_type = 'view' THEN 1.0 ELSE 0.0 END), 4) AS frac_view FROM cells GROUP BY sample".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"),
