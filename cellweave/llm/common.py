@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -138,8 +140,14 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def fresh() -> None:
-    """At the start of a task of another operator: a reused worker gives back what the tokenizing ones kept."""
+    """At the start of a task of another operator: a reused worker gives back what the tokenizing ones kept, and free memory to the system."""
     PieceCache._of.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 class Rolling:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import spread_join, stored, tune, utf8
+from .common import fresh, spread_join, stored, tune, utf8
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -22,13 +23,26 @@ def normalised(text: pa.Array) -> tuple[memoryview, list[int]]:
     return memoryview(LOWER[data]), offsets.tolist()
 
 
+def hashes(text: pa.Array, kind: str) -> list:
+    data, at = normalised(text)
+    return [hashlib.new(kind, data[a:b], usedforsecurity=False) for a, b in zip(at, at[1:], strict=False)]
+
+
+@F.arrow_udf(BinaryType())
+def fingerprint(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """128 bits of each normalised text's content."""
+    fresh()
+    for text in parts:
+        yield pa.array([h.digest() for h in hashes(text, "md5")], pa.binary())
+
+
 @F.arrow_udf(StructType([StructField("h", BinaryType()), StructField("sha", StringType())]))
-def digests(text: pa.Array) -> pa.Array:
+def digests(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """128 bits of each normalised text's content, and its SHA-256."""
-    data, at = normalised(text)
-    parts = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-    h, sha = [hashlib.md5(p, usedforsecurity=False).digest() for p in parts], [hashlib.sha256(p).hexdigest() for p in parts]
-    return pa.StructArray.from_arrays([pa.array(h, pa.binary()), pa.array(sha, pa.string())], ["h", "sha"])
+    fresh()
+    for text in parts:
+        h, sha = [h.digest() for h in hashes(text, "md5")], [h.hexdigest() for h in hashes(text, "sha256")]
+        yield pa.StructArray.from_arrays([pa.array(h, pa.binary()), pa.array(sha, pa.string())], ["h", "sha"])
 
 
 @F.arrow_udf(BinaryType())
@@ -54,10 +68,10 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     names = docs.columns
     own = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names of the input cannot clash with those below
     doc, text = f"c{names.index('doc_id')}", F.col(f"c{names.index('text')}").cast("string")
-    prints = own.select(F.col(doc).alias("doc"), digests(text)["h"].alias("h"))
+    prints = own.select(F.col(doc).alias("doc"), fingerprint(text).alias("h"))
     again = stored(prints.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "again")
     total = docs.count()
-    rows = spread_join(own.select(F.col(doc).alias("doc"), text.alias("text"), digests(text)["h"].alias("h")), again, ["h"], "n", total, ["doc"])
+    rows = spread_join(own.select(F.col(doc).alias("doc"), text.alias("text"), fingerprint(text).alias("h")), again, ["h"], "n", total, ["doc"])
     groups = rows.select("h", "doc", norm("text").alias("norm")).groupBy("h", "norm").agg(best("doc").alias("keep_id"), F.count("*").alias("group_size"))
     groups = stored(groups.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "groups")
     out = own.withColumn("d", digests(text)).select(*own.columns, "d.h", "d.sha")

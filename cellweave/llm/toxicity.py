@@ -247,6 +247,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
         for s in parts:
             yield pd.Series([m.score(t or "") for t in s], dtype="float64")
         m.lexicon.clear()  # a reused worker keeps the broadcast model
+        fresh()
 
     own = docs.drop("held_out", "score", "predicted")
     out = own.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score(F.col("text").cast("string")))
