@@ -69,33 +69,42 @@ def merge_lobes(members: DataFrame, shares: DataFrame, touch: float = 0.5, part:
 
     members(sample, chain, z, region), shares(sample, z, a, b, share) for two regions of a section in any order. In order of
     the chains the first pair that touches (share of at least `touch`) on `least` sections and on a `part` of the shared ones
-    is merged, and the search begins anew; of two regions of a group on one section the later chain's counts. A sample is
-    a case: its chains, not its pixels, are in the task.
+    is merged, and the search begins anew; of two regions of a group on one section the later chain's counts. Chains that no
+    touching shares connect can never meet, so a task holds one connected group of chains. chain is below 2^32.
     """
-
-    def merge(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        share = {}
-        for z, a, b, v in zip(table.z, table.a, table.b, table.share, strict=True):
-            share[z, a, b] = share[z, b, a] = v
-        own = own.sort_values(["chain", "z", "region"])
-        groups = [([c], dict(zip(g.z, g.region, strict=True))) for c, g in own.groupby("chain")]
-
-        def meets(p: dict, q: dict) -> bool:
-            common = p.keys() & q.keys()
-            n = sum(share.get((z, p[z], q[z]), 0.0) >= touch for z in common)
-            return n >= least and n >= np.ceil(part * len(common))
-
-        def first() -> tuple[int, int] | None:
-            return next(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if meets(groups[i][1], groups[j][1])), None)
-
-        while pair := first():
-            i, j = pair
-            chains = sorted(groups[i][0] + groups.pop(j)[0])
-            rows = own[own.chain.isin(chains)]
-            groups[i] = chains, dict(zip(rows.z, rows.region, strict=True))
-        return pd.DataFrame([(own["sample"].iloc[0], c, chains[0]) for chains, _ in groups for c in chains], columns=["sample", "chain", "merged"])
-
-    return members.groupBy("sample").cogroup(shares.groupBy("sample")).applyInPandas(_some(merge, ["sample", "chain", "merged"]), "sample long, chain long, merged long")
+    node = F.col("sample") * (1 << 32) + F.col("chain")
+    at = members.select("sample", "z", "region", node.alias("node")).distinct()
+    end = lambda k: at.select("sample", "z", F.col("region").alias(k), F.col("node").alias(f"n{k}"))
+    close = shares.filter(F.col("share") >= touch)
+    edges = close.join(end("a"), ["sample", "z", "a"]).join(end("b"), ["sample", "z", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a <> b").distinct()
+    label = _cut(components(members.select(node.alias("node")).distinct(), edges))
+    own = members.withColumn("node", node).join(label, "node").select("component", "sample", "chain", "z", "region")
+    met = close.join(end("a").withColumnRenamed("na", "node"), ["sample", "z", "a"]).join(label.withColumnRenamed("component", "of"), "node").select("of", "z", "a", "b", "share").distinct()
+    work = lambda own, table: merged_chains(own, table, touch, part, least)
+    return own.groupBy("component").cogroup(met.groupBy("of")).applyInPandas(_some(work, ["sample", "chain", "merged"]), "sample long, chain long, merged long")
+
+
+def merged_chains(own: pd.DataFrame, table: pd.DataFrame, touch: float, part: float, least: int) -> pd.DataFrame:
+    share = {}
+    for z, a, b, v in zip(table.z, table.a, table.b, table.share, strict=True):
+        share[z, a, b] = share[z, b, a] = v
+    own = own.sort_values(["chain", "z", "region"])
+    groups = [([c], dict(zip(g.z, g.region, strict=True))) for c, g in own.groupby("chain")]
+
+    def meets(p: dict, q: dict) -> bool:
+        common = p.keys() & q.keys()
+        n = sum(share.get((z, p[z], q[z]), 0.0) >= touch for z in common)
+        return n >= least and n >= np.ceil(part * len(common))
+
+    def first() -> tuple[int, int] | None:
+        return next(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if meets(groups[i][1], groups[j][1])), None)
+
+    while pair := first():
+        i, j = pair
+        chains = sorted(groups[i][0] + groups.pop(j)[0])
+        rows = own[own.chain.isin(chains)]
+        groups[i] = chains, dict(zip(rows.z, rows.region, strict=True))
+    return pd.DataFrame([(own["sample"].iloc[0], c, chains[0]) for chains, _ in groups for c in chains], columns=["sample", "chain", "merged"])
 
 
 def _some(work, columns: list[str]):

@@ -150,6 +150,19 @@ def test_stitching_follows_the_curve(spark):
     assert {r.object: r.stitched for r in linking.stitch(off, none).collect()} == {1: 1, 9: 1, 3: 3}
 
 
+def test_lobes_of_connected_chains_merge_as_in_the_whole_case(spark):
+    rng = np.random.default_rng(1)
+    members = [(s, c, z, 100 * c + int(rng.integers(0, 2))) for s in (0, 1) for c in range(14) for z in range(*sorted(rng.choice(12, 2, replace=False)))]
+    shares = [(s, z, a, b, float(rng.choice([0.2, 0.6, 0.9]))) for s, c, z, a in members for t, d, y, b in members if s == t and z == y and c < d <= c + 2 and rng.random() < 0.5]
+    df = [spark.createDataFrame(members, "sample long, chain long, z long, region long"), spark.createDataFrame(shares, "sample long, z long, a long, b long, share double")]
+    got = {(r["sample"], r.chain): r.merged for r in linking.merge_lobes(*df).collect()}
+    want = {}
+    for s in (0, 1):
+        own, table = (d.filter(f"sample = {s}").toPandas() for d in df)
+        want |= {(s, int(r.chain)): int(r.merged) for r in linking.merged_chains(own, table, 0.5, 0.5, 2).itertuples()}
+    assert got == want and 4 < len(set(want.items())) and len({(k[0], v) for k, v in want.items()}) < len(want) - 3
+
+
 def test_stitching_equals_a_walk_over_all_pairs(spark):
     """Supported gaps, bends, conflicts for an end, and joins of later rounds, against all ends compared with all others."""
     rng = np.random.default_rng(5)
