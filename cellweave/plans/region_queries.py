@@ -230,9 +230,18 @@ def x15_thickest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.thickest(mask(spark, sf_dir), NX, NY).withColumn("diameter", F.round("diameter", 6))
 
 
+def uniform(*key: str):
+    """In 0..1 from 20 bits of the key's MD5, which every engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key])), 1, 5), 16, 10).cast("long") / float(1 << 20)
+
+
+def uniform_sql(*key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(key)})), 1, 5))::BIGINT / 1048576.0::DOUBLE)"
+
+
 def poisson(*key: str):
     """A resampling weight of mean 1 from a hash of the key: the same on every run and however rows are dealt."""
-    u = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
+    u = uniform(*key)
     return F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.9810, 3).otherwise(4)
 
 
@@ -241,40 +250,46 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")).join(d, "doc_id")
 
 
-@query()
+TEXTS = "WITH s AS (SELECT l.doc_id, l.quality AS y, d.source, d.lang, (d.n_chars % 997) / 997.0::DOUBLE AS p FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(f"""{TEXTS}, g AS (SELECT lang, source, count(*) AS n, sum(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END - CASE WHEN (p >= 0.3) = (y = 1) THEN 1 ELSE 0 END) AS d FROM s GROUP BY 1, 2), u AS (SELECT *, {uniform_sql('lang', 'source', 'rep')} AS u FROM g, range(0, 1000) r(rep)),
+  w AS (SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.9810 THEN 3 ELSE 4 END AS w FROM u), m AS (SELECT lang, rep, sum(w * d) / nullif(sum(w * n), 0)::DOUBLE AS m FROM w GROUP BY 1, 2) SELECT lang, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m GROUP BY lang""")
 def a24_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % interval of the difference of two scorers' accuracy: patients are resampled within their stratum, after their
     rows were added up, so replicates multiply patients and never rows."""
     s = scores(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int") - ((F.col("p") >= 0.3).cast("int") == F.col("y")).cast("int")).alias("d"))
     r = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn("w", poisson("lang", "source", "rep"))
     m = r.groupBy("lang", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    return m.groupBy("lang").agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    return m.groupBy("lang").agg(F.round(F.expr("percentile(m, 0.025)"), 8).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 8).alias("high"))
 
 
-@query()
+@query(f"""{TEXTS}, c AS (SELECT count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM s), d AS (SELECT s.*, rep FROM s, c, range(0, 100) r(rep) WHERE y = 0 OR {uniform_sql('doc_id', 'rep')} < least(1.0::DOUBLE, 0.05 / 0.95::DOUBLE * neg / pos)), t AS (SELECT rep, p, count(*) AS n, sum(y) AS k FROM d GROUP BY 1, 2),
+  a AS (SELECT *, sum(k) OVER w AS tp, sum(n) OVER w AS at_ FROM t WINDOW w AS (PARTITION BY rep ORDER BY p DESC)), m AS (SELECT rep, sum(k * tp / at_::DOUBLE) / nullif(sum(k), 0) AS ap FROM a GROUP BY rep) SELECT round(avg(ap), 8) AS mean_ap, round(stddev_samp(ap), 8) AS sd_ap FROM m""")
 def a25_prevalence_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision at a prevalence of 0.05: negatives stay, positives are drawn by hash at the rate that gives it; 100 draws."""
     s = scores(spark, sf_dir)
     c = s.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     rate = F.least(F.lit(1.0), 0.05 / 0.95 * F.col("neg") / F.col("pos"))
-    u = F.pmod(F.xxhash64("doc_id", "rep"), F.lit(1 << 20)) / float(1 << 20)
+    u = uniform("doc_id", "rep")
     drawn = s.crossJoin(F.broadcast(c)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).filter((F.col("y") == 0) | (u < rate))
     t = drawn.groupBy("rep", "p").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
     up = Window.partitionBy("rep").orderBy(F.desc("p"))
     a = t.withColumn("tp", F.sum("k").over(up)).withColumn("at", F.sum("n").over(up)).groupBy("rep").agg((F.sum(F.col("k") * F.col("tp") / F.col("at")) / F.nullif(F.sum("k"), F.lit(0))).alias("ap"))
-    return a.agg(F.avg("ap").alias("mean_ap"), F.stddev_samp("ap").alias("sd_ap"))
+    return a.agg(F.round(F.avg("ap"), 8).alias("mean_ap"), F.round(F.stddev_samp("ap"), 8).alias("sd_ap"))
 
 
-@query()
+@query(f"""WITH {CELLS}, m AS (SELECT sample, avg(x) AS v FROM cells GROUP BY 1), r AS (SELECT *, CASE WHEN rep = 0 THEN sample / 1000.0::DOUBLE ELSE {uniform_sql('sample', 'rep')} END AS place FROM m, range(0, 201) r(rep)), s AS (SELECT rep, abs(v - lag(v) OVER (PARTITION BY rep ORDER BY place, sample)) AS step FROM r), t AS (SELECT rep, sum(step) AS total FROM s GROUP BY rep)
+  SELECT round(a.total, 6) AS real, (1 + count(CASE WHEN b.total <= a.total THEN 1 END)) / (1 + count(*))::DOUBLE AS p_value FROM t a JOIN t b ON a.rep = 0 AND b.rep > 0 GROUP BY a.total""")
 def a30_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of 200 reorderings of the sections whose summed step of neighbouring sections' means is no larger than the real one."""
     m = cells(spark, sf_dir).groupBy("sample").agg(F.avg("x").alias("v"))
     r = m.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(200))))
-    order = F.when(F.col("rep") == 0, F.col("sample")).otherwise(F.xxhash64("sample", "rep"))
+    order = F.when(F.col("rep") == 0, F.col("sample") / 1000.0).otherwise(uniform("sample", "rep"))
     step = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("rep").orderBy(order, "sample")))
     t = r.withColumn("step", step).groupBy("rep").agg(F.sum("step").alias("total"))
     real = t.filter("rep = 0").select(F.col("total").alias("real"))
-    return t.filter("rep > 0").crossJoin(F.broadcast(real)).groupBy("real").agg(((1 + F.count_if(F.col("total") <= F.col("real"))) / (1 + F.count("*"))).alias("p_value"))
+    return t.filter("rep > 0").crossJoin(F.broadcast(real)).groupBy("real").agg(((1 + F.count_if(F.col("total") <= F.col("real"))) / (1 + F.count("*"))).alias("p_value")).withColumn("real", F.round("real", 6))
 
 
 @query()
