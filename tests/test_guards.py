@@ -1,9 +1,11 @@
 """Guards let right tables through and name what is wrong in others; metrics without positives or negatives are null."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import guards, metrics
+from cellweave.operators import guards, layout, metrics
 
 
 def test_guards(spark):
@@ -40,3 +42,22 @@ def test_metrics_of_one_sided_classes(spark):
     assert roc["both"].auc == (0.5 * 2 * 2 + 1 * 2 + 0) / 9
     ap = {r["class"]: r.ap for r in metrics.weighted_precision(df).collect()}
     assert ap["pos"] is None and ap["neg"] is None and abs(ap["both"] - (1 / 2 + 2 / 4 + 3 / 6) / 3) < 1e-12
+
+
+def test_coverage_of_valid_pixels(spark):
+    rng = random.Random(3)
+    tiles = [(s, rng.randint(0, 12), rng.randint(0, 12), rng.randint(1, 8), rng.randint(1, 8)) for s in (1, 2) for _ in range(25)]
+    valid = [(s, y, x) for s in (1, 2, 3) for y in range(14) for x in range(14) if rng.random() < 0.4]
+    count = lambda s, y, x: sum(t == s and a <= y < a + h and b <= x < b + w for t, a, b, h, w in tiles)
+    df = spark.createDataFrame(tiles, "sample long, y0 long, x0 long, h long, w long"), spark.createDataFrame(valid, "sample long, iy long, ix long")
+    assert {(r["sample"], r.iy, r.ix): r.covered for r in layout.coverage(*df).collect()} == {k: count(*k) for k in valid}
+    with pytest.raises(guards.Rejected, match="uncovered"):
+        layout.verified(*df)
+    whole = spark.createDataFrame([(s, 0, 0, 14, 14) for s in (1, 2, 3)], "sample long, y0 long, x0 long, h long, w long")
+    assert {r["sample"]: r.least for r in layout.verified(whole, df[1]).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_serpentine(spark):
+    rows = [(1, k, float(k % 3), float(k // 3)) for k in range(9)] + [(2, 100, 5.0, 5.0), (3, 101, 1.0, 2.0), (3, 102, 0.0, 2.0)]
+    got = {r.id: r.place for r in layout.serpentine(spark.createDataFrame(rows, "sample long, id long, x double, y double")).collect()}
+    assert [got[k] for k in range(9)] == [1, 2, 3, 6, 5, 4, 7, 8, 9] and got[100] == 1 and (got[101], got[102]) == (2, 1)
