@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
+from .turn_repair_sql import SQL as OP12_SQL
 
 TOXIC = 0.3
 
@@ -125,4 +126,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op12_turn_repair": OP12_SQL}

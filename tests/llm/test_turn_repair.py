@@ -5,10 +5,11 @@ import heapq
 import random
 import zlib
 
+import duckdb
 import pandas as pd
 import pytest
 
-from cellweave.llm.queries import damaged, op12_turn_repair
+from cellweave.llm.queries import damaged, op12_turn_repair, oracle_sql
 from cellweave.llm.turn_repair import BLOCK, Parser, repair, replay
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +114,20 @@ def test_query(spark):
     assert got == broken(list(rows.itertuples(index=False, name=None)))
 
 
+def test_sql(spark):
+    """The query's SQL gives the same rows, nulls and hard texts included."""
+    rng = random.Random(8)
+    rows = [(None, None, None, None), (1, None, "user", None), (1, 2, None, "x. \n")]
+    rows += [(rng.randint(2, 12), rng.choice([None, *range(9)]), rng.choice(["user", "assistant", "system", "tool", ""]), rng.choice(["a.", "b", "", " \t", "é!\x0b", "line\nline?", "wait..."])) for _ in range(70)]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("frame", conversations)
+    con.execute("CREATE TABLE conversations AS SELECT * FROM frame")
+    want = {r[0]: r[1:] for r in con.execute(oracle_sql()["op12_turn_repair"]).fetchall()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert by_conversation(repair(damaged(df), gone="gone")) == want
+
+
 def test_hard_rows(spark):
     """Nulls everywhere, repeated rows, other initials, a hot conversation with one text many times, and clashing names."""
     rng = random.Random(3)
