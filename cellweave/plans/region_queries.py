@@ -173,9 +173,7 @@ def j21_best_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of a nation as they were (one half of the order lines) and are (the other half), matched by the parts they share."""
     half = lambda k: table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") % 2 == k).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("long").alias("sample"), F.col("l_suppkey").cast("long").alias("id"), (F.col("l_partkey") % 200).alias("m")).distinct()
     old, new = half(0).withColumnRenamed("id", "old"), half(1).withColumnRenamed("id", "new")
-    size = lambda d, k: d.groupBy(k).agg(F.count("*").alias("n_" + k))
-    n = old.join(new, ["sample", "m"]).groupBy("sample", "old", "new").agg(F.count("*").alias("n")).join(size(old, "old"), "old").join(size(new, "new"), "new")
-    return grouped.best_jaccard(n.select("sample", "old", "new", (F.col("n") / (F.col("n_old") + F.col("n_new") - F.col("n"))).alias("jaccard")))
+    return grouped.best_sets(old, new)
 
 
 @query("WITH RECURSIVE o AS (SELECT o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders), e AS (SELECT DISTINCT a.c AS a, b.c AS b FROM o a JOIN (SELECT v, min(c) AS c FROM o GROUP BY v) b ON a.v = b.v), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT c AS a, c AS b FROM o UNION SELECT r.a, f.b FROM r JOIN f ON r.b = f.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
