@@ -76,7 +76,7 @@ def parts_by_shape(parts: DataFrame, at: DataFrame, density: DataFrame, nx: Data
     round_ = boxed(parts.filter("not long").select("sample", "region", "iy", "ix"), density, nx, ny, 0)
 
     def split(m: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
-        return basins_of(d, m, r.apart, r.peak / top if (top := float(d[m].max())) > 0 else 0.0, np.inf) if m.any() and d[m].max() >= r.peak else [m]
+        return basins_of(d, m, r.apart, r.peak / top if (top := float(d[m].max())) > 0 else 0.0, np.inf) if m.any() and d[m].max() >= r.peak else m.astype(np.int64)
 
     compact = _each(round_, split)
     long = parts.filter("long")
