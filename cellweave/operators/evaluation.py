@@ -130,7 +130,11 @@ def spread_anchors(candidates: DataFrame, square: float = 600.0, first: float =
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
         p, chosen, apart = own[["x", "y"]].to_numpy(float), own.index[own.best].tolist(), first
-        gap = np.min([np.hypot(*(p - p[i]).T) for i in chosen], axis=0)
+        if len(chosen) >= wanted:  # no other can be chosen
+            return own[own.best][["sample", "id", "x", "y", "score", "best"]]
+        gap = np.full(len(p), np.inf)
+        for i in chosen:
+            gap = np.minimum(gap, np.hypot(*(p - p[i]).T))
         while apart >= last:
             for i in range(len(p)):
                 if len(chosen) < wanted and gap[i] >= apart:
