@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "_manifest.json"
+#: Rows of a split that go to one task together.
+BLOCK = 1 << 18
 
 
 class Incomplete(ValueError):
@@ -71,7 +73,8 @@ def publish(spark: SparkSession, shards: list[str], path: str, key: str, expecte
     if wrong := odd.select(F.coalesce(counts[key], expected[key]).cast("string").alias("k"), F.col("n").isNull().alias("missing")).limit(20).collect():
         raise Incomplete(f"missing {sorted(str(r.k) for r in wrong if r.missing)}, unexpected {sorted(str(r.k) for r in wrong if not r.missing)}")
     whole = f"{path}.whole-{uuid.uuid4().hex}"
-    rows.repartition(key).write.partitionBy(key).parquet(whole)
+    block = F.floor(F.monotonically_increasing_id() / BLOCK)  # so that no task holds a whole key
+    rows.repartition(F.col(key), block).write.partitionBy(key).parquet(whole)
     told = spark.read.parquet(whole).groupBy(key).count()
     total, n_keys = told.agg(F.sum("count"), F.count("*")).first()
     told.select(F.col(key).cast("string").alias("key"), "count").coalesce(1).write.json(f"{whole}/_counts")
