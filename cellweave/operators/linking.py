@@ -287,3 +287,27 @@ def curve_models(points: DataFrame, rms: float = 30.0, radius: float = 150.0, sl
         return pd.DataFrame([(pdf["sample"].iloc[0], pdf.object.iloc[0], *pick)], columns=["sample", "object", "model", "rms", "curvature"])
 
     return points.groupBy("sample", "object").applyInPandas(choose, "sample long, object long, model string, rms double, curvature double")
+
+
+def lane_nearest(own: DataFrame, other: DataFrame, width: float, k: int = 2, reach: int = 4) -> DataFrame:
+    """own(z, kind, lane, x, y), other the same: (z, kind, lane, to, d, rank), the `k` nearest of `other` with that z and kind, by distance to nine digits,
+    then lane. A lane is a stretch of y of `width`, so lanes more than n apart are more than n * width apart: a few lanes around are looked at, four times
+    as many for those whose k-th could be farther, never all by all."""
+    key, order = ["z", "kind"], Window.partitionBy("z", "kind", "lane").orderBy(F.round("d", 9), "to")
+    there = other.groupBy(*key).agg(F.min("lane").alias("lo"), F.max("lane").alias("hi"))
+    rest, out = _cut(own.join(there, key)), None
+    far = other.select(*key, F.col("lane").alias("to"), F.col("x").alias("u"), F.col("y").alias("v"))
+    while True:
+        first, last = F.greatest(F.col("lane") - reach, F.col("lo")), F.least(F.col("lane") + reach, F.col("hi"))
+        seen = rest.filter(first <= last).withColumn("to", F.explode(F.sequence(first, last))).join(far, [*key, "to"])
+        dx, dy = F.col("x") - F.col("u"), F.col("y") - F.col("v")
+        best = seen.withColumn("d", F.sqrt(dx * dx + dy * dy)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        every = (F.col("lane") - reach <= F.col("lo")) & (F.col("lane") + reach >= F.col("hi"))
+        kth = F.max(F.when(F.col("rank") == k, F.col("d"))).over(Window.partitionBy("z", "kind", "lane"))
+        sure = F.coalesce(every | (kth < width * reach - 1e-6), F.lit(False))
+        done = _cut(best.withColumn("sure", sure).filter("sure").select(*key, "lane", "to", "d", "rank"))
+        out = done if out is None else out.unionByName(done)
+        rest = _cut(rest.join(done.select(*key, "lane").distinct(), [*key, "lane"], "left_anti"))
+        if rest.isEmpty():
+            return out
+        reach *= 4

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import grouped, regions, spatial
-from cellweave.operators.graph import components
+from cellweave.operators import grouped, linking, regions, spatial
+from cellweave.operators.graph import _cut, components
 from cellweave.sources.tables import cells, table
 
 from .catalog import DISK, MASK, NX, NY, QUERIES, _sql, framed_cells, framed_density, framed_mask, mask, query
@@ -76,6 +76,24 @@ for _name, _text in SQL.items():
     QUERIES[_name] = (_sql(_text if isinstance(_text, str) else _text[0]), oracle(_text))
 
 
+def j16_adaptive_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes of a cell type that are nearest to each other in successive sections, without a table of all pairs of lanes."""
+    n = cells(spark, sf_dir).groupBy(F.col("sample").alias("z"), F.col("cell_type").alias("kind"), F.floor(F.col("y") / 40).alias("lane")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), (10 * F.sqrt(F.count("*") / F.pi())).alias("rad"))
+    a = _cut(n)
+    b = a.withColumn("z", F.col("z") - 1)
+    to, back = linking.lane_nearest(a, b, 40.0), linking.lane_nearest(b, a, 40.0, k=1)
+    key = ["z", "kind"]
+    pairs = to.groupBy(*key, F.col("lane").alias("a")).agg(*[F.max(F.when(F.col("rank") == i, F.col(c))).alias(k) for i, c, k in ((1, "to", "b"), (1, "d", "d"), (2, "d", "second"))])
+    mutual = pairs.join(back.select(*key, F.col("lane").alias("b"), F.col("to").alias("a")), [*key, "a", "b"])
+    size = lambda df, k: df.select(*key, F.col("lane").alias(k), F.col("rad").alias(f"rad_{k}"))
+    full = mutual.join(size(a, "a"), [*key, "a"]).join(size(b, "b"), [*key, "b"]).withColumn("tolerance", F.greatest(F.lit(17.0), 0.8 * (F.col("rad_a") + F.col("rad_b"))))
+    margin = F.round(F.col("second") / F.nullif(F.col("d"), F.lit(0.0)), 6).alias("margin")
+    return full.filter(F.col("d") <= F.col("tolerance")).select("z", F.col("kind").alias("cell_type"), "a", "b", F.round("d", 6).alias("d"), F.round("tolerance", 6).alias("tolerance"), margin)
+
+
+QUERIES["j16_adaptive_links"] = (j16_adaptive_links, QUERIES["j16_adaptive_links"][1])
+
+
 def layer(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return spatial.rasterise(cells(spark, sf_dir).filter(F.col("cell_type") == kind), NX, NY)
 

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.operators import grouped, pieces, spatial
 from cellweave.plans.catalog import QUERIES
@@ -60,3 +61,65 @@ def test_equal_scores_stay_equal_in_any_order(spark, tmp_path, order):
     rows = [(k, n, q[n - 1] if n <= 3 else q[order[n - 4]]) for k, q in enumerate(quantity) for n in range(1, 7)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.typed for r in QUERIES["e3_marker_argmax"][0](spark, str(tmp_path)).collect()} == {"A"}
+
+
+def test_anchors_of_many_squares_are_their_best(spark, monkeypatch):
+    """With enough squares none is added, so no distances are taken: a table of all squares by all candidates took the memory."""
+    rows = [(1, k, float(k % 50 * 100 + k % 7), float(k // 50 * 10), float(k % 13)) for k in range(2000)]
+    kind = spark.createDataFrame(rows, "sample long, id long, x double, y double, score double")
+    from cellweave.operators import evaluation
+
+    got = evaluation.spread_anchors(kind, square=100.0, first=0.0, last=0.0, step=1.0, wanted=12).collect()
+    best = {}
+    for _, i, x, y, s in rows:
+        square = (x // 100, y // 100)
+        best[square] = max(best.get(square, (-1.0, 0)), (s, -i))
+    assert {r.id for r in got} == {-i for _, i in best.values()} and all(r.best for r in got)
+
+
+def test_replicate_medians_in_and_outside_the_narrow_range(spark):
+    """Values in two far clusters, of which resamples take either, and plain ones; a margin that is too small falls back on all rows."""
+    rng = np.random.default_rng(4)
+    rows = [(g, k, float(v)) for g, n in ((1, 60), (2, 3000), (3, 1)) for k, v in enumerate(np.where(rng.random(n) < 0.5, 0, 1000) + rng.random(n))] + [(2, -1, None)]
+    df = spark.createDataFrame(rows, "g long, k long, v double")
+    weight = F.pmod(F.xxhash64("g", "k", "rep"), F.lit(4)).cast("int")
+    r = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("w", weight).filter("w > 0 and v is not null")
+    want = {(x.g, x.rep): x.m for x in r.groupBy("g", "rep").agg(F.expr("percentile(v, 0.5, w)").alias("m")).collect()}
+    for margin in (4.0, 0.0):
+        assert {(x.g, x.rep): x.m for x in grouped.replicate_medians(df, "g", "v", weight, 30, margin).collect()} == want
+
+
+def test_published_key_is_dealt_over_tasks(spark, tmp_path):
+    from cellweave.sources import publish
+
+    path = f"{tmp_path}/out"
+    rows = spark.range(0, 3 * publish.BLOCK, 1, 1).select(F.lit("one").alias("k"), "id")
+    publish.publish(spark, [publish.stage(rows, path)], path, "k", spark.createDataFrame([("one",)], "k string"))
+    per = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in per) == 3 * publish.BLOCK and max(r["count"] for r in per) < 3 * publish.BLOCK
+
+
+def test_near_pairs_across_bucket_borders(spark):
+    rng = np.random.default_rng(9)
+    p = np.round(rng.random((300, 2)) * 12 - 6)
+    schema = "sample long, cell_id long, x double, y double"
+    df = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate(p)], schema)
+    got = [(r.a, r.b) for r in spatial.near_pairs(df, df, 2.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(300) for j in range(300) if ((p[i] - p[j]) ** 2).sum() <= 4}
+
+
+def test_nearest_lanes_are_those_of_all_pairs(spark):
+    from cellweave.operators import linking
+
+    rng = np.random.default_rng(8)
+    lanes = lambda n, most: sorted(rng.choice(most, n, replace=False).tolist())
+    sides = [[(z, k, lane, float(rng.integers(0, 300)), float(lane * 10 + rng.integers(0, 10))) for z, k in ((1, "x"), (2, "x"), (2, "y")) for lane in lanes(n, 400)] for n in (60, 40)]
+    sides[1].append((7, "x", 5000, 0.0, 50_000.0))
+    sides[0].append((7, "x", 2, 0.0, 20.0))  # one far candidate alone
+    own, other = (spark.createDataFrame(s, "z long, kind string, lane long, x double, y double") for s in sides)
+    got = {(r.z, r.kind, r.lane, r["rank"]): r.to for r in linking.lane_nearest(own, other, 10.0).collect()}
+    want = {}
+    for z, k, lane, x, y in sides[0]:
+        near = sorted((round(float(np.sqrt((x - u) ** 2 + (y - v) ** 2)), 9), to) for w, m, to, u, v in sides[1] if (w, m) == (z, k))
+        want |= {(z, k, lane, i): to for i, (_, to) in enumerate(near[:2], 1)}
+    assert got == want
