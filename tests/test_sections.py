@@ -83,6 +83,34 @@ def test_tracts_keep_lines_and_drop_blobs(spark):
     assert pieces.tracts(p.filter("x < 0"), 60, 60).count() == 0
 
 
+def test_tracts_many_at_a_time(spark, monkeypatch, capsys):
+    """A task draws many tracts at once: the same figures as one by one, those of the cheapest tree, and no group for each tract."""
+    rows, reach = [], 22.0
+    for k in range(30):
+        x, y = 40.0 + np.cumsum(RNG.uniform(5, 25, 12)), 60.0 * k + 30 + np.cumsum(RNG.uniform(-4, 4, 12))
+        rows += [(1 + k % 2, 1000 - 20 * k + i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    p = spark.createDataFrame(rows, "sample long, cell_id long, x double, y double")
+    found = pieces.tracts(p, 60, 190, link=26.0, reach=reach, least=3, wide=1, major=60.0, aspect=1.5)
+    got = {r.tract: r for r in found.collect()}
+    monkeypatch.setattr(pieces, "TRACTS_AT_ONCE", 1)
+    assert {r.tract: r for r in pieces.tracts(p, 60, 190, link=26.0, reach=reach, least=3, wide=1, major=60.0, aspect=1.5).collect()} == got
+    assert 0 < len(got) < 30
+    at = {i: (s, a, b) for s, i, a, b in rows}
+    for t, r in got.items():
+        own = {i: v[1:] for i, v in at.items() if t <= i < t + 12 and v[0] == r["sample"]}
+        d = lambda a, b: float(np.sqrt((own[a][0] - own[b][0]) ** 2 + (own[a][1] - own[b][1]) ** 2))  # noqa: B023
+        tree, group = [], {i: {i} for i in own}
+        for w, a, b in sorted((d(a, b), a, b) for a, b in itertools.combinations(sorted(own), 2)):
+            if w <= 26.0 and group[a] is not group[b]:
+                tree.append((a, b))
+                group |= dict.fromkeys(group[a] | group[b], group[a] | group[b])
+        drawn = {q for a, b in tree for q in pieces.line(*(int(v // 10) for v in own[a][::-1]), *(int(v // 10) for v in own[b][::-1]))}
+        assert {(q.iy, q.ix) for q in r.pixels} == {(y + a, x + b) for y, x in drawn for a, b in pieces.disk(1)} and r.n == 12
+        assert abs(r.median_nn - np.median([min(d(a, b) for b in own if b != a) for a in own])) < 1e-9
+    found.explain()
+    assert "InPandas" not in capsys.readouterr().out
+
+
 def test_lines_join_their_ends():
     for a, b, c, d in itertools.product((0, 3, 7), repeat=4):
         got = pieces.line(a, b, c, d)
