@@ -1,21 +1,26 @@
-"""Main text of web pages: structure first, then a host-wide suffix array for pages whose structure does not tell.
+"""Main text of web pages by a host-wide suffix array, with an exact check by structure.
 
-A page with an article or main element holds its text there. On other pages every block outside menus, headers, footers,
-sidebars, forms and the like is a candidate; a page's candidates are one token stream, the suffixes of a host's streams
-are sorted, and what a substring repeated on another page covers is boilerplate, of which only unique runs stay.
+Every block outside menus, headers, footers, sidebars, forms and the like is a candidate. Each page's candidates are token
+streams, one of what an article or main element holds and one of the rest; the suffixes of all streams of a host are
+sorted, and a substring repeated on another page covers its tokens. Only unique runs stay; on pages with an article the
+check gives back covered text, as copies share articles, but for standing blocks (see `standing`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts, tune
+from .common import U, discard, mix, signed, spread_join, stored, texts, tune, utf8, words
+from .windows import contexts, pieces, union
 
 #: Fixed values of the HTML standard: elements without an end tag, elements that break a line of text, elements without prose.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,23 +85,32 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 out.append((whole, bool(stack and stack[-1][2])))
             text.clear()
 
-    at, n = 0, len(page)
+    at, n, match = 0, len(page), TOKEN.match
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2] or m[5]
+        if page[at] != "<":
+            start, at = at, page.find("<", at)
+            at = n if at < 0 else at
+            if not (stack and stack[-1][1]):
+                text.append(html.unescape(page[start:at]))
+            continue
+        m = match(page, at)
+        start, at = at, m.end()
+        slash, tag, attributes, slash2, tag2, attributes2 = m.groups()
+        tag = tag or tag2
         if tag is None:
-            if page[m.start()] != "<" or m.end() == m.start() + 1:
-                if not (stack and stack[-1][1]):
-                    text.append(html.unescape(m[0]))
+            if at == start + 1 and not (stack and stack[-1][1]):
+                text.append("<")
             continue
-        tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        tag, closing, attributes = tag.lower(), slash or slash2, attributes or attributes2 or ""
         if tag in BREAKS:
-            flush()
+            if text:
+                flush()
         elif tag == "br":
             text.append(" ")
         if closing:
-            if any(s[0] == tag for s in stack):
+            if stack and stack[-1][0] == tag:
+                stack.pop()
+            elif any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
@@ -113,7 +127,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 break
         if tag in VOID or attributes.endswith("/") and tag not in BREAKS:
             continue
-        stack.append((tag, skipped or own, main or tag in ("article", "main") or "role=" in attributes and re.search(r"role=.?(main|article)\b", attributes) is not None))
+        stack.append((tag, skipped or own, main or tag == "article" or tag == "main" or bool(attributes) and "role=" in attributes and re.search(r"role=.?(main|article)\b", attributes) is not None))
     flush()
     return out
 
@@ -134,12 +148,28 @@ def repeated(streams: DataFrame, least: int = 8, depth: int = 24, part: int = 20
     same page to the nearest of another one, tell what a suffix shares with other pages. As a suffix begins at each token,
     suffixes of `depth` tokens cover repeated substrings of any length. A task holds `part` suffixes at a time.
     """
-    tokens = F.split("text", " ")
-    n = F.size("t")
-    one = streams.withColumn("t", tokens).filter(n >= least).withColumn("at", F.explode(F.sequence(F.lit(0), n - least)))
-    one = one.select("host", "page", "block", "at", F.array_join(F.slice("t", F.col("at") + 1, least), " ").alias("head"), F.array_join(F.slice("t", F.col("at") + 1 + least, depth - least), " ").alias("tail"))
+    one = suffixes(streams, least, depth)
     merged = one.groupBy("host", "head", "tail").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
-    merged = merged.repartition("host", "head").sortWithinPartitions("host", "head", "tail")
+    found = suffix_array(merged, least, ["host", "head", "tail"], part).groupBy("host", "head", "tail").agg(F.max("covered").alias("covered"))
+    return one.join(found, ["host", "head", "tail"]).select("page", "block", "at", "covered")
+
+
+def suffixes(streams: DataFrame, least: int, depth: int) -> DataFrame:
+    """The suffixes of the column `text`: place, first `least` tokens and the next ones up to `depth`."""
+    n = F.size("t")
+    one = streams.withColumn("t", F.split("text", " ")).filter(n >= least).withColumn("at", F.explode(F.sequence(F.lit(0), n - least)))
+    head = F.array_join(F.slice("t", F.col("at") + 1, least), " ")
+    return one.withColumn("head", head).withColumn("tail", F.array_join(F.slice("t", F.col("at") + 1 + least, depth - least), " ")).drop("t", "text")
+
+
+def suffix_array(one: DataFrame, least: int, keep: list[str], part: int = 20_000) -> DataFrame:
+    """keep and covered: how many tokens a suffix of a host shares with one of another page, where it shares `least`.
+
+    one(host, head, tail, lo, hi): suffixes with the first and the last page that has them; a suffix may come several times.
+    """
+    given = [*dict.fromkeys(["host", "head", "tail", "lo", "hi", *keep])]
+    at = [given.index(k) for k in keep]
+    one = one.select(*given).repartition("host", "head").sortWithinPartitions("host", "head", "tail")
 
     def shared_prefix(a: list[str], b: list[str]) -> int:
         k = 0
@@ -163,85 +193,252 @@ def repeated(streams: DataFrame, least: int = 8, depth: int = 24, part: int = 20
         return out
 
     def sorted_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        out: list[tuple] = []
+
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("host", "head", "tail", "lo", "hi")), strict=True)
-
-        def emit(group: list[tuple]) -> pa.RecordBatch:
+                types[:] = [batch.schema.field(k).type for k in keep]
+                yield from zip(*(batch.column(c).to_pylist() for c in given), strict=True)
+
+        def emit(group: list[tuple]) -> None:
+            if len(group) == 1:  # no neighbour
+                if group[0][3] != group[0][4]:
+                    out.append((group[0], least + (group[0][2].count(" ") + 1 if group[0][2] else 0)))
+                return
             tails = [g[2].split(" ") if g[2] else [] for g in group]
             lcp = [0, *(least + shared_prefix(p, q) for p, q in zip(tails, tails[1:], strict=False))]
             cover = [least + len(t) if g[3] != g[4] else 0 for g, t in zip(group, tails, strict=True)]
             n = len(group)
-            cover = list(map(max, cover, widest(group, lcp, range(n)), widest(group, lcp, range(n - 1, -1, -1))))
-            kept = [(g, c) for g, c in zip(group, cover, strict=True) if c]
-            return pa.RecordBatch.from_arrays([pa.array([g[k] for g, _ in kept], pa.string()) for k in range(3)] + [pa.array([c for _, c in kept], pa.int32())], names=["host", "head", "tail", "covered"])
+            cover = map(max, cover, widest(group, lcp, range(n)), widest(group, lcp, range(n - 1, -1, -1)))
+            out.extend((g, c) for g, c in zip(group, cover, strict=True) if c)
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([g[k] for g, _ in out], t) for k, t in zip(at, types, strict=True)]
+            columns.append(pa.array([c for _, c in out], pa.int32()))
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*keep, "covered"])
 
         def carried(group: list[tuple]) -> list[tuple]:
             """What the next part of a long run needs: its last suffixes of one page, and the one before them."""
-            last, k = group[-1][3:], len(group) - 1
-            while last[0] == last[1] and k and group[k][3:] == last:
+            last, k = group[-1][3:5], len(group) - 1
+            while last[0] == last[1] and k and group[k][3:5] == last:
                 k -= 1
             return group[k:]
 
         group: list[tuple] = []
-        fresh_from = 0
+        fresh_from, host, head = 0, None, None
         for row in rows():
-            if group and row[:2] != group[-1][:2] or len(group) - fresh_from >= part:
-                yield emit(group)
-                group = carried(group) if group[-1][:2] == row[:2] else []
+            same = row[1] == head and row[0] == host
+            if group and not same or len(group) - fresh_from >= part:
+                emit(group)
+                group = carried(group) if same else []
                 fresh_from = len(group)
+                if len(out) >= 5000:
+                    yield flush()
             group.append(row)
+            host, head = row[0], row[1]
         if group:
-            yield emit(group)
+            emit(group)
+        if out:
+            yield flush()
 
-    found = merged.mapInArrow(sorted_neighbours, "host string, head string, tail string, covered int")
-    found = found.groupBy("host", "head", "tail").agg(F.max("covered").alias("covered"))
-    return one.join(found, ["host", "head", "tail"]).select("page", "block", "at", "covered")
+    return one.mapInArrow(sorted_neighbours, ", ".join(f"{k} {one.schema[k].dataType.simpleString()}" for k in keep) + ", covered int")
+
+
+#: Windows of `least` tokens are keyed by the smallest hash among their grams of so many tokens.
+GRAM = 4
+ANCHORS = "h long, ch long, host long, page long, row long, own boolean, at int, body string, sizes array<int>, ids array<long>"
+
+
+def candidates(page: str) -> tuple[list[str], list[str]]:
+    """The blocks that an article holds and the other ones, each a stream; the page's text is in the first that is not empty."""
+    found = blocks(page)
+    return [t for t, main in found if main], [t for t, main in found if not main]
+
+
+def keyed(parts: list[tuple[list[str], list[str]]], host: np.ndarray, least: int) -> Iterator[tuple]:
+    """The contexts (see `windows`) of pages' streams, a slice of bounded size at a time, keyed within host and kind of stream.
+
+    Their keys, contents, rows, whether the page's text is in their stream, first tokens, and the bytes and ends of their tokens.
+    """
+    which = [(i, kind, not (kind and own[0]), own[kind]) for i, own in enumerate(parts) for kind in (0, 1) if own[kind]]
+    row, kinds, decides = np.array([w[0] for w in which], np.int64), np.array([w[1] for w in which], U), np.array([w[2] for w in which], bool)
+    data, offsets = utf8(pa.array([" ".join(w[3]) for w in which], pa.large_string()))
+    starts, ends, hashes, first = words(data, offsets)
+    symbols = mix(hashes ^ np.repeat(mix(host.view(U)[row] ^ kinds * U(0x9E3779B97F4A7C15)), np.diff(first)))
+    for i, j, lo, hi in pieces(first, least):
+        bounds = np.clip(first[i : j + 1], lo, hi) - lo
+        h, ch, geo, text, at = contexts(symbols[lo:hi], bounds[:-1], bounds[1:], least, GRAM)
+        text = text + i
+        yield h, ch, row[text], decides[text], at + lo - first[text], data, starts[at + lo], ends[at + lo + (geo >> 8) + least - 2]
+
+
+def within(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A hash of a key and the row of a batch."""
+    return mix(h ^ mix(row.astype(U) + U(1)))
+
+
+def anchors(pages: DataFrame, least: int) -> DataFrame:
+    """The contexts of all streams whose key another page of the host has, as ANCHORS, and a row for each page's outline.
+
+    body: the context's tokens; at: its first one. An outline (h is null) has the tokens and hashes of the blocks of an
+    article. Keys are found again before any text moves: a page sends a key once, so a key has a row for each page at most.
+    Streams then meet their keys that came again, compressed.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            for h, _, row, *_ in keyed([candidates(p) for p in texts(batch.column("html"))], batch.column("host").to_numpy(), least):
+                once = np.unique(within(h, row), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[once])), pa.array(part[row[once]])], names=["h", "part"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose key the row before or after has."""
+        h, part, known = np.zeros(0, np.int64), np.zeros(0, np.int32), False  # the last row; whether the one before has its key
+        for batch in batches:
+            h, part = np.append(h, batch.column("h").to_numpy()), np.append(part, batch.column("part").to_numpy())
+            if not len(h):
+                continue
+            same = h[1:] == h[:-1]
+            came = np.append(known, same) | np.append(same, False)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:-1][came[:-1]]), pa.array(part[:-1][came[:-1]])], names=["h", "part"])
+            h, part, known = h[-1:], part[-1:], came[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(h[: int(known)]), pa.array(part[: int(known)])], names=["h", "part"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams = ["\n\n".join(map("\n".join, candidates(p))) for p in texts(batch.column("html"))]
+            ids = [batch.column(k) for k in ("part", "host", "page", "row")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([zlib.compress(t.encode(), 1) for t in streams], pa.binary())], names=["part", "host", "page", "row", "streams"])
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in ANCHORS.split(", ")]
+        kinds = {"own": pa.bool_(), "at": pa.int32(), "body": pa.string(), "sizes": pa.list_(pa.int32()), "ids": pa.list_(pa.int64())}
+
+        def batch_of(n: int, columns: dict) -> pa.RecordBatch:
+            types = [kinds.get(k, pa.int64()) for k in names]
+            return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in zip(names, types, strict=True)], names=names)
+
+        for batch in batches:
+            ids = {k: batch.column(k) for k in ("host", "page", "row")}
+            parts = [tuple(t.split("\n") if t else [] for t in zlib.decompress(x).decode().split("\n\n")) for x in batch.column("streams").to_pylist()]
+            lists = batch.column("wanted")
+            flat, of = lists.flatten().to_numpy().view(U), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            wanted = np.unique(within(flat, of))  # a clash only brings a context without a partner
+            for h, ch, row, own, at, data, s, e in keyed(parts, ids["host"].to_numpy(), least):
+                take = np.flatnonzero(np.isin(within(h, row), wanted))
+                raw, r = data.tobytes(), pa.array(row[take])
+                body = [raw[a:b].decode() for a, b in zip(s[take].tolist(), e[take].tolist(), strict=True)]
+                mine = {"h": signed(h[take]), "ch": signed(ch[take]), "own": own[take], "at": at[take], "body": body}
+                yield batch_of(len(take), {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in mine.items()} | {k: v.take(r) for k, v in ids.items()})
+            outline = [(i, own[0]) for i, own in enumerate(parts) if own[0]]
+            r = pa.array([i for i, _ in outline], pa.int64())
+            sizes = [[t.count(" ") + 1 for t in own] for _, own in outline]
+            digests = [[int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in own] for _, own in outline]
+            yield batch_of(len(r), {"sizes": pa.array(sizes, kinds["sizes"]), "ids": pa.array(digests, kinds["ids"])} | {k: v.take(r) for k, v in ids.items()})
+
+    every = pages.select("html", "host", "part").mapInArrow(keys, "h long, part int")
+    came = every.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, part int")
+    wanted = stored(came.groupBy("part").agg(F.collect_set("h").alias("wanted")), "wanted")
+    streams = pages.select("html", "part", "host", "page", "row").mapInArrow(packed, "part int, host long, page long, row long, streams binary")
+    out = stored(streams.join(wanted, "part").mapInArrow(bodies, ANCHORS), "anchors")
+    discard(wanted)
+    return out
+
+
+def covers(found: DataFrame, least: int) -> DataFrame:
+    """row, host, page, spans: the ranges of tokens of each page's deciding stream that substrings of other pages of the host cover.
+
+    found: ANCHORS, which are deleted. Equal contexts are merged with their first and last page before their suffixes are made.
+    """
+    places = stored(found.filter("own and h is not null").select("h", "ch", "host", "page", "row", "at"), "places")
+    merged = found.filter("h is not null").groupBy("h", "ch", "body").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.count("*").alias("n"))
+    merged = stored(merged.withColumnsRenamed({"h": "host", "body": "text"}), "contexts")
+    discard(found)
+    hits = suffix_array(suffixes(merged, least, 1 << 10), least, ["host", "ch", "n", "at"])
+    hits = stored(hits.groupBy(F.col("host").alias("h"), "ch").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "covered")).alias("hits")), "suffixes")
+    discard(merged)
+    total = hits.agg(F.sum("n")).first()[0] or 0
+    mine = spread_join(places, hits, ["h", "ch"], "n", total, ["row", "at"]).withColumn("x", F.explode("hits"))
+    mine = mine.select("row", "host", "page", (F.col("at") + F.col("x.at")).alias("s"), (F.col("at") + F.col("x.at") + F.col("x.covered")).alias("e"))
+    out = stored(mine.groupBy("row").agg(F.first("host").alias("host"), F.first("page").alias("page"), F.collect_set(F.struct("s", "e")).alias("spans")), "covers")
+    discard(places, hits)
+    return out
+
+
+def standing(cover: DataFrame, outlines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """row, dropped: the standing blocks of articles, by their number.
+
+    A block stands if it is covered as a whole, in articles of which less than half is covered, on three pages or more that
+    are more than half of the host's. So what copies of an article share, and what a few articles quote, is kept.
+    outlines(row, sizes, ids); sizes(host, pages).
+    """
+
+    @F.arrow_udf("struct<own: boolean, blocks: array<int>>")
+    def whole(lengths: pa.Array, spans: pa.Array) -> pa.Array:
+        """Whether less than half is covered; the blocks that are covered as a whole."""
+        out = []
+        for sizes, ranges in zip(lengths.to_pylist(), map(union, spans.to_pylist()), strict=True):
+            ends = np.cumsum(sizes).tolist()
+            found, k = [], 0
+            for i, (n, end) in enumerate(zip(sizes, ends, strict=True)):
+                while k < len(ranges) and ranges[k][1] < end:
+                    k += 1
+                if k < len(ranges) and ranges[k][0] <= end - n:
+                    found.append(i)
+            out.append({"own": 2 * sum(e - s for s, e in ranges) < ends[-1], "blocks": found})
+        return pa.array(out, pa.struct([("own", pa.bool_()), ("blocks", pa.list_(pa.int32()))]))
+
+    one = cover.join(outlines, "row").withColumn("w", whole("sizes", "spans")).withColumn("block", F.explode("w.blocks"))
+    one = stored(one.select("row", "host", "page", "block", F.element_at("ids", F.col("block") + 1).alias("id"), "w.own"), "blocks")
+    often = one.filter("own").groupBy("host", "id").agg(F.count_distinct("page").alias("n")).filter("n >= 3").join(sizes, "host").filter("2 * n > pages")
+    return one.join(often.select("host", "id"), ["host", "id"]).groupBy("row").agg(F.collect_set("block").alias("dropped"))
 
 
 def extract(pages: DataFrame, least: int = 8) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of pages(page_id, url, html).
 
-    A page with an article is parsed once and is done; the candidates of the others, which is where menus and notices
-    without an element of their own may be, go to the suffix array. Blocks are joined by two line feeds; white space inside a block is one space; character references are decoded. Null
+    The streams of every page go through the host's suffix array. A page without an article keeps its unique runs; one with
+    an article keeps the article but for its standing blocks. What other pages hold as their article is no boilerplate
+    elsewhere, so the two kinds of streams are compared apart. Pages are parsed again in each pass instead of being stored.
+    Blocks are joined by two line feeds; white space inside a block is one space; character references are decoded. Null
     and empty html give an empty text; a null url has a host of its own; rows that share a page_id and url are one page;
     a page of any length is taken whole. Other columns are ignored; an empty table gives no rows.
     """
     tune(pages.sparkSession)
     slim = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-
-    @F.arrow_udf("struct<text: string, found: array<string>>")
-    def parsed(page: pa.Array) -> pa.Array:
-        """The article's text; the candidates of a page without one."""
-        out = []
-        for own in map(blocks, texts(page)):
-            inside = [t for t, main in own if main]
-            out.append({"text": "\n\n".join(inside), "found": None} if inside else {"text": None, "found": [t for t, _ in own]})
-        return pa.array(out, pa.struct([("text", pa.string()), ("found", pa.list_(pa.string()))]))
-
-    every = stored(slim.select("page_id", "url", parsed("html").alias("p")).select("page_id", "url", "p.*"), "parsed")
-    first = every.filter("text is not null").select("page_id", "url", "text")
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1), F.concat(F.lit("?"), F.col("page_id")))
-    left = every.filter("found is not null").select("page_id", "url", F.xxhash64("page_id", "url").alias("page"), host.alias("host"), "found")
-    streams = left.select("host", "page", F.lit(0).alias("block"), F.array_join("found", " ").alias("text"))
-    cover = repeated(streams, least).groupBy("page").agg(F.collect_list(F.struct("at", "covered")).alias("cover"))
+    slim = slim.withColumn("host", F.xxhash64(host)).withColumn("page", F.xxhash64("page_id", "url")).withColumn("row", F.xxhash64("page_id", "url", "html"))
+    found = anchors(slim.withColumn("part", F.hash("row")), least)
+    outlines = stored(found.filter("h is null").select("row", "sizes", "ids").dropDuplicates(["row"]), "outlines")
+    cover = covers(found, least)
+    sizes = slim.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    dropped = standing(cover, outlines, sizes)
+    runs = cover.join(outlines, "row", "left_anti").select("row", "spans")
+    known = stored(runs.join(dropped, "row", "full"), "known")
+    discard(outlines, cover)
 
     @F.arrow_udf("string")
-    def unique_runs(found: pa.Array, cover: pa.Array) -> pa.Array:
+    def kept(page: pa.Array, spans: pa.Array, dropped: pa.Array) -> pa.Array:
         out = []
-        for own, ranges in zip(found.to_pylist(), cover.to_pylist(), strict=True):
-            covered = [(r["at"], r["at"] + r["covered"]) for r in ranges or ()]
-            words = [(w, k) for k, block in enumerate(own or ()) for w in block.split(" ")]
-            kept: dict[int, list[str]] = {}
-            at = 0
-            for s, e in [*sorted(covered), (len(words), len(words))]:
-                for w, k in words[at:s]:
-                    kept.setdefault(k, []).append(w)
-                at = max(at, e)
-            kept = [" ".join(ws) for ws in kept.values()]
-            out.append("\n\n".join(kept))
+        for p, ranges, gone in zip(texts(page), spans.to_pylist(), dropped.to_pylist(), strict=True):
+            inside, rest = candidates(p)
+            own = inside or rest
+            if gone:  # an article of standing blocks alone is kept
+                own = [t for i, t in enumerate(own) if i not in gone] or own
+            if ranges:
+                tokens = [(w, k) for k, block in enumerate(own) for w in block.split(" ")]
+                left: dict[int, list[str]] = {}
+                at = 0
+                for s, e in [*union(ranges), (len(tokens), len(tokens))]:
+                    for w, k in tokens[at:s]:
+                        left.setdefault(k, []).append(w)
+                    at = e
+                own = [" ".join(ws) for ws in left.values()]
+            out.append("\n\n".join(own))
         return pa.array(out, pa.string())
 
-    second = left.join(cover, "page", "left").select("page_id", "url", unique_runs("found", "cover").alias("text"))
-    whole = first.unionByName(second)
+    whole = slim.join(known, "row", "left").select("page_id", "url", kept("html", "spans", "dropped").alias("text"))
     return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -535,3 +535,45 @@ def test_marks_inside_an_article_count_only_as_whole_names_of_containers():
 def test_names_that_mark_and_names_that_do_not(spark, page, want):
     got = extract(spark.createDataFrame([(1, "http://a.com/x", page)], "page_id long, url string, html string")).collect()
     assert [r.text for r in got] == [want]
+
+
+def test_pages_with_an_article_go_through_the_suffix_array(spark):
+    """A notice that stands in most articles of a host goes; copies, what few articles quote, and another host's text stay."""
+    rng = random.Random(21)
+    words = lambda n: " ".join("%x" % rng.randrange(1 << 40) for _ in range(n))
+    notice, quote, story = words(12), words(15), words(60)
+    stories = {i: [words(30), words(20)] for i in range(6)}
+    stories |= {6: [story], 7: [story], 8: [story[:-5] + " other", words(9)]}  # a copy, and one with a change
+    stories[2].append(quote)
+    stories[4].append(quote)
+    paragraphs = lambda own: "".join(f"<p>{t}</p>" for t in own)
+    page = lambda i, own: f"<div>{words(3)}</div><article>{paragraphs(own)}<div>{notice}</div><p>end {i}</p></article>"
+    rows = [(i, f"http://h/{i}", page(i, own)) for i, own in stories.items()] + [(20, "http://other/1", page(20, stories[0]))]
+    rows += [(30, "http://h/print", f"<body>{paragraphs(stories[0])}</body>")]  # no article, and its text is another page's article
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = {i: "\n\n".join([*own, f"end {i}"]) for i, own in stories.items()}
+    assert got == whole | {20: "\n\n".join([*stories[0], notice, "end 20"]), 30: "\n\n".join(stories[0])}
+
+
+def test_covered_tokens_of_all_pages_against_a_plain_version(spark):
+    """Both kinds of streams, every page, against a search over all windows of the host; small alphabets make keys and contexts clash."""
+    from pyspark.sql import functions as F
+
+    from cellweave.llm.html_extract import anchors, covers
+    from cellweave.llm.windows import union
+
+    rng = random.Random(22)
+    streams, rows = [], []
+    for i in range(60):
+        host, kind = i % 2, i % 3 != 0
+        t = [rng.choice("abc") for _ in range(rng.randrange(60))] + (["q%d" % k for k in range(30)] if i % 7 == 0 else [])
+        streams.append((host, kind, t))
+        rows.append((i, host, i, i, f"<article><p>{' '.join(t)}</p></article>" if kind else f"<p>{' '.join(t)}</p>"))
+    pages = spark.createDataFrame(rows, "part int, host long, page long, row long, html string").repartition(3)
+    got = {r.row: union([x.asDict() for x in r.spans]) for r in covers(anchors(pages, 8), 8).filter(F.size("spans") > 0).collect()}
+    want = {}
+    for i, (host, kind, t) in enumerate(streams):
+        other = {tuple(u[j : j + 8]) for k, (h, m, u) in enumerate(streams) if (h, m) == (host, kind) and k != i for j in range(len(u) - 7)}
+        if spans := [{"s": j, "e": j + 8} for j in range(len(t) - 7) if tuple(t[j : j + 8]) in other]:
+            want[i] = union(spans)
+    assert got == want and len(want) > 20 and any(streams[i][1] for i in want) and any(not streams[i][1] for i in want)
