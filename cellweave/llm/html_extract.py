@@ -11,11 +11,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,18 @@ BREAKS = frozenset(
 )
 SKIPPED = frozenset("aside audio button canvas datalist dialog fieldset footer form head iframe input label math menu nav noscript object script select style svg template textarea title video".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 CLOSED_BY = {"p": BREAKS - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
 #: Words of class, id and role attributes that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice popup promo promotion related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: For each tag the open elements that it ends.
+CLOSES = {tag: frozenset(k for k, by in CLOSED_BY.items() if tag in by) for tag in frozenset().union(*CLOSED_BY.values())}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: What the attributes that can mark an element have in them.
+TELLING = re.compile("class|id|role|aria-label|hidden|style", re.I)
 NAMES = frozenset(("class", "id", "role", "aria-label"))
 #: What an article may hold: elements that a mark does not drop unless they hold others; text that is skipped elsewhere.
 CONTAINERS = frozenset("center dd details div dl li ol section table td ul".split())
@@ -73,62 +79,100 @@ def marked(attributes: str, tag: str = "", main: bool = False) -> bool:
     return False
 
 
+def tag_of(m: re.Match) -> tuple | None:
+    """What the parser needs of a tag, all from its own text: name, whether it ends an element, breaks a line, which elements it ends,
+    whether it holds nothing, is raw, makes an article, and is left out outside of an article and inside; None if it is no tag."""
+    slash, tag, attributes, slash2, tag2, attributes2 = m.groups()
+    tag = tag or tag2
+    if tag is None:
+        return None
+    tag, closing, attributes = tag.lower(), bool(slash or slash2), attributes or attributes2 or ""
+    if closing:
+        return tag, True, tag in BREAKS, (), False, False, False, False, False
+    empty = tag in VOID or attributes.endswith("/") and tag not in BREAKS
+    article = tag == "article" or tag == "main" or "role=" in attributes and re.search(r"role=.?(main|article)\b", attributes) is not None
+    can = tag not in ("body", "html", "article", "main") and TELLING.search(attributes) is not None
+    outside = tag in SKIPPED or tag == "header" or can and marked(attributes, tag, False)
+    inside = tag in SKIPPED and tag not in PROSE or can and marked(attributes, tag, True)
+    return tag, False, tag in BREAKS, CLOSES.get(tag, ()), empty, tag in RAW, article, outside, inside
+
+
+#: Tags by their text, as a worker has met them; most are the same from page to page. The longest that are kept, and how many.
+TAGS: dict[str, tuple] = {}
+TAG_LENGTH, TAG_COUNT = 200, 20_000
+
+
 def blocks(page: str) -> list[tuple[str, bool]]:
     """The blocks of text in page order outside what structure excludes, each with whether an article or main element holds it."""
     out: list[tuple[str, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, skipped, main
+    stack: list[str] = []  # open elements
+    states: list[tuple[bool, bool]] = [(False, False)]  # skipped, main: of the page and of each open element
+    skipped = main = False
 
     def flush() -> None:
-        if text:
-            if whole := " ".join("".join(text).split()):
-                out.append((whole, bool(stack and stack[-1][2])))
-            text.clear()
+        whole = "".join(text)
+        text.clear()
+        if whole := whole.strip(" ") if whole.isprintable() and "  " not in whole else " ".join(whole.split()):  # of white space only the space is printable
+            out.append((whole, main))
 
-    at, n, match = 0, len(page), TOKEN.match
+    at, n, match, find, known = 0, len(page), TOKEN.match, page.find, TAGS.get
     while at < n:
-        if page[at] != "<":
-            start, at = at, page.find("<", at)
-            at = n if at < 0 else at
-            if not (stack and stack[-1][1]):
-                text.append(html.unescape(page[start:at]))
-            continue
-        m = match(page, at)
-        start, at = at, m.end()
-        slash, tag, attributes, slash2, tag2, attributes2 = m.groups()
-        tag = tag or tag2
-        if tag is None:
-            if at == start + 1 and not (stack and stack[-1][1]):
-                text.append("<")
+        start = find("<", at)
+        if start != at:
+            if start < 0:
+                start = n
+            if not skipped:
+                part = page[at:start]
+                text.append(html.unescape(part) if "&" in part else part)
+            at = start
             continue
-        tag, closing, attributes = tag.lower(), slash or slash2, attributes or attributes2 or ""
-        if tag in BREAKS:
+        found = known(page[start : (at := find(">", start, start + TAG_LENGTH) + 1)])
+        if found is None:
+            m = match(page, start)
+            at = m.end()
+            found = tag_of(m)
+            if found is None:
+                if at == start + 1 and not skipped:
+                    text.append("<")
+                continue
+            if at - start <= TAG_LENGTH and (m[2] or "").isalnum() and page[m.end(2)] in " />\n":  # a quote in a name leaves its end to what follows
+                if len(TAGS) >= TAG_COUNT:
+                    TAGS.clear()
+                TAGS[page[start:at]] = found
+        tag, closing, breaks, closes, empty, is_raw, article, outside, inside = found
+        if breaks:
             if text:
                 flush()
         elif tag == "br":
             text.append(" ")
         if closing:
-            if stack and stack[-1][0] == tag:
-                stack.pop()
-            elif any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if tag in stack:
+                while True:
+                    states.pop()
+                    if stack.pop() == tag:
+                        break
+                skipped, main = states[-1]
             continue
-        while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-        skipped, main = stack[-1][1:] if stack else (False, False)
-        own = (tag in SKIPPED and not (main and tag in PROSE)) or (tag == "header" and not main) or (bool(attributes) and tag not in ("body", "html", "article", "main") and marked(attributes, tag, main))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag != "template" else None
+        if closes:
+            while stack and stack[-1] in closes:
+                stack.pop()
+                states.pop()
+            skipped, main = states[-1]
+        if is_raw:
+            end = RAW_END[tag].search(page, at) if tag != "template" else None
             if end:
                 at = end.end()
                 continue
             if tag in ("script", "style"):
                 break
-        if tag in VOID or attributes.endswith("/") and tag not in BREAKS:
+        if empty:
             continue
-        stack.append((tag, skipped or own, main or tag == "article" or tag == "main" or bool(attributes) and "role=" in attributes and re.search(r"role=.?(main|article)\b", attributes) is not None))
-    flush()
+        stack.append(tag)
+        skipped, main = skipped or (inside if main else outside), main or article
+        states.append((skipped, main))
+    if text:
+        flush()
     return out
 
 
@@ -248,6 +292,10 @@ def suffix_array(one: DataFrame, least: int, keep: list[str], part: int = 20_000
 
 #: Windows of `least` tokens are keyed by the smallest hash among their grams of so many tokens.
 GRAM = 4
+#: To be found again, a key goes as 40 of its bits and 24 of its page's part, in one of 4,096 buckets by another 12 of its bits.
+BUCKETS, PLACE = U((1 << 12) - 1), U((1 << 24) - 1)
+#: Keys that a task holds at a time.
+HELD = 1 << 20
 ANCHORS = "h long, ch long, host long, page long, row long, own boolean, at int, body string, sizes array<int>, ids array<long>"
 
 
@@ -279,39 +327,91 @@ def within(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(h ^ mix(row.astype(U) + U(1)))
 
 
-def anchors(pages: DataFrame, least: int) -> DataFrame:
-    """The contexts of all streams whose key another page of the host has, as ANCHORS, and a row for each page's outline.
+def short(h: np.ndarray) -> np.ndarray:
+    """The bits of keys by which they are found again."""
+    return h & ~PLACE | h & BUCKETS
 
-    body: the context's tokens; at: its first one. An outline (h is null) has the tokens and hashes of the blocks of an
-    article. Keys are found again before any text moves: a page sends a key once, so a key has a row for each page at most.
-    Streams then meet their keys that came again, compressed.
-    """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lists_of(ids: np.ndarray, values: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row for each id with the bytes of its values."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    offsets = np.append(first, len(ids)).astype(np.int32) * 8
+    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return pa.RecordBatch.from_arrays([pa.array(ids[first].astype(np.int32)), lists], names=names)
+
+
+def dealt_keys(pages: DataFrame, least: int) -> DataFrame:
+    """bucket, keys: the keys of all streams, many in a row, each once for a page."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            h, part = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            return lists_of((h & BUCKETS).astype(np.uint16), h & ~PLACE | part, ["bucket", "keys"])
+
         for batch in batches:
-            part = batch.column("part").to_numpy()
+            part = batch.column("part").to_numpy().astype(U) & PLACE
             for h, _, row, *_ in keyed([candidates(p) for p in texts(batch.column("html"))], batch.column("host").to_numpy(), least):
                 once = np.unique(within(h, row), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[once])), pa.array(part[row[once]])], names=["h", "part"])
+                held.append((h[once], part[row[once]]))
+                n += len(once)
+                if n >= HELD:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    return pages.select("html", "host", "part").mapInArrow(rows, "bucket int, keys binary")
+
+
+def came_again(dealt: DataFrame) -> DataFrame:
+    """part, keys: those that a bucket has more than once, as `short` tells them; a part has a row for each task at most, or a few."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            part, key = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            return lists_of(part, key, ["part", "keys"])
+
+        pairs = ((int(b), k) for batch in batches for b, k in zip(batch.column("bucket").to_numpy(), batch.column("keys").to_pylist(), strict=True))
+        for bucket, group in groupby(pairs, key=lambda x: x[0]):
+            one = np.frombuffer(b"".join(k for _, k in group), U)
+            one = np.sort(one)
+            same = one[1:] & ~PLACE == one[:-1] & ~PLACE
+            one = one[np.append(False, same) | np.append(same, False)]
+            held.append(((one & PLACE).astype(np.int32), one & ~PLACE | U(bucket)))
+            n += len(one)
+            if n >= HELD:
+                yield flush()
+                n = 0
+        if held:
+            yield flush()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, "part int, keys binary")
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows whose key the row before or after has."""
-        h, part, known = np.zeros(0, np.int64), np.zeros(0, np.int32), False  # the last row; whether the one before has its key
-        for batch in batches:
-            h, part = np.append(h, batch.column("h").to_numpy()), np.append(part, batch.column("part").to_numpy())
-            if not len(h):
-                continue
-            same = h[1:] == h[:-1]
-            came = np.append(known, same) | np.append(same, False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:-1][came[:-1]]), pa.array(part[:-1][came[:-1]])], names=["h", "part"])
-            h, part, known = h[-1:], part[-1:], came[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(h[: int(known)]), pa.array(part[: int(known)])], names=["h", "part"])
+
+def anchors(pages: DataFrame, least: int) -> DataFrame:
+    """The contexts of all streams whose key another page of the host has, as ANCHORS, and a row for each page's outline.
+
+    body: the context's tokens; at: its first one. An outline (h is null) has the tokens and hashes of the blocks of an
+    article. Keys are found again before any text moves, and move many in a row; a page sends a key once. Streams then meet their keys that came again, compressed.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
-            streams = ["\n\n".join(map("\n".join, candidates(p))) for p in texts(batch.column("html"))]
+            streams = ["\n\n".join(map("\n".join, candidates(p))).encode() for p in texts(batch.column("html"))]
             ids = [batch.column(k) for k in ("part", "host", "page", "row")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array([zlib.compress(t.encode(), 1) for t in streams], pa.binary())], names=["part", "host", "page", "row", "streams"])
+            out = [pa.array(list(map(len, streams)), pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in streams], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*ids, *out], names=["part", "host", "page", "row", "size", "streams"])
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in ANCHORS.split(", ")]
@@ -321,14 +421,16 @@ def anchors(pages: DataFrame, least: int) -> DataFrame:
             types = [kinds.get(k, pa.int64()) for k in names]
             return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in zip(names, types, strict=True)], names=names)
 
+        codec = pa.Codec("zstd")
         for batch in batches:
             ids = {k: batch.column(k) for k in ("host", "page", "row")}
-            parts = [tuple(t.split("\n") if t else [] for t in zlib.decompress(x).decode().split("\n\n")) for x in batch.column("streams").to_pylist()]
-            lists = batch.column("wanted")
-            flat, of = lists.flatten().to_numpy().view(U), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            whole = [codec.decompress(x, n, asbytes=True).decode() for x, n in zip(batch.column("streams").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+            parts = [tuple(t.split("\n") if t else [] for t in x.split("\n\n")) for x in whole]
+            lists = list(map(b"".join, batch.column("wanted").to_pylist()))
+            flat, of = np.frombuffer(b"".join(lists), U), np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
             wanted = np.unique(within(flat, of))  # a clash only brings a context without a partner
             for h, ch, row, own, at, data, s, e in keyed(parts, ids["host"].to_numpy(), least):
-                take = np.flatnonzero(np.isin(within(h, row), wanted))
+                take = np.flatnonzero(np.isin(within(short(h), row), wanted))
                 raw, r = data.tobytes(), pa.array(row[take])
                 body = [raw[a:b].decode() for a, b in zip(s[take].tolist(), e[take].tolist(), strict=True)]
                 mine = {"h": signed(h[take]), "ch": signed(ch[take]), "own": own[take], "at": at[take], "body": body}
@@ -339,10 +441,9 @@ def anchors(pages: DataFrame, least: int) -> DataFrame:
             digests = [[int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in own] for _, own in outline]
             yield batch_of(len(r), {"sizes": pa.array(sizes, kinds["sizes"]), "ids": pa.array(digests, kinds["ids"])} | {k: v.take(r) for k, v in ids.items()})
 
-    every = pages.select("html", "host", "part").mapInArrow(keys, "h long, part int")
-    came = every.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, part int")
-    wanted = stored(came.groupBy("part").agg(F.collect_set("h").alias("wanted")), "wanted")
-    streams = pages.select("html", "part", "host", "page", "row").mapInArrow(packed, "part int, host long, page long, row long, streams binary")
+    pages = pages.withColumn("part", F.col("part").bitwiseAND(F.lit(int(PLACE))))
+    wanted = stored(came_again(dealt_keys(pages, least)).groupBy("part").agg(F.collect_list("keys").alias("wanted")), "wanted")
+    streams = pages.select("html", "part", "host", "page", "row").mapInArrow(packed, "part int, host long, page long, row long, size long, streams binary")
     out = stored(streams.join(wanted, "part").mapInArrow(bodies, ANCHORS), "anchors")
     discard(wanted)
     return out
@@ -352,14 +453,21 @@ def covers(found: DataFrame, least: int) -> DataFrame:
     """row, host, page, spans: the ranges of tokens of each page's deciding stream that substrings of other pages of the host cover.
 
     found: ANCHORS, which are deleted. Equal contexts are merged with their first and last page before their suffixes are made.
+    A window has one key, so a context that stands alone under its key is covered whole or not at all, and has no suffixes sorted.
     """
     places = stored(found.filter("own and h is not null").select("h", "ch", "host", "page", "row", "at"), "places")
     merged = found.filter("h is not null").groupBy("h", "ch", "body").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.count("*").alias("n"))
     merged = stored(merged.withColumnsRenamed({"h": "host", "body": "text"}), "contexts")
     discard(found)
-    hits = suffix_array(suffixes(merged, least, 1 << 10), least, ["host", "ch", "n", "at"])
-    hits = stored(hits.groupBy(F.col("host").alias("h"), "ch").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "covered")).alias("hits")), "suffixes")
+    kinds = spread_join(merged, merged.groupBy("host").agg(F.count("*").alias("kinds")), ["host"], "kinds", merged.count(), ["ch"])
+    kinds = stored(kinds, "kinds")
     discard(merged)
+    tokens = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    alone = kinds.filter("kinds = 1 and lo < hi").select(F.col("host").alias("h"), "ch", "n", F.array(F.struct(F.lit(0).alias("at"), tokens.alias("covered"))).alias("hits"))
+    hits = suffix_array(suffixes(kinds.filter("kinds > 1"), least, 1 << 10), least, ["host", "ch", "n", "at"])
+    hits = hits.groupBy(F.col("host").alias("h"), "ch").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "covered")).alias("hits"))
+    hits = stored(alone.unionByName(hits), "suffixes")
+    discard(kinds)
     total = hits.agg(F.sum("n")).first()[0] or 0
     mine = spread_join(places, hits, ["h", "ch"], "n", total, ["row", "at"]).withColumn("x", F.explode("hits"))
     mine = mine.select("row", "host", "page", (F.col("at") + F.col("x.at")).alias("s"), (F.col("at") + F.col("x.at") + F.col("x.covered")).alias("e"))
@@ -368,6 +476,20 @@ def covers(found: DataFrame, least: int) -> DataFrame:
     return out
 
 
+def unions(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """List, start and end of the disjoint, maximal ranges of lists of ranges s, e, in order."""
+    flat, n = spans.flatten(), pc.list_value_length(spans).to_numpy()
+    of, s, e = np.repeat(np.arange(len(n)), n), *(pc.struct_field(flat, k).to_numpy().astype(np.int64) for k in "se")
+    order = np.lexsort((s, of))
+    of, s, e = of[order], s[order], e[order]
+    far = int(e.max(initial=0)) + 1
+    reach = np.maximum.accumulate(of * far + e)
+    new = np.append(True, of[1:] * far + s[1:] > reach[:-1])[: len(of)]
+    new[1:] |= of[1:] != of[:-1]
+    last = np.append(new[1:], True)[: len(of)]
+    return of[new], s[new], (reach - of * far)[last]
+
+
 def standing(cover: DataFrame, outlines: DataFrame, sizes: DataFrame) -> DataFrame:
     """row, dropped: the standing blocks of articles, by their number.
 
@@ -379,17 +501,20 @@ def standing(cover: DataFrame, outlines: DataFrame, sizes: DataFrame) -> DataFra
     @F.arrow_udf("struct<own: boolean, blocks: array<int>>")
     def whole(lengths: pa.Array, spans: pa.Array) -> pa.Array:
         """Whether less than half is covered; the blocks that are covered as a whole."""
-        out = []
-        for sizes, ranges in zip(lengths.to_pylist(), map(union, spans.to_pylist()), strict=True):
-            ends = np.cumsum(sizes).tolist()
-            found, k = [], 0
-            for i, (n, end) in enumerate(zip(sizes, ends, strict=True)):
-                while k < len(ranges) and ranges[k][1] < end:
-                    k += 1
-                if k < len(ranges) and ranges[k][0] <= end - n:
-                    found.append(i)
-            out.append({"own": 2 * sum(e - s for s, e in ranges) < ends[-1], "blocks": found})
-        return pa.array(out, pa.struct([("own", pa.bool_()), ("blocks", pa.list_(pa.int32()))]))
+        n = pc.list_value_length(lengths).to_numpy()
+        size, row = lengths.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n)
+        of, s, e = unions(spans)
+        ends = np.cumsum(size)
+        total = np.append(0, ends)[np.cumsum(np.append(0, n))]
+        ends -= total[row]
+        far = int(max(ends.max(initial=0), e.max(initial=0))) + 1
+        k = np.searchsorted(of * far + s, row * far + ends - size, "right") - 1  # the last range that begins before the block
+        held = (k >= 0) & (np.append(of * far + e, -1)[k] >= row * far + ends)
+        own = 2 * np.bincount(of, e - s, len(n)) < np.diff(total)
+        first = np.append(0, np.cumsum(n))[:-1][row]
+        offsets = np.append(0, np.cumsum(np.bincount(row[held], minlength=len(n)))).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.arange(len(row)) - first)[held].astype(np.int32)))
+        return pa.StructArray.from_arrays([pa.array(own), found], names=["own", "blocks"])
 
     one = cover.join(outlines, "row").withColumn("w", whole("sizes", "spans")).withColumn("block", F.explode("w.blocks"))
     one = stored(one.select("row", "host", "page", "block", F.element_at("ids", F.col("block") + 1).alias("id"), "w.own"), "blocks")

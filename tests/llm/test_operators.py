@@ -577,3 +577,32 @@ def test_covered_tokens_of_all_pages_against_a_plain_version(spark):
         if spans := [{"s": j, "e": j + 8} for j in range(len(t) - 7) if tuple(t[j : j + 8]) in other]:
             want[i] = union(spans)
     assert got == want and len(want) > 20 and any(streams[i][1] for i in want) and any(not streams[i][1] for i in want)
+
+
+def test_what_a_tag_says_is_read_once_and_does_not_depend_on_other_pages(monkeypatch):
+    from cellweave.llm import html_extract
+
+    calls = []
+    marked = html_extract.marked
+    monkeypatch.setattr(html_extract, "marked", lambda *x: calls.append(x) or marked(*x))
+    page = "<article>" + "".join(f'<div class="lead">a {i}</div><div class="comments">b</div>' for i in range(500)) + "</article>"
+    assert html_extract.blocks(page) == [(f"a {i}", True) for i in range(500)] and len(calls) <= 4
+    odd = ['<p"b c" d>one</p>', '<p"b c" d>one " two > three</p>', '<p class="a>b">x</p>', "<p class='menu'>y</p>", "<<p>z", "<p hidden", "\x1f a  b\xa0c <b>d</b>"]
+    alone = [html_extract.TAGS.clear() or html_extract.blocks(p) for p in odd]
+    assert alone == [html_extract.blocks(p) for p in odd] and alone[-1] == [("a b c d", False)]
+
+
+def test_keys_move_many_in_a_row_and_contexts_that_stand_alone_are_not_sorted(spark, monkeypatch):
+    """Copies share every key, and a key of theirs has one context: all of their tokens are covered without a suffix."""
+    from cellweave.llm import html_extract
+
+    rng = random.Random(23)
+    text = " ".join("%x" % rng.randrange(1 << 40) for _ in range(3000))
+    pages = spark.createDataFrame([(i, 0, i, i, f"<p>{text}</p>") for i in range(4)], "part int, host long, page long, row long, html string").coalesce(1)
+    sorted_rows, array = [], html_extract.suffix_array
+    monkeypatch.setattr(html_extract, "suffix_array", lambda one, *x: sorted_rows.append(one.count()) or array(one, *x))
+    got = html_extract.covers(html_extract.anchors(pages, 8), 8).collect()
+    assert {r.row: html_extract.union([x.asDict() for x in r.spans]) for r in got} == {i: [(0, 3000)] for i in range(4)}
+    assert sorted_rows == [0]
+    dealt = html_extract.dealt_keys(pages, 8).collect()
+    assert len(dealt) < 1000 < sum(len(r["keys"]) // 8 for r in dealt) // 4
