@@ -58,6 +58,22 @@ def test_necks_part_two_disks(spark):
     assert (10, 10) in a | b and not a & b and all(c <= 22 for _, c in min(a, b, key=lambda s: min(q for _, q in s)))
 
 
+def test_necks_of_the_recipes_cores(spark):
+    """With the rules of c2_lymphoid_structures and c3_aggregates a bridge two pixels wide parts a core, and a strip as narrow is none."""
+    from cellweave.plans.composition_queries import CORES
+
+    m = np.zeros((9, 22), bool)
+    m[1:8, 1:8] = m[1:8, 14:21] = m[4:6, 8:14] = True
+    strip = np.zeros((9, 22), bool)
+    strip[3:5, 2:20] = True
+    rows = [(1, k, y, x, bool(v), float(v), 0.5) for k, w in ((1, m), (2, strip)) for (y, x), v in np.ndenumerate(w)]
+    windows = spark.createDataFrame(rows, "sample long, region long, iy long, ix long, inside boolean, density double, threshold double")
+    got = as_sets(pieces.cores(windows, CORES.core_hole, CORES.connect, CORES.neck, ["sample", "region"]))
+    assert sorted(got) == [(1, 1), (1, 2)]
+    left, right = got[1, 1], got[1, 2]
+    assert not left & right and {(4, 4)} <= left and {(4, 17)} <= right and m.sum() - len(left | right) in (1, 2)  # the line between
+
+
 def test_valleys_and_oversized_regions(spark):
     y, x = np.mgrid[:20, :60]
     bumps = np.exp(-((y - 10) ** 2 + (x - 14) ** 2) / 40) + np.exp(-((y - 10) ** 2 + (x - 44) ** 2) / 40)
