@@ -123,3 +123,116 @@ def test_nearest_lanes_are_those_of_all_pairs(spark):
         near = sorted((round(float(np.sqrt((x - u) ** 2 + (y - v) ** 2)), 9), to) for w, m, to, u, v in sides[1] if (w, m) == (z, k))
         want |= {(z, k, lane, i): to for i, (_, to) in enumerate(near[:2], 1)}
     assert got == want
+
+
+def test_small_disks_by_tiles(spark, monkeypatch, capsys):
+    """Over tiles' borders the same pixels as a plain disk, and no row for each pixel of the disk."""
+    monkeypatch.setattr(spatial, "TILE", 8)
+    rng = np.random.default_rng(6)
+    masks = {1: rng.random((27, 21)) < 0.15, 2: rng.random((27, 21)) < 0.85}
+    wide = lambda m: spatial.widened(np.pad(m, 9), 2)
+    thin = lambda m: ~spatial.widened(np.pad(~m, 9, constant_values=True), 2)[9:-9, 9:-9]
+    cut = lambda m: m[9:-9, 9:-9]
+    for m in masks.values():
+        y, x = np.mgrid[:27, :21]
+        near = [((y - a) ** 2 + (x - b) ** 2 <= 4) for a, b in np.argwhere(m)]
+        assert np.array_equal(cut(wide(m)), np.any(near, axis=0))
+    df = spark.createDataFrame([(s, int(y), int(x)) for s, m in masks.items() for y, x in np.argwhere(m)], "sample long, iy long, ix long")
+    sides = spark.createDataFrame([(1, 21), (2, 21)], "sample long, n long"), 27
+    want = {
+        "dilate": lambda m: cut(wide(m)), "erode": thin, "opening": lambda m: cut(wide(thin(m))),
+        "closing": lambda m: cut(thin(wide(m))), "rim": lambda m: thin(cut(wide(m))),
+    }
+    got = {
+        "dilate": spatial.dilate(df, 2, *sides), "erode": spatial.erode(df, 2), "opening": spatial.opening(df, 2, *sides),
+        "closing": spatial.closing(df, 2, *sides), "rim": spatial.closing(df, 2, *sides, rim=True),
+    }
+    for name, plain in want.items():
+        rows = [(r["sample"], r.iy, r.ix) for r in got[name].collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == {(s, int(y), int(x)) for s, m in masks.items() for y, x in np.argwhere(plain(m))}, name
+    keyed = df.select(F.struct("sample", F.lit(7).alias("k")).alias("sample"), "iy", "ix")
+    moved = [(r["sample"], r.iy, r.ix) for r in spatial.dilate(keyed, 2, None, None).select("sample.*", "iy", "ix").collect()]
+    assert set(moved) == {(s, int(y) - 9, int(x) - 9) for s, m in masks.items() for y, x in np.argwhere(wide(m))} and len(moved) == len(set(moved))
+    got["dilate"].explain()
+    assert "HashAggregate" not in capsys.readouterr().out
+
+
+def test_lines_blurred_together():
+    """Many lines at once: the same as one by one against a plain sum over reflected places."""
+    rng, w = np.random.default_rng(7), np.array([v for _, v in spatial.weights(1.5)])
+    sides = np.array([3, 40, 1, 17])
+    of = np.array([0, 0, 1, 1, 1, 3, 3])
+    at, n = np.array([0, 2, 5, 6, 39, 0, 9]), rng.random(7)
+    line, place, value = spatial.blur(of, at, n, sides, w)
+    got = {(int(a), int(b)): v for a, b, v in zip(line, place, value, strict=True)}
+    want = {}
+    for k, p, v in zip(of, at, n, strict=True):
+        for d, weight in spatial.weights(1.5):
+            q = (p + d) % (2 * sides[k])
+            q = q if q < sides[k] else 2 * sides[k] - 1 - q
+            want[int(k), int(q)] = want.get((int(k), int(q)), 0.0) + v * weight
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def plain_cores(m, density, threshold, hole, connect, neck):
+    """Of one window, after the recipe: holes, depths, cores, and what they take."""
+    gap, n = pieces.labels(~m)
+    rim = {*gap[0], *gap[-1], *gap[:, 0], *gap[:, -1]}
+    for k in set(range(1, n + 1)) - rim:
+        if (gap == k).sum() <= hole or density[gap == k].mean() >= connect * threshold:
+            m = m | (gap == k)
+    outside = np.argwhere(~m)
+    depth = np.array([[np.hypot(*(outside - (y, x)).T).min() for x in range(m.shape[1])] for y in range(m.shape[0])])
+    core, n = pieces.labels(m & (depth >= neck))
+    taken = pieces.flood(-depth, core, m, line=True) if n > 1 else m * n
+    return {(k, int(y), int(x)) for k, p in pieces.whole(taken) for y, x in p}
+
+
+def test_cores_of_many_windows_at_a_time(spark, monkeypatch, capsys):
+    """Windows of several sizes together, and one by one: what the recipe gives for each alone, without a group of pandas for each."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for k in range(12):
+        h, w = rng.integers(8, 26, 2)
+        m = np.zeros((h, w), bool)
+        m[1:-1, 1:-1] = spatial.widened(rng.random((h - 2, w - 2)) < 0.06, 2) & (rng.random((h - 2, w - 2)) < 0.98)
+        density = rng.random((h, w))
+        rows += [(1 + k % 2, k, y, x + 5, bool(v), float(density[y, x]), 0.9) for (y, x), v in np.ndenumerate(m)]
+        want |= {(k, p, y, x + 5): 1 for p, y, x in plain_cores(m, density, 0.9, 1, 0.6, 2.0)}
+    windows = spark.createDataFrame(rows, "sample long, region long, iy long, ix long, inside boolean, density double, threshold double")
+    for at_once in (1 << 18, 1):
+        monkeypatch.setattr(pieces, "PIXELS_AT_ONCE", at_once)
+        found = pieces.cores(windows, 1, 0.6, 2.0, ["sample", "region"])
+        got = [(r.region, r.piece, r.iy, r.ix) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == set(want)
+    assert len({p for _, p, _, _ in got}) > 1
+    found.explain()
+    assert "InPandas" not in capsys.readouterr().out
+
+
+def test_tight_parts_against_lattice_operators(spark):
+    """Basins' dense parts, all in one array, against the same steps by Spark's operators on a plane."""
+    rng, rows, counts = np.random.default_rng(9), [], []
+    for k in range(5):
+        h, w = rng.integers(12, 30, 2)
+        y0 = 40 * k
+        rows += [(1, 3, k, y0 + y, x) for y in range(h) for x in range(w) if rng.random() < 0.97]
+        counts += [(1, y0 + int(y), int(x), int(n)) for (y, x), n in np.ndenumerate(rng.poisson(0.4, (h, w))) if n]
+    basins, counts = spark.createDataFrame(rows, "sample long, region long, basin long, iy long, ix long"), spark.createDataFrame(counts, "sample long, iy long, ix long, n long")
+    got = {tuple(r) for r in pieces.tight(basins, counts, 32, 190, 1.2, 0.4, 1, 1, 2, 0.5, 1.4).select("basin", "piece", "iy", "ix", "part").collect()}
+    b = ["sample", "region", "basin"]
+    keyed = lambda df: df.select(F.struct(*b).alias("sample"), *[c for c in df.columns if c not in b])
+    d = spatial.gaussian(keyed(basins.join(counts, ["sample", "iy", "ix"])), 1.2, None, None).select("sample.*", "iy", "ix", "density").cache()
+    top = d.groupBy(*b).agg((0.4 * F.max("density")).alias("threshold"))
+    dense = d.join(top, b).filter("density > threshold").join(basins, [*b, "iy", "ix"], "left_semi")
+    shape = spatial.opening(spatial.closing(keyed(dense.select(*b, "iy", "ix")), 1, None, None), 1, None, None).select("sample.*", "iy", "ix").join(basins, [*b, "iy", "ix"], "left_semi")
+    at = {k: np.array([(r.iy, r.ix) for r in shape.filter(f"basin = {k}").collect()]) for k in range(5)}
+    parts = []
+    for k, p in at.items():
+        m = np.zeros((p[:, 0].max() + 1, p[:, 1].max() + 1), bool)
+        m[p[:, 0], p[:, 1]] = True
+        label = pieces.labels(m)[0]
+        parts += [(1, 3, k, int(label[y, x]), int(y), int(x)) for y, x in p]
+    parts = spark.createDataFrame(parts, "sample long, region long, basin long, part long, iy long, ix long")
+    want = pieces.cores(pieces.boxed(parts, d, 32, 190, 1, [*b, "part"], b).join(top, b), 2, 0.5, 1.4, [*b, "part"])
+    want = {tuple(r) for r in want.select("basin", "piece", "iy", "ix", "part").collect()}
+    assert got == want and len({(k, p) for k, *_, p in got}) > 5
